@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmere.llm.common import read_table
@@ -13,6 +15,22 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), ngram=2, threshold=0.8)
 
 
+def op3_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillmere.llm.packing import packed
+
+    return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.common import shared_dir
+    from quillmere.llm.warc import read_archives, write_archives
+
+    base = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return read_archives(write_archives(read_table(spark, sf_dir, "pages"), base), base)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.decontaminate import contaminated
 
@@ -31,7 +49,7 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op6_benchmark_decontamination, op9_jump_sharding, op10_host_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_order_preserving_packing, op6_benchmark_decontamination, op8_warc_writer, op9_jump_sharding, op10_host_quality_rules)}
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 WORDS6 = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -63,6 +81,10 @@ covered as (select doc_id, count(distinct k + x) as n_hit from (select distinct
 its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct doc_id, item from hit) group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered using (doc_id) left join its using (doc_id)""",
+    "op8_warc_writer": """
+with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when first < page_id then 'revisit' else 'response' end as record_type, case when first < page_id then first end as refers_to from p left join f using (payload_digest)""",
     "op10_host_quality_rules": rf"""
 with d as (select doc_id, lower(source) as host, coalesce(text, '') as t, {WORDS} as w from documents),
 l as (select doc_id, host, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
