@@ -35,6 +35,12 @@ def op3_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_recompression_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.recompression import without_repeats
+
+    return without_repeats(read_table(spark, sf_dir, "documents"), window=13, texts=False)
+
+
 def op8_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.common import shared_dir
     from quillmere.llm.warc import read_archives, write_archives
@@ -61,7 +67,7 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op3_order_preserving_packing, op5_feistel_pseudonyms, op6_benchmark_decontamination, op8_warc_writer, op9_jump_sharding, op10_host_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op3_order_preserving_packing, op5_feistel_pseudonyms, op6_benchmark_decontamination, op7_recompression_substring_dedup, op8_warc_writer, op9_jump_sharding, op10_host_quality_rules)}
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 WORDS6 = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -93,6 +99,14 @@ covered as (select doc_id, count(distinct k + x) as n_hit from (select distinct
 its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct doc_id, item from hit) group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered using (doc_id) left join its using (doc_id)""",
+    "op7_recompression_substring_dedup": rf"""
+with d as (select doc_id, {WORDS} as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+f as (select g, min(doc_id) as first from win group by g),
+gone as (select distinct doc_id, i + x as i from (select win.doc_id, i, unnest(range(0, 13)) as x from win join f using (g) where first < win.doc_id)),
+words as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from d where len(w) > 0),
+kept as (select doc_id, count(gone.i) as n_removed, coalesce(string_agg(x, ' ' order by i) filter (where gone.i is null), '') as t from words left join gone using (doc_id, i) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)""",
     "op8_warc_writer": """
 with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
 f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by payload_digest)
