@@ -21,6 +21,12 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.suffixes import without_repeated_bytes
+
+    return without_repeated_bytes(read_table(spark, sf_dir, "documents"), window=400)
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.pii import pseudonyms
 
@@ -67,7 +73,7 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op3_order_preserving_packing, op5_feistel_pseudonyms, op6_benchmark_decontamination, op7_recompression_substring_dedup, op8_warc_writer, op9_jump_sharding, op10_host_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op3_order_preserving_packing, op4_suffix_array_dedup, op5_feistel_pseudonyms, op6_benchmark_decontamination, op7_recompression_substring_dedup, op8_warc_writer, op9_jump_sharding, op10_host_quality_rules)}
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 WORDS6 = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
