@@ -14,9 +14,11 @@ similarity of their sets is at least `threshold`; components are those of the li
    exactly by these small sets, in blocks, and only a spanning forest of links leaves the task.
    Who is linked with the pivot (distance <= 1 - threshold) can have no link with who is
    outside its neighbourhood (triangle inequality, near <= 2 * threshold - 1), so a bucket goes
-   into another round only with those outside and the unlinked ones; each round takes at
-   least its pivot away, and the rounds end when none is outside.
-4. Components: labels fall to the smallest neighbour and along their own pointers.
+   into another round only with those outside and the unlinked ones.
+4. What PIVOT_ROUNDS rounds leave of a bucket are documents far from all its pivots. Their odd
+   sketches are compared with one another in blocks, and the pairs that may reach the threshold
+   are computed on the full sets.
+5. Components: labels fall to the smallest neighbour and along their own pointers.
 
 The only chance left is that no band of a linked pair agrees: (1 - threshold**rows)**bands,
 5e-7 at the threshold itself for the defaults.
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from quillmere.llm.common import WordHashes, gram_hashes, mixed, written
 
 BANDS, ROWS, SKETCH_BITS = 48, 6, 1024
+PIVOT_ROUNDS = 3
 BLOCK = 1500  # members of a pivot's neighbourhood that one task compares with as many others
 
 
@@ -183,11 +186,81 @@ def _neighbours(threshold: float):
 def _within(close: DataFrame, threshold: float) -> DataFrame:
     """Links inside the neighbourhoods that have members not linked with their pivot."""
     sizes = close.groupBy("pivot").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("gray")).filter("gray > 0 and m > 1")
-    rows = close.join(sizes, "pivot").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rows = _blocks(close.join(sizes, "pivot")).select("pivot", "doc", "n", "linked", "diff", "lo", "hi", "side")
+    return rows.groupBy("pivot", "lo", "hi").applyInArrow(_neighbours(threshold), "a long, b long")
+
+
+def _told(pairs: DataFrame, texts: DataFrame, ngram: int, near: float, threshold: float) -> DataFrame:
+    """pairs (doc, pivot) with what their full sets say of them."""
+    needed = written(pairs.select(F.explode(F.array("doc", "pivot")).alias("doc_id")).distinct(), "needed")
+    texts = written(texts.join(needed, "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
+    full = pairs.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    return written(full.select("doc", "pivot", "text", "pivot_text").mapInArrow(_compare(ngram, near, threshold), "doc long, pivot long, n long, pivot_n long, linked boolean, near boolean, diff binary"), "told")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows with a column m (rows of their group) once for each pair (lo, hi) of blocks that theirs is in; side: 0 where both are one block, else 1 or 2."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("pivot", "doc", "n", "linked", "diff", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)).alias("side"))
-    return rows.groupBy("pivot", "lo", "hi").applyInArrow(_neighbours(threshold), "a long, b long")
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    return rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other"), "side": side})
+
+
+def _alike(cut: int):
+    """Pairs of a group (rows sorted by key, lo, hi) whose sketches differ in `cut` bits at most, one of them outside."""
+
+    def settle(docs: np.ndarray, outside: np.ndarray, side: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+        a, b = [], []
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            apart = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
+            good = (apart <= cut) & (outside[rows][:, None] | outside[right][None, :])
+            i, k = np.nonzero(good)
+            i, k = docs[rows[i]], docs[right[k]]
+            a.append(np.maximum(i, k)[i != k])
+            b.append(np.minimum(i, k)[i != k])
+        return np.concatenate(a) if a else np.empty(0, np.int64), np.concatenate(b) if b else np.empty(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def groups(table: pa.Table, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            nonlocal rest
+            key = np.stack([table[c].to_numpy().astype(np.int64) for c in ("key", "lo", "hi")])
+            head = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+            ends = np.append(head[1:], table.num_rows)
+            docs, side = table["doc"].to_numpy(), table["side"].to_numpy()
+            outside = table["outside"].to_numpy(zero_copy_only=False)
+            sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+            for x, y in list(zip(head.tolist(), ends.tolist(), strict=True))[: None if whole else -1]:
+                if y - x > 1:
+                    yield settle(docs[x:y], outside[x:y], side[x:y], sketch[x:y])
+            rest = None if whole else table.slice(int(head[-1]))
+
+        def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            none = [np.empty(0, np.int64)]
+            a, b = np.concatenate(none + [x for x, _ in found]), np.concatenate(none + [y for _, y in found])
+            both = np.unique(np.stack([a, b], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc", "pivot"])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                yield out(list(groups(table if rest is None else pa.concat_tables([rest, table]), False)))
+        if rest is not None:
+            yield out(list(groups(rest, True)))
+
+    return run
+
+
+def _may_link(state: DataFrame, sketches: DataFrame, cut: int) -> DataFrame:
+    """(doc, pivot): the pairs within buckets, one of them outside, that by their sketches may be linked."""
+    sizes = state.groupBy("key").agg(F.count("*").alias("m"), F.count_if("outside").alias("out")).filter("out > 0 and m > 1").select("key", "m")
+    rows = _blocks(state.join(sizes, "key")).join(sketches.withColumnRenamed("doc_id", "doc"), "doc")
+    rows = rows.select("key", "lo", "hi", "side", "doc", "outside", "sketch").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return rows.mapInArrow(_alike(cut), "doc long, pivot long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -221,29 +294,28 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
     band_rows = some.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
     shared = band_rows.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).filter("pivot < top").select("key")
     state = written(band_rows.join(shared, "key").withColumn("outside", F.lit(True)), "buckets")
-    sketches = some.select("doc_id", "sketch")
+    sketches = some.select("doc_id", "sketch").dropDuplicates(["doc_id"])
     cut = sketch_cut(near, bands * rows, bits)
+    texts = docs.select("doc_id", "text")
     links: DataFrame | None = None
-    while True:
-        pivots = state.groupBy("key").agg(F.min(F.when(F.col("outside"), F.col("doc"))).alias("pivot"), F.count("*").alias("m")).filter("pivot is not null and m > 1").select("key", "pivot")
-        members = state.join(pivots, "key").filter("doc <> pivot")
-        pairs = members.select("doc", "pivot").distinct()
-        pairs = pairs.join(sketches.select(F.col("doc_id").alias("doc"), F.col("sketch").alias("x")), "doc").join(sketches.select(F.col("doc_id").alias("pivot"), F.col("sketch").alias("y")), "pivot")
-        apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        pairs = written(pairs.filter(apart <= cut).select("doc", "pivot").distinct(), "pairs")
-        texts = docs.select("doc_id", "text")
-        needed = written(pairs.select(F.explode(F.array("doc", "pivot")).alias("doc_id")).distinct(), "needed")
-        texts = written(texts.join(needed, "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
-        full = pairs.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-        told = written(full.select("doc", "pivot", "text", "pivot_text").mapInArrow(_compare(ngram, near, threshold), "doc long, pivot long, n long, pivot_n long, linked boolean, near boolean, diff binary"), "told")
+    for last in [False] * PIVOT_ROUNDS + [True]:
+        if last:
+            pairs = written(_may_link(state, sketches, sketch_cut(threshold, bands * rows, bits)).distinct(), "pairs")
+        else:
+            pivots = state.groupBy("key").agg(F.min(F.when(F.col("outside"), F.col("doc"))).alias("pivot"), F.count("*").alias("m")).filter("pivot is not null and m > 1").select("key", "pivot")
+            members = state.join(pivots, "key").filter("doc <> pivot")
+            pairs = members.select("doc", "pivot").distinct()
+            pairs = pairs.join(sketches.select(F.col("doc_id").alias("doc"), F.col("sketch").alias("x")), "doc").join(sketches.select(F.col("doc_id").alias("pivot"), F.col("sketch").alias("y")), "pivot")
+            apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+            pairs = written(pairs.filter(apart <= cut).select("doc", "pivot").distinct(), "pairs")
+        told = _told(pairs, texts, ngram, near, threshold)
         close = told.filter("near")
-        found = close.filter("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).union(_within(close, threshold))
-        found = written(found, "links")
+        found = close.filter("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
+        found = written(found if last else found.union(_within(close, threshold)), "links")
         links = found if links is None else links.union(found)
-        state = members.join(close.select("doc", "pivot", "linked"), ["doc", "pivot"], "left").filter(~F.coalesce("linked", F.lit(False)))
-        state = written(state.select("key", "doc", (F.col("outside") & F.col("linked").isNull()).alias("outside")), "buckets")
-        if not state.filter("outside").head(1):
-            break
+        if not last:
+            state = members.join(close.select("doc", "pivot", "linked"), ["doc", "pivot"], "left").filter(~F.coalesce("linked", F.lit(False)))
+            state = written(state.select("key", "doc", (F.col("outside") & F.col("linked").isNull()).alias("outside")), "buckets")
     label = components(links)
     of_class = classes.join(label, classes["first"] == label["doc"], "left").select("set_a", "set_b", F.coalesce("component", "first").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
