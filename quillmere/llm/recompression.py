@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmere.llm.chunks import CHUNK_BYTES, bucketed, chunked, joined, member_of, texts_of
-from quillmere.llm.common import WordHashes, mixed, written
+from quillmere.llm.common import mixed, written
 
 WINDOW, ROUNDS = 13, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(2**64 - 1)
 FAR = 1 << 40
+HASHED = 1 << 20  # bytes whose words are hashed together
 
 
 def _round(name: np.ndarray, b: np.ndarray, e: np.ndarray, c0: np.ndarray, c1: np.ndarray, doc: np.ndarray, salt: int) -> tuple[np.ndarray, ...]:
@@ -64,35 +65,67 @@ def _round(name: np.ndarray, b: np.ndarray, e: np.ndarray, c0: np.ndarray, c1: n
     return name[stay], b[stay], e[stay], n0[stay], n1[stay], doc[stay]
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i up to n; kept for the next chunk."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((int(BASE), pow(int(BASE), -1, 1 << 64))):
+            _powers[k] = np.ones(2 * n + 1, np.uint64)
+            np.multiply.accumulate(np.full(2 * n, base, np.uint64), out=_powers[k][1:])
+    return _powers[0], _powers[1]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after the other, and how many each text has."""
+    out, sizes, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (to == at or held + len(texts[to]) <= HASHED):
+            held += len(texts[to]) + 1
+            to += 1
+        b = np.frombuffer(b" ".join(texts[at:to]) + b" ", np.uint8)
+        word = ~((b == 32) | ((b >= 9) & (b <= 13)))
+        edge = np.flatnonzero(np.diff(word, prepend=False))
+        start, stop = edge[::2], edge[1::2]
+        up, down = powers(len(b))
+        prefix = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=prefix[1:])
+        out.append(mixed((prefix[stop] - prefix[start]) * down[start] + (stop - start).astype(np.uint64)))
+        ends = np.cumsum([len(t) + 1 for t in texts[at:to]])
+        sizes.append(np.diff(np.searchsorted(start, ends), prepend=0))
+        at = to
+    return np.concatenate(out), np.concatenate(sizes)
+
+
 class Windows:
     """The windows of a chunk's documents: hashes, starts, documents (by place), and on demand keys."""
 
-    def __init__(self, texts: list[bytes], window: int, hashes: WordHashes) -> None:
+    def __init__(self, texts: list[bytes], window: int) -> None:
         self.window = window
-        words = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
+        h, self.sizes = word_hashes(texts)
         self.ends = np.cumsum(self.sizes)
-        self.words, h = words, np.concatenate([np.empty(0, np.uint64), *[hashes.of(w) for w in words]])
-        self.h, self.doc = h, np.repeat(np.arange(len(words)), self.sizes)
+        self.h, self.doc = h, np.repeat(np.arange(len(texts)), self.sizes)
         starts = np.arange(len(h))
         self.starts = starts[starts + window <= self.ends[self.doc]] if len(h) else starts
-        acc = np.zeros(max(0, len(h) - window + 1), np.uint64)
-        for j in range(window if len(acc) else 0):
-            acc = acc * BASE + h[j : j + len(acc)]
-        self.hash = mixed(acc)[self.starts] if len(acc) else acc
         self.of = self.doc[self.starts] if len(h) else self.doc
 
+    def hashes(self) -> np.ndarray:
+        """The hash of each window."""
+        acc = np.zeros(max(0, len(self.h) - self.window + 1), np.uint64)
+        for j in range(self.window if len(acc) else 0):
+            acc *= BASE
+            acc += self.h[j : j + len(acc)]
+        return mixed(acc)[self.starts] if len(acc) else acc
+
     def keys(self) -> np.ndarray:
         """The key of each window."""
         n, w = len(self.h), self.window
         if not len(self.starts):
             return np.empty(0, np.uint64)
         prefix = np.zeros(n + 1, np.uint64)
-        power = np.ones(n + 1, np.uint64)
-        np.multiply.accumulate(np.full(n, BASE), out=power[1:])
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        back = np.ones(n + 1, np.uint64)
-        np.multiply.accumulate(np.full(n, inverse), out=back[1:])
+        power, back = powers(n)
         np.cumsum(self.h * power[:n], out=prefix[1:])
         owner, of_key = np.full(n, NONE), np.zeros(n, np.uint64)
         place = np.arange(n)
@@ -103,13 +136,15 @@ class Windows:
             levels.append(symbols)
         free = np.zeros(n, bool)
         free[self.starts] = True
-        for name, _, _, c0, c1, doc in reversed(levels):
-            fit = (c0 > -FAR) & (c1 < FAR) & (c1 - c0 <= w)
-            name, c0, c1, doc = name[fit], c0[fit], c1[fit], doc[fit]
-            if not len(name):
+        for _, _, _, c0, c1, _ in reversed(levels):
+            fit = np.flatnonzero((c0 > -FAR) & (c1 < FAR) & (c1 - c0 <= w))
+            until = np.append(0, np.cumsum(free))  # free windows before each place
+            fit = fit[until[c0[fit] + 1] > until[np.maximum(c1[fit] - w, 0)]]
+            c0, c1 = c0[fit], c1[fit]
+            if not len(fit):
                 continue
             key = mixed((prefix[c1] - prefix[c0]) * back[c0] + (c1 - c0).astype(np.uint64))
-            packed = (mixed(key) & ~np.uint64((1 << 28) - 1)) | np.arange(len(name), dtype=np.uint64)
+            packed = (mixed(key) & ~np.uint64((1 << 28) - 1)) | np.arange(len(fit), dtype=np.uint64)
             for j in range(w):
                 s = c0 - j
                 good = (s >= c1 - w) & (s >= 0)
@@ -127,7 +162,7 @@ class Windows:
 
 def _ask_keys(window: int, buckets: int):
     def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-        found = np.unique(Windows(texts_of(table), window, WordHashes()).keys())
+        found = np.unique(Windows(texts_of(table), window).keys())
         parts = bucketed(found, buckets)
         return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()), "keys": pa.array([found[s].tobytes() for _, s in parts], pa.binary())})
 
@@ -148,9 +183,9 @@ def _ask_windows(window: int, buckets: int):
         shared = np.sort(joined(answers["keys"].to_pylist(), np.uint64))
         if not len(shared) or not table.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "firsts": pa.array([], pa.binary())})
-        w = Windows(texts_of(table), window, WordHashes())
+        w = Windows(texts_of(table), window)
         ask = member_of(w.keys(), shared)
-        hashes, docs = w.hash[ask], table["doc_id"].to_numpy()[w.of[ask]]
+        hashes, docs = w.hashes()[ask], table["doc_id"].to_numpy()[w.of[ask]]
         values, first = _firsts(hashes, docs)
         parts = bucketed(values, buckets)
         return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()), "keys": pa.array([values[s].tobytes() for _, s in parts], pa.binary()), "firsts": pa.array([first[s].tobytes() for _, s in parts], pa.binary())})
@@ -160,7 +195,7 @@ def _ask_windows(window: int, buckets: int):
 
 def _firsts(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, with the smallest document of each."""
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     sorted_, docs = hashes[order], docs[order]
     head = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.empty(0, np.int64)
     return sorted_[head], np.minimum.reduceat(docs, head) if len(head) else docs
@@ -179,19 +214,21 @@ def _keep(window: int, texts: bool):
     def run(key: tuple[pa.Scalar], table: pa.Table, answers: pa.Table) -> pa.Table:
         earlier = np.sort(joined(answers["keys"].to_pylist(), np.uint64))
         ids = table["doc_id"].to_numpy()
-        w = Windows(texts_of(table), window, WordHashes())
+        sources = texts_of(table)
+        w = Windows(sources, window)
         docs = ids[w.of] if len(w.of) else np.empty(0, np.int64)
-        values, first = _firsts(w.hash, docs)
-        gone = member_of(w.hash, earlier)
+        hashes = w.hashes()
+        values, first = _firsts(hashes, docs)
+        gone = member_of(hashes, earlier)
         if len(values):
-            gone |= docs > first[np.searchsorted(values, w.hash)]
+            gone |= docs > first[np.searchsorted(values, hashes)]
         cover = np.zeros(len(w.h) + 1, np.int32)
         np.add.at(cover, w.starts[gone], 1)
         np.add.at(cover, w.starts[gone] + window, -1)
         removed = np.cumsum(cover[:-1]) > 0
         begin, rows = 0, []
-        for words, end, doc in zip(w.words, w.ends.tolist(), ids.tolist(), strict=True):
-            cut = removed[begin:end]
+        for source, end, doc in zip(sources, w.ends.tolist(), ids.tolist(), strict=True):
+            cut, words = removed[begin:end], source.split()
             kept = [x for x, r in zip(words, cut.tolist(), strict=True) if not r] if cut.any() else words
             rows.append((doc, len(words), int(cut.sum()), b" ".join(kept)))
             begin = end
