@@ -85,8 +85,8 @@ sets as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else
 classes as (select s, min(doc_id) as rep from sets where len(s) > 0 group by s),
 ranked as (select g, row_number() over (order by count(*), g) as r from (select unnest(s) as g from classes) group by g),
 placed as (select rep, len(s) as n, unnest(s) as g from classes),
-ordered as (select p.rep, p.n, r.r, row_number() over (partition by p.rep order by r.r) as at from placed p join ranked r using (g)),
-prefix as (select * from ordered where at <= n - (80 * n + 99) // 100 + 1),
+ordered as (select p.rep, p.n, r.r, row_number() over (partition by p.rep order by r.r) as place from placed p join ranked r using (g)),
+prefix as (select * from ordered where place <= n - (80 * n + 99) // 100 + 1),
 pairs as (select distinct a.rep as a, b.rep as b from prefix a join prefix b on a.r = b.r and a.rep < b.rep and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n),
 joined as (select a, b, len(x.s) + len(y.s) as total, len(list_intersect(x.s, y.s)) as both_n from pairs join classes x on x.rep = a join classes y on y.rep = b),
 links as (select a, b from joined where 100 * both_n >= 80 * (total - both_n)),
