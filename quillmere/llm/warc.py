@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, base: str, range_bytes: int = RANGE_BYTES,
     both = flags.union(rows.select("range", "page_id", F.lit(1), "url", "digest", "html", F.lit(None).cast("long")))
     store, root = pafs.FileSystem.from_uri(base)
     store.create_dir(root, recursive=True)
-    made = both.repartitionByRange("range", "page_id").sortWithinPartitions("range", "page_id", "kind", "url", "digest")
+    made = both.repartitionByRange("range").sortWithinPartitions("range", "page_id", "kind", "url", "digest")
     report = written(made.mapInArrow(_write(base, file_bytes), "name string, tmp string, records long, bytes long, sha256 string"), "warc-report")
     return written(report.repartition("name").mapInArrow(_rename(base), "name string, records long, bytes long, sha256 string"), "warc-manifest")
 
