@@ -14,6 +14,7 @@ and the minimum over the moving range of i is held in a monotone queue.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -28,7 +29,8 @@ WINDOW, END_ID = 2048, 1
 STRETCH = 1 << 20  # tokens that are packed together; only its last window is filled less
 GRID = 64
 SENTENCE_PENALTY, HARD_PENALTY = 4, 40
-CHUNK_CACHE = 300_000
+CHUNK_CACHE = 600_000
+MEETING = re.compile(r"\s | \s")
 
 
 class Tokens:
@@ -36,7 +38,7 @@ class Tokens:
 
     The byte-level pre-tokeniser never joins what stands before a space with the character after
     it, so a text falls into chunks ` word` that are tokenised each by itself and remembered.
-    Where two spaces meet or a space ends the text, the text is tokenised whole.
+    Where a space meets other white space, the text is tokenised whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,26 +48,29 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.stops: set[str] = set()  # the known chunks that end a sentence
 
     def many(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         """For each text its ids and the token positions after sentences."""
         split = [t.split(" ") for t in texts]
-        odd = ["" in p or any(x[-1].isspace() for x in p[:-1] if x) or any(x[0].isspace() for x in p[1:] if x) for p in split]
+        odd = map(MEETING.search, texts)
         chunks = [[t] if o else [p[0], *map(" ".__add__, p[1:])] for t, p, o in zip(texts, split, odd, strict=True)]
         new = set().union(*chunks).difference(self.known, [""])
         if len(self.known) + len(new) > CHUNK_CACHE:
             self.known.clear()
+            self.stops.clear()
             new = set().union(*chunks).difference([""])
         names = list(new)
         for at in range(0, len(names), 20_000):
             part = names[at : at + 20_000]
             for name, x in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[name] = np.array(x.ids, "<u4").tobytes()
+            self.stops.update(x for x in part if x[-1] in ".!?")
         self.known[""] = b""
         for c in chunks:
             ids = list(map(self.known.__getitem__, c))
             ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) >> 2
-            stops = np.fromiter((x[-1:] in ".!?" for x in c), bool, len(c))
+            stops = np.fromiter(map(self.stops.__contains__, c), bool, len(c))
             yield b"".join(ids), ends[stops]
 
 
