@@ -58,8 +58,8 @@ def host_of(source: Column) -> Column:
     return F.when(low.contains("://"), F.regexp_extract(low, r"://(?:[^/@]*@)?([^/:?#]+)", 1)).otherwise(low)
 
 
-def base_failed(n_words: Column = F.col("n_words"), n_repeat: Column = F.col("n_repeat_words")) -> Column:
-    return (n_words < 50) | (100 * n_repeat > 50 * n_words)
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
