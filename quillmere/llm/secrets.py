@@ -25,6 +25,7 @@ from quillmere.llm.spans import rebuilt, starts, with_values
 
 FIT_ROWS = 20_000  # labelled findings that the forest and its dictionary are fitted on, at most
 DICTIONARY_WORDS = 5_000
+KEY = ("doc_key", "text_key", "path", "ordinal")  # says which finding it is; none of these is ever null
 NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|key)"
 CANDIDATE = rf"(?i)(?<=\b{NAMES}\s{{0,3}}[:=]\s{{0,3}}[\x22']?)[^\s\x22'=:]{{8,}}|(?-i)(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{{0,200}}[0-9])[A-Za-z0-9+/_=-]{{16,}}"
 ASSIGNED = rf"(?i)\b{NAMES}\s{{0,3}}[:=]\s{{0,3}}[\x22']?$"
@@ -32,12 +33,12 @@ NUMBERS = ("length", "digits", "uppers", "others", "hexes", "changes", "distinct
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, path, ordinal, start, value, before, after): the candidates in docs (doc_id, text, source), with 40 characters around them."""
+    """(doc_id, doc_key, text_key, path, ordinal, start, value, before, after): the candidates in docs (doc_id, text, source), with 40 characters around them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), "text")
     rows = with_values(rows.filter(F.col("text").rlike("[0-9]") | F.col("text").rlike(f"(?i){NAMES}")), CANDIDATE).filter("size(vals) > 0").withColumn("starts", starts())
     around = F.expr("transform(vals, (v, i) -> named_struct('value', v, 'start', starts[i], 'before', right(parts[i], 40), 'after', left(parts[i + 1], 40)))")
     rows = rows.select("doc_id", "text_key", "path", F.posexplode(around))
-    return rows.select("doc_id", "text_key", "path", F.col("pos").alias("ordinal"), "col.start", "col.value", "col.before", "col.after")
+    return rows.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("doc_key"), "text_key", "path", F.col("pos").alias("ordinal"), "col.start", "col.value", "col.before", "col.after")
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -68,10 +69,10 @@ def weak_labels(found: DataFrame) -> DataFrame:
 
 def _covered(found: DataFrame, words: list[str]) -> DataFrame:
     """found with coverage: the share of the value in runs of letters that the dictionary (at most DICTIONARY_WORDS words) has."""
-    runs = found.select("doc_id", "text_key", "ordinal", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("word"))
+    runs = found.select(*KEY, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("word"))
     known = found.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    sums = runs.join(F.broadcast(known), "word").groupBy("doc_id", "text_key", "ordinal").agg(F.sum(F.length("word")).alias("covered"))
-    return found.join(sums, ["doc_id", "text_key", "ordinal"], "left").withColumn("coverage", F.coalesce("covered", F.lit(0)) / F.col("length")).drop("covered")
+    sums = runs.join(F.broadcast(known), "word").groupBy(*KEY).agg(F.sum(F.length("word")).alias("covered"))
+    return found.join(sums, list(KEY), "left").withColumn("coverage", F.coalesce("covered", F.lit(0)) / F.col("length")).drop("covered")
 
 
 def fitted(found: DataFrame, labelled: DataFrame | None) -> tuple[PipelineModel | None, list[str]]:
@@ -94,7 +95,7 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0
     """(doc_id, text_key, ordinal, start, length, value_sha256, score, secret) of each candidate in docs (doc_id, text, source).
 
     labelled: findings (doc_id, start, label 0 or 1) to train on. A null or empty text has no candidate, a
-    null source an empty path; with labels of one kind only, candidates assigned to a secret's name score 1
+    null source an empty path, a null doc_id stays null; with labels of one kind only, candidates assigned to a secret's name score 1
     and others 0. Repeated rows give a row each, an empty table none; other columns are not read.
     """
     found = written(described(candidates(docs)), "findings")
@@ -102,9 +103,9 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0
     if model is None:
         scored = found.withColumn("score", F.col("assigned"))
     else:
-        keyed = _covered(found.dropDuplicates(["doc_id", "text_key", "ordinal"]), words)
-        scores = model.transform(keyed).select("doc_id", "text_key", "ordinal", F.round(vector_to_array("probability")[1], 6).alias("score"))
-        scored = found.join(scores, ["doc_id", "text_key", "ordinal"])
+        keyed = _covered(found.dropDuplicates(list(KEY)), words)
+        scores = model.transform(keyed).select(*KEY, F.round(vector_to_array("probability")[1], 6).alias("score"))
+        scored = found.join(scores, list(KEY))
     return scored.select("doc_id", "text_key", "ordinal", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= limit).alias("secret"))
 
 

@@ -146,9 +146,9 @@ def test_secrets_are_told_from_other_values(spark):
     rng = random.Random(2)
     hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
     rows = [(i, f'some words token = "{hexes()}" more', "src1") for i in range(40)] + [(100 + i, f"paid {rng.randrange(10**15, 10**16)} to me", "src2") for i in range(40)]
-    docs = spark.createDataFrame([*rows, (200, "clean", "src1"), (201, None, None)], DOCS)
+    docs = spark.createDataFrame([*rows, (200, "clean", "src1"), (201, None, None), (None, *rows[0][1:])], DOCS)
     out = secrets(docs).collect()
-    assert all(r["secret"] == (r["doc_id"] < 100) for r in out) and len(out) == 80
+    assert all(r["secret"] == ((r["doc_id"] or 0) < 100) for r in out) and len(out) == 81
     after = {r["doc_id"]: r["text"] for r in redacted(docs).collect()}
     assert "<SECRET>" in after[0] and after[100] == rows[40][1] and after[200] == "clean" and after[201] is None
 
