@@ -5,24 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.operators.ordering import prefix_sum
+
 
 def cells(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """by, score, n and pos of each distinct score."""
     return scored.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
 
 
-def ranking(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """by, n, pos, average_precision (step-wise) and roc_auc (ties count half) of each group."""
-    c = cells(scored, by, score, label)
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("at", F.sum("n").over(down)).withColumn("tp", F.sum("pos").over(down))
-    neg_above = (F.col("at") - F.col("n")) - (F.col("tp") - F.col("pos"))
-    c = c.withColumn("won", F.col("pos") * (neg_above + (F.col("n") - F.col("pos")) / 2))
-    sums = c.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("pos") * F.col("tp") / F.col("at")).alias("ap"), F.sum("won").alias("lost"))
+def ranking_of_cells(c: DataFrame, by: list[str], score: str) -> DataFrame:
+    """by, n, pos, average_precision (step-wise) and roc_auc (ties count half) of each group, from cells with n and pos."""
+    c = prefix_sum(c, by, score, ["n", "pos"])
+    neg_above = (F.col("n_to") - F.col("n")) - (F.col("pos_to") - F.col("pos"))
+    c = c.withColumn("lost", F.col("pos") * (neg_above + (F.col("n") - F.col("pos")) / 2))
+    sums = c.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("pos") * F.col("pos_to") / F.col("n_to")).alias("ap"), F.sum("lost").alias("lost"))
     neg = F.col("n") - F.col("pos")
     return sums.select(*by, "n", "pos", F.round(F.try_divide("ap", "pos"), 6).alias("average_precision"), F.round(1 - F.try_divide(F.col("lost"), F.col("pos") * neg), 6).alias("roc_auc"))
 
 
+def ranking(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """by, n, pos, average_precision and roc_auc of each group."""
+    return ranking_of_cells(cells(scored, by, score, label), by, score)
+
+
+def curve(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """by, score, tp, fp, precision, recall and fpr of each distinct score taken as threshold."""
+    c = prefix_sum(cells(scored, by, score, label), by, score, ["n", "pos"])
+    totals = scored.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(label).alias("_pos"))
+    rows = c.join(totals, by) if by else c.crossJoin(totals)
+    fp = F.col("n_to") - F.col("pos_to")
+    return rows.select(*by, score, F.col("pos_to").alias("tp"), fp.alias("fp"), F.round(F.col("pos_to") / F.col("n_to"), 6).alias("precision"), F.round(F.try_divide("pos_to", "_pos"), 6).alias("recall"), F.round(F.try_divide(fp, F.col("_n") - F.col("_pos")), 6).alias("fpr"))
+
+
+def recall_threshold(scored: DataFrame, by: list[str], score: str, label: str, target: float) -> DataFrame:
+    """by, threshold, tp, fp, precision and recall of the highest score at which recall reaches the target, its ties included."""
+    points = curve(scored, by, score, label).filter(F.col("recall") >= target)
+    best = F.max_by(F.struct(F.col(score).alias("threshold"), "tp", "fp", "precision", "recall"), score).alias("_at")
+    return points.groupBy(*by).agg(best).select(*by, "_at.*")
+
+
 def proper_scores(scored: DataFrame, by: list[str], p: str, label: str, clip: float = 1e-6) -> DataFrame:
     """by, brier and log_loss (p clipped) of each group."""
     q = F.least(F.greatest(F.col(p), F.lit(clip)), F.lit(1 - clip))

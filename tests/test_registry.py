@@ -1,11 +1,11 @@
 import pytest
 
-from quillmere.plans import registry
+from quillmere.plans import catalog
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_sql(spark, name):
-    assert_same(registry.QUERIES[name](spark, SF), registry.SQL[name], SF)
+    assert_same(catalog.QUERIES[name](spark, SF), catalog.SQL[name], SF)
