@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmere.functions import dates, geometry, text
 from quillmere.operators import attribution, evaluation, ordering, resampling, spatial, splits, survival, weather
 from quillmere.operators.ordering import portable_hash_sql as hashed
-from quillmere.plans.registry import COHORT, FIRST, LAST, SCORED, Tables, gaps, query, scored
+from quillmere.plans.registry import COHORT, SCORED, Tables, gaps, query, scored
 
 RAW_DATE = "case o_orderkey % 6 when 0 then {iso} || ' 10:15:30' when 1 then {iso} when 2 then 'vers ' || {year} when 3 then '' when 4 then 'inconnu' else 'n/a' end"
 DUCK_DATE = RAW_DATE.format(iso="strftime(o_orderdate, '%Y-%m-%d')", year="year(o_orderdate)::varchar")
@@ -22,9 +22,9 @@ def date_status(t: Tables) -> DataFrame:
     return t("orders").select(found.alias("p")).groupBy("p.status", "p.day").agg(F.count("*").alias("n"))
 
 
-@query("h03_localised", """with e as (select event_id, ts + shift as at from events, (select unnest([interval 46 day, interval 290 day]) as shift)),
-s as (select *, case when at >= timestamp '2024-03-10 02:00:00' and at < timestamp '2024-03-10 03:00:00' then 'nonexistent_dst' when at >= timestamp '2024-11-03 01:00:00' and at < timestamp '2024-11-03 02:00:00' then 'ambiguous_dst' else 'successfully_localized' end as status, at >= timestamp '2024-03-10 03:00:00' and at < timestamp '2024-11-03 01:00:00' as summer from e)
-select status, count(*) as n, sum(case when status = 'successfully_localized' then date_diff('hour', at, at + case when summer then interval 4 hour else interval 5 hour end) else 0 end)::bigint as hours from s group by 1""")
+@query("h03_localised", """with e as (select event_id, ts + shift as loc from events, (select unnest([interval 46 day, interval 290 day]) as shift)),
+s as (select *, case when loc >= timestamp '2024-03-10 02:00:00' and loc < timestamp '2024-03-10 03:00:00' then 'nonexistent_dst' when loc >= timestamp '2024-11-03 01:00:00' and loc < timestamp '2024-11-03 02:00:00' then 'ambiguous_dst' else 'successfully_localized' end as status, loc >= timestamp '2024-03-10 03:00:00' and loc < timestamp '2024-11-03 01:00:00' as summer from e)
+select status, count(*) as n, sum(case when status = 'successfully_localized' then date_diff('hour', loc, loc + case when summer then interval 4 hour else interval 5 hour end) else 0 end)::bigint as hours from s group by 1""")
 def localised(t: Tables) -> DataFrame:
     at = t("events").select(F.explode(F.array(F.expr("ts + interval 46 day"), F.expr("ts + interval 290 day"))).alias("at"))
     rows = at.select(F.col("at").cast("timestamp_ntz").alias("at")).withColumn("l", dates.localised(F.col("at"), "America/Toronto"))
