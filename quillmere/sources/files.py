@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-FALLBACK_ENCODING = "windows-1252"
+# Spark reads ISO-8859-1 but not windows-1252, which differs from it in the bytes 80 to 9F alone.
+PLACES = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+LATIN, WINDOWS = "".join(k for k, v in PLACES.items() if v), "".join(PLACES.values())
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options: str) -> DataFrame:
@@ -18,7 +20,10 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options
     """
     broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
     reader = spark.read.option("header", True).option("enforceSchema", True).options(**options)
-    return reader.option("encoding", FALLBACK_ENCODING if broken else "UTF-8").csv(path, schema=schema)
+    if not broken:
+        return reader.csv(path, schema=schema)
+    rows = reader.option("encoding", "ISO-8859-1").csv(path, schema=schema)
+    return rows.withColumns({c: F.translate(c, LATIN, WINDOWS) for c, kind in rows.dtypes if kind == "string"})
 
 
 def features(texts: DataFrame, column: str, properties: str) -> DataFrame:
