@@ -18,6 +18,8 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,49 +31,132 @@ WINDOW, END_ID = 2048, 1
 STRETCH = 1 << 20  # tokens that are packed together; only its last window is filled less
 GRID = 64
 SENTENCE_PENALTY, HARD_PENALTY = 4, 40
-CHUNK_CACHE = 600_000
+CHUNK_CACHE, TOKEN_CACHE = 1_000_000, 8_000_000  # chunks and ids that a worker keeps
 MEETING = re.compile(r"\s | \s")
+SAFE = re.compile(r"(?<=\S) (?=\S)")
+LINES = re.compile(r" ?\S+(?:\n\S+)*")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481"  # characters that are letters in every version of Unicode
+WORD = re.compile(f" ?[{LETTERS}]+")
+MARKED = re.compile(f"(.*[{LETTERS}0-9])([.,!?;:]+)")
+
+
+class Codes(dict):
+    """Chunks by number, in the order of their first sight; `new` holds those not encoded yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        code = self[key] = len(self)
+        self.new.append(key)
+        return code
 
 
 class Tokens:
     """Ids of texts as little-endian uint32 bytes.
 
-    The byte-level pre-tokeniser never joins what stands before a space with the character after
-    it, so a text falls into chunks ` word` that are tokenised each by itself and remembered.
-    Where a space meets other white space, the text is tokenised whole.
+    The byte-level pre-tokeniser never joins what stands before a single space with the character
+    after it, so a text falls into chunks ` word` that are encoded each by itself and remembered. A
+    chunk ` word` has the key `word`, one without the space (the first of a text) the key ` word`.
+    New chunks fall further at line ends and before closing marks, where the pre-tokeniser parts
+    them as well; a piece of letters alone is one of its words and goes straight to the merges.
+    Vocabularies of another kind (`bytewise` is false) encode each text whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.stops: set[str] = set()  # the known chunks that end a sentence
+        cut = self.model.pre_tokenizer
+        self.bytewise = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.model.normalizer is None and isinstance(self.model.model, models.BPE)
+        self.merge = self.model.model.tokenize
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = Codes()
+        self.first = self.size = np.empty(0, np.int64)  # where the ids of each code begin, and how many they are
+        self.stop = np.empty(0, bool)  # whether it ends a sentence
+        self.flat = np.empty(0, np.uint32)
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        """The keys of the pieces of a text that matches LINES."""
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            if i:
+                out.append(" \n")
+            marked = MARKED.fullmatch(line)
+            out += [p[1:] if p[0] == " " else " " + p for p in (marked.groups() if marked else (line,))]
+        return out
+
+    def _learn(self) -> None:
+        """Encodes the new chunks."""
+        codes, known = self.codes, len(self.size)
+        ids: list[list[int]] = []
+        made: list[tuple[int, list[str]]] = []
+        alone: list[int] = []
+        for key in codes.new:  # grows by the pieces
+            text = key[1:] if key[:1] == " " else " " + key
+            ids.append([])
+            if WORD.fullmatch(text):
+                ids[-1] = [t.id for t in self.merge(text.encode().decode("latin-1").translate(self.letters))]
+                continue
+            pieces = self._pieces(text) if LINES.fullmatch(text) else []
+            if len(pieces) > 1:
+                made.append((len(ids) - 1, pieces))
+                for p in pieces:
+                    codes[p]
+            elif text:
+                alone.append(len(ids) - 1)
+        for at in range(0, len(alone), 5000):
+            part = [codes.new[i] for i in alone[at : at + 5000]]
+            texts = [k[1:] if k[:1] == " " else " " + k for k in part]
+            for i, x in zip(alone[at : at + 5000], self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids[i] = x.ids
+        for i, pieces in made:
+            for c in map(codes.__getitem__, pieces):
+                ids[i] += ids[c - known] if c >= known else self.flat[self.first[c] : self.first[c] + self.size[c]].tolist()
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.stop = np.concatenate([self.stop, np.fromiter((k[-1:] in (".", "!", "?") for k in codes.new), bool, len(size))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        codes.new = []
 
     def many(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         """For each text its ids and the token positions after sentences."""
-        split = [t.split(" ") for t in texts]
-        odd = map(MEETING.search, texts)
-        chunks = [[t] if o else [p[0], *map(" ".__add__, p[1:])] for t, p, o in zip(texts, split, odd, strict=True)]
-        new = set().union(*chunks).difference(self.known, [""])
-        if len(self.known) + len(new) > CHUNK_CACHE:
-            self.known.clear()
-            self.stops.clear()
-            new = set().union(*chunks).difference([""])
-        names = list(new)
-        for at in range(0, len(names), 20_000):
-            part = names[at : at + 20_000]
-            for name, x in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[name] = np.array(x.ids, "<u4").tobytes()
-            self.stops.update(x for x in part if x[-1] in ".!?")
-        self.known[""] = b""
+        if not self.bytewise:
+            for x in self.model.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(x.ids, "<u4").tobytes(), np.empty(0, np.int64)
+            return
+        if len(self.codes) > CHUNK_CACHE or len(self.flat) > TOKEN_CACHE:
+            self._forget()
+        chunks = [SAFE.split(t) if MEETING.search(t) else t.split(" ") for t in texts]
+        for c in chunks:
+            c[0] = " " + c[0]
+        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(chunks)), np.int64, sum(map(len, chunks)))
+        if self.codes.new:
+            self._learn()
+        size, stop = self.size[code], self.stop[code]
+        ends = np.cumsum(size)
+        ids = self.flat[np.arange(size.sum()) + np.repeat(self.first[code] - (ends - size), size)].astype("<u4", copy=False)
+        at, token = 0, 0
         for c in chunks:
-            ids = list(map(self.known.__getitem__, c))
-            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) >> 2
-            stops = np.fromiter(map(self.stops.__contains__, c), bool, len(c))
-            yield b"".join(ids), ends[stops]
+            to = at + len(c)
+            last = int(ends[to - 1])
+            yield ids[token:last].tobytes(), ends[at:to][stop[at:to]] - token
+            at, token = to, last
+
+
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    """A worker's tokeniser: the tasks that it runs share what it remembers."""
+    return Tokens(path)
 
 
 def cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
@@ -95,16 +180,22 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
     return out[::-1]
 
 
+def merged(*rising: np.ndarray) -> np.ndarray:
+    """The different values of rising arrays, in order."""
+    out = np.sort(np.concatenate(rising), kind="stable")
+    return out[np.diff(out, prepend=-1) > 0]
+
+
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions with their penalties: ends of documents and sentences, and a grid where these are far apart."""
-    places = np.union1d(doc_ends, sentence_ends)
+    places = merged(doc_ends, sentence_ends)
     gaps = np.diff(places, prepend=0)
     far = np.flatnonzero(gaps > 4 * GRID)
     grid = [np.arange(places[i] - gaps[i] + GRID, places[i], GRID) for i in far]
-    every = np.union1d(places, np.concatenate(grid)) if grid else places
+    every = merged(places, *grid)
     penalty = np.full(len(every), float(HARD_PENALTY))
-    penalty[np.isin(every, sentence_ends)] = SENTENCE_PENALTY
-    penalty[np.isin(every, doc_ends)] = 0
+    penalty[np.searchsorted(every, sentence_ends)] = SENTENCE_PENALTY
+    penalty[np.searchsorted(every, doc_ends)] = 0
     return every, penalty
 
 
@@ -114,7 +205,7 @@ def _pack(path: str, window: int, end_id: int):
     def stretch(held: list[tuple[int, bytes, np.ndarray]], first: int) -> tuple[pa.RecordBatch, int]:
         sizes = np.array([len(ids) >> 2 for _, ids, _ in held])
         ends = np.cumsum(sizes)
-        stops = np.unique(np.concatenate([e - n + s for (_, _, s), n, e in zip(held, sizes, ends, strict=True)]))
+        stops = merged(*[e - n + s for (_, _, s), n, e in zip(held, sizes, ends, strict=True)])
         made, at, start, rows = cuts(*candidates(ends, stops[stops > 0]), window), 0, 0, []
         for (doc, ids, _), n, e in zip(held, sizes.tolist(), ends.tolist(), strict=True):
             done = 0
@@ -127,7 +218,7 @@ def _pack(path: str, window: int, end_id: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]), first + at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held, total, next_id = Tokens(path), [], 0, TaskContext.get().partitionId() << 40
+        tokens, held, total, next_id = tokens_of(path), [], 0, TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 texts = ["" if t is None else t for t in batch.column(1)[at : at + 200].to_pylist()]

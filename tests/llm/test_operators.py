@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,19 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
         after = stage(spark, docs, SF)
         assert after.columns == docs.columns and 0 < after.count() <= docs.count()
         docs = after
+
+
+def test_packing_ids_are_the_tokenisers() -> None:
+
+    import public_tokenizers
+
+    from quillmere.llm.packing import Tokens
+
+    tokens, rng = Tokens(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    bits = ["a", "Zb", "é", "1", "23", ".", " ", " ", "\n", ",", "!?", "'s", "don't", "\t", "  ", "漢字", "😀", ":", "_", "<|endoftext|>", "\r\n", "\x1c", "ß.", "д", "²", "·"]
+    texts = ["", " ", "\n", "a ", " a", "a  b"] + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for at in range(0, len(texts), 200):
+        part = texts[at : at + 200]
+        for (ids, stops), true in zip(tokens.many(part), tokens.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == true.ids
+            assert not len(stops) or (np.diff(stops) > 0).all() and stops[-1] <= len(true.ids)
