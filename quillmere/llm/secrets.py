@@ -115,7 +115,7 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None, limit: float =
     told = written(told.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_found"), "secrets")
     names = docs.columns
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_key"))
-    rows = docs.join(told, same, "left").select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["text"].alias("text"), "_found")
+    rows = docs.join(told, same, "left").select(F.struct(*[docs[c] for c in names]).alias("_row"), F.when(F.col("_found").isNotNull(), docs["text"]).alias("text"), "_found")  # texts without a secret aren't searched again
     rows = with_values(rows, CANDIDATE).withColumn("_new", F.expr("transform(vals, (v, i) -> if(array_contains(_found, i), '" + mark.replace("'", "\\'") + "', v))"))
-    rows = rows.withColumn("_text", F.when(F.col("_found").isNotNull(), rebuilt("_new")).otherwise(F.col("text")))
+    rows = rows.withColumn("_text", F.when(F.col("_found").isNotNull(), rebuilt("_new")).otherwise(F.col("_row.text")))
     return rows.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in names])
