@@ -1,12 +1,12 @@
 """Secret scans with a random forest against false positives, on DataFrame functions and Spark ML.
 
-Candidates are long runs of key characters that hold a digit, and what is assigned to a name like
-token or password. Each is described by its length, character transitions and classes, by how far
+Candidates are long runs of key characters that hold a digit, what is assigned to a name like
+token or password (DB_PASSWORD=, accessToken:, "password": too), and keys of a known form. Each is described by its length, character transitions and classes, by how far
 words of a dictionary cover it, by where it stands (path) and by its neighbouring words. A random forest
 trained on labelled findings tells secrets from other long values.
 
-Where no labelled findings are given, they are taken from the text: a value assigned to a secret's
-name and made of several character classes is a secret; others are not. The forest and the
+Where no labelled findings are given, they are taken from the text: a value of digits and others
+assigned to a secret's name is a secret, and so is a key of a known form wherever it stands; others are not. The forest and the
 dictionary (the words around the findings it is trained on) are fitted on at most FIT_ROWS
 findings, those of the smallest hash; all findings are scored.
 """
@@ -26,17 +26,23 @@ from quillmere.llm.spans import rebuilt, starts, with_values
 FIT_ROWS = 20_000  # labelled findings that the forest and its dictionary are fitted on, at most
 DICTIONARY_WORDS = 5_000
 KEY = ("doc_key", "text_key", "path", "ordinal")  # says which finding it is; none of these is ever null
-NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|key)"
-CANDIDATE = rf"(?i)(?<=\b{NAMES}\s{{0,3}}[:=]\s{{0,3}}[\x22']?)[^\s\x22'=:]{{8,}}|(?-i)(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{{0,200}}[0-9])[A-Za-z0-9+/_=-]{{16,}}"
-ASSIGNED = rf"(?i)\b{NAMES}\s{{0,3}}[:=]\s{{0,3}}[\x22']?$"
-NUMBERS = ("length", "digits", "uppers", "others", "hexes", "changes", "distinct", "vowels", "coverage", "assigned", "quoted")
+WORDS = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"  # ends of names, whatever stands before
+SHORT = r"(?:(?<![A-Za-z])(?i:key|auth)|(?<=[a-z0-9])(?:Key|Auth))(?<!(?i:public|primary|foreign)[_.-]?(?i:key))"  # where a part of a name begins (not in monkey)
+ASSIGNS = rf"(?:(?i:{WORDS})|{SHORT})[\x22']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\x22']?"
+PADDING = r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?"  # of base64; any other '=' parts a name from its value
+KNOWN = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{50,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)?)"
+CANDIDATE = rf"(?<=[:=>\s\x22'])(?<=[:=>]\s{{0,3}}[\x22']?)(?<={ASSIGNS})(?!>)[^\s\x22'=:]{{8,}}{PADDING}|(?<![A-Za-z0-9+/_-])(?:{KNOWN}|(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{16,}}){PADDING}"
+ASSIGNED = rf"{ASSIGNS}$"
+HINT = rf"[0-9]|{KNOWN}|(?i:{WORDS}|key|auth)"  # no text without it has a candidate
+NUMBERS = ("length", "digits", "uppers", "others", "hexes", "changes", "distinct", "vowels", "coverage", "assigned", "known", "quoted")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_key, text_key, path, ordinal, start, value, before, after): the candidates in docs (doc_id, text, source), with 40 characters around them."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), "text")
-    rows = with_values(rows.filter(F.col("text").rlike("[0-9]") | F.col("text").rlike(f"(?i){NAMES}")), CANDIDATE).filter("size(vals) > 0").withColumn("starts", starts())
-    around = F.expr("transform(vals, (v, i) -> named_struct('value', v, 'start', starts[i], 'before', right(parts[i], 40), 'after', left(parts[i + 1], 40)))")
+    rows = with_values(rows.filter(F.col("text").rlike(HINT)), CANDIDATE).filter("size(vals) > 0").withColumn("starts", starts())
+    before = "substring(cast(text as string), cast(greatest(starts[i] - 40, 0) + 1 as int), cast(least(starts[i], 40) as int))"  # of the text: a name can be a candidate itself
+    around = F.expr(f"transform(vals, (v, i) -> named_struct('value', v, 'start', starts[i], 'before', {before}, 'after', left(parts[i + 1], 40)))")
     rows = rows.select("doc_id", "text_key", "path", F.posexplode(around))
     return rows.select("doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("doc_key"), "text_key", "path", F.col("pos").alias("ordinal"), "col.start", "col.value", "col.before", "col.after")
 
@@ -55,6 +61,7 @@ def described(found: DataFrame) -> DataFrame:
         .withColumn("distinct", F.size(F.array_distinct(F.split("value", ""))) / F.length("value"))
         .withColumn("vowels", share("(?i)[aeiou]"))
         .withColumn("assigned", F.col("before").rlike(ASSIGNED).cast("double"))
+        .withColumn("known", F.col("value").rlike(f"^{KNOWN}").cast("double"))
         .withColumn("quoted", F.col("before").rlike("[\\x22']$").cast("double"))
         .withColumn("word_before", word("before", r"([\p{L}_-]+)[^\p{L}]*$"))
         .withColumn("word_after", word("after", r"^[^\p{L}]*([\p{L}_-]+)"))
@@ -63,8 +70,8 @@ def described(found: DataFrame) -> DataFrame:
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """found with `label`: 1 where a value of letters and digits is assigned to a secret's name, else 0."""
-    return found.withColumn("label", ((F.col("assigned") > 0) & (F.col("digits") > 0.05) & (F.col("digits") < 0.95)).cast("double"))
+    """found with `label`: 1 where a value of digits and others is assigned to a secret's name, or has the form of a known key, else 0."""
+    return found.withColumn("label", (((F.col("assigned") > 0) & (F.col("digits") > 0) & (F.col("digits") < 1)) | (F.col("known") > 0)).cast("double"))
 
 
 def _covered(found: DataFrame, words: list[str]) -> DataFrame:
@@ -95,18 +102,22 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0
     """(doc_id, text_key, ordinal, start, length, value_sha256, score, secret) of each candidate in docs (doc_id, text, source).
 
     labelled: findings (doc_id, start, label 0 or 1) to train on. A null or empty text has no candidate, a
-    null source an empty path, a null doc_id stays null; with labels of one kind only, candidates assigned to a secret's name score 1
-    and others 0. Repeated rows give a row each, an empty table none; other columns are not read.
+    null source an empty path, a null doc_id stays null; with labels of one kind only, candidates assigned to a secret's name or of a known
+    form score 1 and others 0. Without `labelled`, what the text itself labels a secret is one whatever its score: a form too rare for
+    the forest is not lost. Repeated rows give a row each, an empty table none; other columns are not read.
     """
     found = written(described(candidates(docs)), "findings")
     model, words = fitted(found, labelled)
     if model is None:
-        scored = found.withColumn("score", F.col("assigned"))
+        scored = found.withColumn("score", F.greatest("assigned", "known"))
     else:
         keyed = _covered(found.dropDuplicates(list(KEY)), words)
         scores = model.transform(keyed).select(*KEY, F.round(vector_to_array("probability")[1], 6).alias("score"))
         scored = found.join(scores, list(KEY))
-    return scored.select("doc_id", "text_key", "ordinal", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= limit).alias("secret"))
+    secret = F.col("score") >= limit
+    if labelled is None:
+        scored, secret = weak_labels(scored), secret | (F.col("label") > 0)
+    return scored.select("doc_id", "text_key", "ordinal", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", secret.alias("secret"))
 
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0.5, mark: str = "<SECRET>") -> DataFrame:
