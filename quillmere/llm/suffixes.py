@@ -85,12 +85,13 @@ def _pieces(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) if c else np.empty(0, np.uint64) for c in cols)
 
 
-PIECE = np.dtype([("key", "<u8"), ("piece", "<u8"), ("n", "u1")])
+PIECE = np.dtype([("key", "<u8"), ("piece", "<u8"), ("n", "u1")])  # the key is mixed
 
 
 def _ask(window: int, buckets: int):
     def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
         keys, pieces, *_ = _pieces(texts_of(table), window)
+        keys = mixed(keys)  # a key is the least of many hashes; mixed, which parts no equal ones, keys spread over all buckets
         held = np.zeros(len(keys), PIECE)
         held["key"], held["piece"] = keys, pieces
         order = np.lexsort((pieces, keys))
@@ -136,9 +137,9 @@ def _answer(most_pieces: int):
 
 
 def _told(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted piece hashes (mixed with their keys) and what was told of them."""
+    """Sorted piece hashes (with their mixed keys) and what was told of them."""
     told = joined(answers["told"].to_pylist(), PIECE)
-    ids = mixed(told["key"]) ^ told["piece"]
+    ids = told["key"] ^ told["piece"]
     order = np.argsort(ids)
     return ids[order], told["n"][order]
 
