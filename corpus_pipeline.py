@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each works on all that the one before kept.
 
 quality         drops documents that fail the base rules or stand on a rejected host
-near_dedup      keeps one document, the smallest id, of each group of near duplicates (five-word shingles, 0.8)
+near_dedup      keeps one document, the smallest id, of each group of near duplicates (five-word shingles, 0.8);
+                rows of one id and text are one document, those of one id and different texts several; a null id comes after all others
 decontaminate   drops documents that hold ten words in a row of a benchmark item
 secrets         replaces secrets in the texts that are left
 packing         packs these into windows of tokens
@@ -10,6 +11,7 @@ packing         packs these into windows of tokens
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmere.llm.common import read_table, written
 from quillmere.llm.decontaminate import clean_documents
@@ -24,8 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = written(near_duplicates(docs, ngram=5, threshold=0.8).filter("kept").select("doc_id").distinct(), "kept-documents")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    id_, text_key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_key", F.xxhash64(id_, id_.isNull(), text_key))
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), ngram=5, threshold=0.8).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    order = keyed.select("_key", F.struct(id_.isNull().alias("none"), id_.alias("id"), text_key.alias("text"), F.col("_key").alias("key")).alias("first")).dropDuplicates(["_key"])
+    kept = found.join(order, "_key").groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    return keyed.join(written(kept, "kept-documents"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
