@@ -30,11 +30,11 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunked(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, z) of docs (doc_id, text), z the text compressed, and the number of buckets."""
+    """(chunk, doc_id, z) of docs (doc_id, text), z the text compressed, and the number of buckets. Rows of a null id are dealt out by their texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
+    rows = docs.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
     return rows.mapInArrow(_compress, "chunk int, doc_id long, z binary"), max(1, chunks // CHUNKS_TO_BUCKET)
 
 

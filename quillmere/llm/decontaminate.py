@@ -79,17 +79,18 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame
     """doc_id, text_key, n_words, n_hit, n_items, items_sha256 and contaminated for each row of `docs` (doc_id, text) against `items` (item_id, text).
 
     A null text has no words and is never hit; an item without words has no window. Repeated rows give
-    equal rows, an empty table none; no items, no hits. Other columns are not read.
+    equal rows, an empty table none; no items, no hits. A null doc_id stays null, and its text is looked at like any other. Other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), words_of(F.col("text")).alias("w"))
     wanted = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
     found = hits(rows, wanted, span).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     covered = F.expr("aggregate(spans, named_struct('n', 0, 'end', 0), (s, x) -> named_struct('n', s.n + greatest(0, x.stop - greatest(s.end, x.start)), 'end', greatest(s.end, x.stop)), s -> s.n)")
-    found = found.select("doc_id", "text_key", covered.cast("long").alias("hit"), F.size("items").cast("long").alias("many"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), covered.cast("long").alias("hit"), F.size("items").cast("long").alias("many"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
     sizes = rows.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    return sizes.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("many", F.lit(0)).cast("long").alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    return sizes.join(found, same, "left").select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("many", F.lit(0)).cast("long").alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame:

@@ -28,6 +28,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.uint64(2**64 - 1)
 FAR = 1 << 40
 HASHED = 1 << 20  # bytes whose words are hashed together
+LAST_ID = 2**63 - 1  # what a null doc_id is compared as
 
 
 def _round(name: np.ndarray, b: np.ndarray, e: np.ndarray, c0: np.ndarray, c1: np.ndarray, doc: np.ndarray, salt: int) -> tuple[np.ndarray, ...]:
@@ -38,11 +39,12 @@ def _round(name: np.ndarray, b: np.ndarray, e: np.ndarray, c0: np.ndarray, c1: n
     head = np.flatnonzero(new)
     tail = np.append(head[1:], n) - 1
     name, doc = mixed(name[head] * BASE + (tail - head).astype(np.uint64) + np.uint64(salt)), doc[head]
-    b, e, own0, own1 = b[head], e[tail], c0[head], c1[tail]
+    b, e, own0, own1, end0, end1 = b[head], e[tail], c0[head], c1[tail], c0[tail], c1[head]
     same = doc[1:] == doc[:-1]  # with the next
     c0, c1 = own0.copy(), own1.copy()
-    c0[1:] = np.where(same, np.minimum(own0[1:], own0[:-1]), -FAR)
-    c1[:-1] = np.where(same, np.maximum(own1[:-1], own1[1:]), FAR)
+    # of the runs beside it only the nearest symbol: how far they go is not known from within the context
+    c0[1:] = np.where(same, np.minimum(own0[1:], end0[:-1]), -FAR)
+    c1[:-1] = np.where(same, np.maximum(own1[:-1], end1[1:]), FAR)
     c0[:1], c1[-1:] = -FAR, FAR
     left = (mixed(name + np.uint64(salt)) & np.uint64(1)).astype(bool)
     pair = np.append(left[:-1] & ~left[1:] & same, False)  # this one and the next
@@ -160,6 +162,11 @@ class Windows:
         return of_key[self.starts]
 
 
+def _ids(table: pa.Table) -> np.ndarray:
+    """The documents' ids to compare; never floats, as a column with nulls would become."""
+    return table["doc_id"].cast(pa.int64()).fill_null(LAST_ID).to_numpy()
+
+
 def _ask_keys(window: int, buckets: int):
     def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
         found = np.unique(Windows(texts_of(table), window).keys())
@@ -185,7 +192,7 @@ def _ask_windows(window: int, buckets: int):
             return pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "firsts": pa.array([], pa.binary())})
         w = Windows(texts_of(table), window)
         ask = member_of(w.keys(), shared)
-        hashes, docs = w.hashes()[ask], table["doc_id"].to_numpy()[w.of[ask]]
+        hashes, docs = w.hashes()[ask], _ids(table)[w.of[ask]]
         values, first = _firsts(hashes, docs)
         parts = bucketed(values, buckets)
         return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()), "keys": pa.array([values[s].tobytes() for _, s in parts], pa.binary()), "firsts": pa.array([first[s].tobytes() for _, s in parts], pa.binary())})
@@ -213,7 +220,7 @@ def _earlier(table: pa.Table) -> pa.Table:
 def _keep(window: int, texts: bool):
     def run(key: tuple[pa.Scalar], table: pa.Table, answers: pa.Table) -> pa.Table:
         earlier = np.sort(joined(answers["keys"].to_pylist(), np.uint64))
-        ids = table["doc_id"].to_numpy()
+        ids = _ids(table)
         sources = texts_of(table)
         w = Windows(sources, window)
         docs = ids[w.of] if len(w.of) else np.empty(0, np.int64)
@@ -227,7 +234,7 @@ def _keep(window: int, texts: bool):
         np.add.at(cover, w.starts[gone] + window, -1)
         removed = np.cumsum(cover[:-1]) > 0
         begin, rows = 0, []
-        for source, end, doc in zip(sources, w.ends.tolist(), ids.tolist(), strict=True):
+        for source, end, doc in zip(sources, w.ends.tolist(), table["doc_id"].to_pylist(), strict=True):
             cut, words = removed[begin:end], source.split()
             kept = [x for x, r in zip(words, cut.tolist(), strict=True) if not r] if cut.any() else words
             rows.append((doc, len(words), int(cut.sum()), b" ".join(kept)))
@@ -242,7 +249,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each row of docs (doc_id, text), without the words in windows that a document of a smaller id holds as well.
 
     Words are what \\x20 and \\x09-\\x0D part; null and empty texts have none, texts of fewer words than a window lose none. Rows
-    with one doc_id do not remove from each other; an empty table gives none; other columns are not read.
+    with one doc_id do not remove from each other; a null doc_id comes after all others (as one with the largest long) and stays null; an empty table gives none; other columns are not read.
     """
     rows, buckets = chunked(docs, chunk_bytes)
     entries = rows.groupBy("chunk").applyInArrow(_ask_keys(window, buckets), "bucket int, chunk int, keys binary")
