@@ -24,7 +24,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmere.llm.suffixes import without_repeated_bytes
 
-    return without_repeated_bytes(read_table(spark, sf_dir, "documents"), window=400)
+    return without_repeated_bytes(read_table(spark, sf_dir, "documents"), window=400, shorter=256)
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

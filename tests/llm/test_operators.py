@@ -71,8 +71,9 @@ def test_repeated_bytes_against_brute_force(spark, most_pieces):
     base = "".join(rng.choice("ab ") for _ in range(300))
     rows = [(i, base[rng.randrange(200) :][: rng.randrange(300)] + "".join(rng.choice("abcé") for _ in range(rng.randrange(100)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "a" * 500)]
-    out = without_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), window=40, chunk_bytes=1000, most_pieces=most_pieces)
-    assert {r[0]: tuple(r[1:]) for r in out.collect()} == brute_bytes(rows, 40)
+    out = without_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), window=60, shorter=40, chunk_bytes=1000, most_pieces=most_pieces).collect()
+    assert {r[0]: tuple(r[1:5]) for r in out} == brute_bytes(rows, 60)
+    assert {r[0]: r[5] for r in out} == {d: x[1] for d, x in brute_bytes(rows, 40).items()}
 
 
 def test_pieces_are_whole_ordered_and_hold_the_tokenizers_ids(spark):
