@@ -16,31 +16,63 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import written
 
-BINS = 4096  # of the histogram; the driver sees so many rows at most
+MOST_BINS = 16_384  # of a histogram; the driver sees so many rows at most
 RANGE_BYTES, FILE_BYTES = 32 << 20, 8 << 20
 LEAST_PAYLOAD = 100  # bytes from which an equal payload is written as a revisit
+STEP = 8192  # compressed bytes that are read at a time
 DATE = "2020-01-01T00:00:00Z"
 
 
-def ranges(pages: DataFrame, range_bytes: int) -> DataFrame:
-    """pages with `range`: numbers that rise with page_id and hold about range_bytes of html each."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // BINS))
-    bin_of = F.floor((F.coalesce("page_id", F.lit(low or 0)) - F.lit(low or 0)) / F.lit(width))
-    sums = pages.groupBy(bin_of.alias("bin")).agg(F.sum(F.octet_length("html") + 400).alias("n")).orderBy("bin").collect()  # at most BINS rows
+def bounds(pages: DataFrame, range_bytes: int) -> list[int]:
+    """The page_ids at which ranges of about range_bytes begin, from exact histograms; the driver sees at most MOST_BINS rows of each.
+
+    A bin that holds more than a range is divided anew between the smallest and largest id that it has, so that ids far
+    apart do not put all others into one; ranges grow with the table where MOST_BINS of them would not do.
+    """
+    sized = pages.select(F.coalesce("page_id", F.lit(-(2**63))).alias("id"), (F.octet_length("html") + 400).alias("n"))
+    known = sized.filter(F.col("id") > -(2**63))
+    low, high, total = known.agg(F.min("id"), F.max("id"), F.sum("n")).first()
+    if total is None:
+        return []
+    range_bytes = max(range_bytes, -(-total // (MOST_BINS // 4)))
+    done, open_ = [], [(low, high, total)]
+    while open_:
+        shares = [max(2, min(high - low + 1, 2 * -(-n // range_bytes))) for low, high, n in open_]  # together at most MOST_BINS
+        edges = sorted({low + (high - low + 1) * k // share for (low, high, _), share in zip(open_, shares, strict=True) for k in range(share)})
+        inside = F.expr(" or ".join(f"id between {low}L and {high}L" for low, high, _ in open_)) if len(open_) <= 64 else F.lit(True)
+        rows = known.filter(inside).groupBy(place_in(edges, "id").alias("bin")).agg(F.min("id"), F.max("id"), F.sum("n")).collect()
+        old, open_ = {(low, high) for low, high, _ in open_}, []
+        for _, low, high, n in rows:
+            heavy = n > range_bytes and low < high and (low, high) not in old
+            (open_ if heavy else done).append((low, high, n))
     starts, held = [], 0
-    for row in sums:
-        if held >= range_bytes:
-            starts.append(row["bin"])
+    for low, _, n in sorted(set(done)):
+        if held and held + n > range_bytes:
+            starts.append(low)
             held = 0
-        held += row["n"]
-    number = F.size(F.filter(F.lit(starts).cast("array<bigint>") if starts else F.expr("cast(array() as array<bigint>)"), lambda s: s <= bin_of))
-    return pages.withColumn("range", number)
+        held += n
+    return starts
+
+
+def place_in(edges: list[int], column: str) -> Column:
+    """How many of the sorted edges are no larger than the column: a binary search."""
+    if not edges:
+        return F.lit(0)
+    halves = len(edges).bit_length()
+    step = f"if(s.lo >= s.hi, s, if(edges[(s.lo + s.hi) div 2] <= {column}, named_struct('lo', cast((s.lo + s.hi) div 2 + 1 as int), 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int))))"
+    listed = "array(" + ", ".join(f"{e}L" if e > -(2**63) else "(-9223372036854775807L - 1L)" for e in edges) + ")"
+    return F.expr(f"transform(array({listed}), edges -> aggregate(sequence(1, {halves}), named_struct('lo', 0, 'hi', {len(edges)}), (s, i) -> {step}, s -> s.lo))[0]")
+
+
+def ranges(pages: DataFrame, range_bytes: int) -> DataFrame:
+    """pages with `range`: numbers that rise with page_id and hold about range_bytes of html each; null ids come first."""
+    starts = bounds(pages, range_bytes)
+    return pages.withColumn("range", F.when(F.col("page_id").isNull(), 0).otherwise(place_in(starts, "page_id")))
 
 
 def record(kind: str, page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
@@ -148,10 +180,17 @@ def write_archives(pages: DataFrame, base: str, range_bytes: int = RANGE_BYTES,
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each gzip member of an archive."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("the last record is cut off")
+            part = view[at : at + STEP]
+            parts.append(member.decompress(part))
+            at += len(part)
+        at -= len(member.unused_data)  # of one step at most, so little is copied for each record
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
