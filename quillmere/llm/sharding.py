@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Multiplier and increment of the 48-bit generator of POSIX drand48.
 MULTIPLIER, INCREMENT = 25214903917, 11
-BIN = 4096  # ids to a bin, within which slots are counted in one task
+BIN = 2048  # rows of a shard to a bin, about; within one, slots are counted in one task
 
 
 def next_state(x: str) -> str:
@@ -32,16 +32,18 @@ def jump_shards(key: str, shards: int) -> Column:
 def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of `docs` (doc_id, text).
 
-    Slots count a shard's rows by doc_id, size and CRC, without a gap; equal rows get slots side by
-    side. A null text has size 1 and CRC 0. An empty table gives none; other columns are not read.
+    Slots count a shard's rows without a gap, in bins of the hash of doc_id, size and CRC, so that neither far-apart nor
+    repeated ids make a bin large; equal rows get slots side by side. A null text has size 1 and CRC 0, a null
+    doc_id stays null and is dealt as 0. An empty table gives none; other columns are not read.
     """
+    bins = max(1, docs.count() // (shards * BIN))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")).withColumn("at", jump_shards("doc_id", shards))
-    rows = rows.select("doc_id", "size", "text_crc32", "copies", F.col("at.now").alias("shard"), F.col("at.grown").alias("grown_shard"), F.coalesce(F.floor(F.col("doc_id") / BIN), F.lit(-(2**62))).alias("bin"))
+    rows = rows.select("doc_id", "size", "text_crc32", "copies", F.col("at.now").alias("shard"), F.col("at.grown").alias("grown_shard"), F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(bins)).alias("bin"))
     ordered = Window.partitionBy("shard", "bin").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("copies").over(ordered), F.lit(0)))
-    bins = rows.groupBy("shard", "bin").agg(F.sum("copies").alias("n"))
-    starts = bins.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    sums = rows.groupBy("shard", "bin").agg(F.sum("copies").alias("n"))
+    starts = sums.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rows = rows.join(starts, ["shard", "bin"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("before") + F.col("copy")).cast("long").alias("slot"), "grown_shard")
