@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_CACHE = 400_000  # words whose hashes a task keeps; only memory depends on it
 
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):  # local-cluster executors share this machine's folders too
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -28,6 +31,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs with each whole row packed into `row`, and the columns given: no name in docs can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def row_columns(rows: DataFrame, names: list[str], **replaced: Column) -> DataFrame:
+    """The columns `names` of the packed rows, some of them replaced."""
+    return rows.select(*[replaced.get(c, F.col("row").getField(c)).alias(c) for c in names])
+
+
+def text_key() -> Column:
+    """A hash of a row's text, null as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

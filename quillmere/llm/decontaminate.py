@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import written
+from quillmere.llm.common import row_columns, text_key, with_rows, written
 
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,14 +51,24 @@ def _small(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else side
 
 
+def _matched(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """(doc_id, text_key, w, grams, print) of the fingerprints that rows share with prints. Where prints are too many to broadcast, only ids and fingerprints are shuffled, and the words come in afterwards, once a row."""
+    if prints.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return rows.select("doc_id", "text_key", "w", "grams", F.explode_outer("prints").alias("print")).join(F.broadcast(prints), "print")
+    narrow = rows.select("doc_id", "text_key", F.explode_outer("prints").alias("print")).join(prints, "print").distinct()
+    narrow = written(narrow.groupBy("doc_id", "text_key").agg(F.collect_set("print").alias("shared")), "matched").select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text"), "shared")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_text"))
+    return rows.drop("prints").join(narrow, same).select("doc_id", "text_key", "w", "grams", F.explode_outer("shared").alias("print"))
+
+
 def hits(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame:
     """(doc_id, text_key, start, stop, item): each place of docs (doc_id, text_key, w) where a window of items (item, w) occurs."""
     items = items.filter("size(w) > 0")
     whole = fingerprinted(items.filter(F.size("w") >= span), span)
-    prints = _small(written(whole.select(F.explode_outer("prints").alias("print")).filter("print is not null").distinct(), "prints"))
+    prints = written(whole.select(F.explode_outer("prints").alias("print")).filter("print is not null").distinct(), "prints")
     places = whole.select("item", "w", F.explode(F.sequence(F.lit(1), F.size("w") - span + 1)).alias("i"))
     windows = written(places.select("item", F.array_join(F.slice("w", F.col("i"), span), " ").alias("window")).distinct(), "windows")
-    found = fingerprinted(docs, span).select("doc_id", "text_key", "w", "grams", F.explode_outer("prints").alias("print")).join(prints, "print")
+    found = _matched(fingerprinted(docs, span), prints)
     found = found.select("doc_id", "text_key", "w", F.explode_outer(F.expr("filter(transform(grams, (x, i) -> if(x = print, i, null)), i -> i is not null)")).alias("at"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("at") - (span - K)), F.least(F.col("at"), F.size("w") - span))
     found = found.select("doc_id", "text_key", "w", F.explode_outer(starts).alias("start"))
@@ -94,10 +104,13 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, span: int = 10) -> DataFrame:
-    """The rows of docs that no window of the items touches, with all their columns."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), words_of(F.col("text")).alias("w"))
+    """The rows of docs that no window of the items touches, with all their columns, whatever their names.
+
+    Null and empty texts and those of a null doc_id that hold no window stay, repeated rows stay or go together, and
+    texts are looked at whole. An empty table gives none; without items all rows stay.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), words_of(F.col("text")).alias("w"))
     bad = hits(rows, items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")), span)
-    bad = written(bad.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "hit-documents")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_key"))
-    return docs.join(bad, same, "left_anti")
+    bad = written(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text")).distinct(), "hit-documents")
+    held = with_rows(docs, id=F.col("doc_id").cast("long"), text_key=text_key())
+    return row_columns(held.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("text_key") == F.col("bad_text")), "left_anti"), docs.columns)

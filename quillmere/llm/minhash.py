@@ -89,7 +89,7 @@ def _signatures(ngram: int, bands: int, rows: int, bits: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for at in range(0, len(texts), 500):
-                ids = batch.column(0)[at : at + 500]
+                ids, rids = batch.column(0)[at : at + 500], batch.column(2)[at : at + 500]
                 sets = [shingle_set(cache.of(_words(t.as_py())), ngram) for t in texts[at : at + 500]]
                 size = np.array([len(s) for s in sets])
                 one = np.array([s.sum(dtype=np.uint64) for s in sets]).view(np.int64)
@@ -105,8 +105,8 @@ def _signatures(ngram: int, bands: int, rows: int, bits: int):
                     for row, i in enumerate(some):
                         keys[i], sketch[i] = fold[row], odd[row]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "keys", "sketch"],
+                    [ids, rids, pa.array(size, pa.int64()), pa.array(one), pa.array(two), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                    ["doc_id", "rid", "n_shingles", "set_a", "set_b", "keys", "sketch"],
                 )
 
     return run
@@ -190,11 +190,12 @@ def _within(close: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("pivot", "lo", "hi").applyInArrow(_neighbours(threshold), "a long, b long")
 
 
-def _told(pairs: DataFrame, texts: DataFrame, ngram: int, near: float, threshold: float) -> DataFrame:
-    """pairs (doc, pivot) with what their full sets say of them."""
-    needed = written(pairs.select(F.explode(F.array("doc", "pivot")).alias("doc_id")).distinct(), "needed")
-    texts = written(texts.join(needed, "doc_id", "left_semi"), "texts").dropDuplicates(["doc_id"])
-    full = pairs.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+def _told(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, ngram: int, near: float, threshold: float) -> DataFrame:
+    """pairs (doc, pivot) of nodes with what the full sets of their rows in docs say of them."""
+    needed = pairs.select(F.explode(F.array("doc", "pivot")).alias("node")).distinct()
+    needed = written(nodes.select("node", "rid", "id").join(needed, "node"), "needed")
+    texts = written(docs.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(needed, ["rid", "id"]).select("node", "text"), "texts").dropDuplicates(["node"])
+    full = pairs.join(texts.select(F.col("node").alias("doc"), "text"), "doc").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
     return written(full.select("doc", "pivot", "text", "pivot_text").mapInArrow(_compare(ngram, near, threshold), "doc long, pivot long, n long, pivot_n long, linked boolean, near boolean, diff binary"), "told")
 
 
@@ -258,7 +259,7 @@ def _alike(cut: int):
 def _may_link(state: DataFrame, sketches: DataFrame, cut: int) -> DataFrame:
     """(doc, pivot): the pairs within buckets, one of them outside, that by their sketches may be linked."""
     sizes = state.groupBy("key").agg(F.count("*").alias("m"), F.count_if("outside").alias("out")).filter("out > 0 and m > 1").select("key", "m")
-    rows = _blocks(state.join(sizes, "key")).join(sketches.withColumnRenamed("doc_id", "doc"), "doc")
+    rows = _blocks(state.join(sizes, "key")).join(sketches.withColumnRenamed("node", "doc"), "doc")
     rows = rows.select("key", "lo", "hi", "side", "doc", "outside", "sketch").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return rows.mapInArrow(_alike(cut), "doc long, pivot long")
 
@@ -282,21 +283,25 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text; other columns are not read).
 
-    Null and empty texts, and those without words, have no shingles: each is its own component.
-    doc_id names a document; rows with one doc_id and equal texts give equal rows. An empty table gives none.
+    Null and empty texts, and those without words, have no shingles: each is its own component. Rows are
+    documents of their own even where their ids are equal or null; component_id is the smallest id in the component,
+    null where no row there has one, and then one row of the component (all equal ones) is kept. Equal rows
+    give equal rows. An empty table gives none; very long texts are taken whole.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("rid", F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
     near = 2 * threshold - 1
-    sig = written(docs.mapInArrow(_signatures(ngram, bands, rows, bits), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>"), "signatures")
+    sig = written(docs.select("doc_id", "text", "rid").mapInArrow(_signatures(ngram, bands, rows, bits), "doc_id long, rid long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>"), "signatures")
     some = sig.filter("n_shingles > 0")
-    classes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
-    firsts = classes.select(F.col("first").alias("doc_id"))
-    band_rows = some.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
+    classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, in a table
+    nodes = some.join(classes.select("set_a", "set_b", "node", F.col("rep.rid").alias("rid")), ["set_a", "set_b", "rid"]).dropDuplicates(["node"])
+    nodes = written(nodes.select("node", "rid", F.coalesce("doc_id", F.lit(0)).alias("id"), "keys", "sketch"), "nodes")
+    band_rows = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("doc"))
     shared = band_rows.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).filter("pivot < top").select("key")
     state = written(band_rows.join(shared, "key").withColumn("outside", F.lit(True)), "buckets")
-    sketches = some.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    sketches = nodes.select("node", "sketch")
     cut = sketch_cut(near, bands * rows, bits)
-    texts = docs.select("doc_id", "text")
     links: DataFrame | None = None
     for last in [False] * PIVOT_ROUNDS + [True]:
         if last:
@@ -305,10 +310,10 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
             pivots = state.groupBy("key").agg(F.min(F.when(F.col("outside"), F.col("doc"))).alias("pivot"), F.count("*").alias("m")).filter("pivot is not null and m > 1").select("key", "pivot")
             members = state.join(pivots, "key").filter("doc <> pivot")
             pairs = members.select("doc", "pivot").distinct()
-            pairs = pairs.join(sketches.select(F.col("doc_id").alias("doc"), F.col("sketch").alias("x")), "doc").join(sketches.select(F.col("doc_id").alias("pivot"), F.col("sketch").alias("y")), "pivot")
+            pairs = pairs.join(sketches.select(F.col("node").alias("doc"), F.col("sketch").alias("x")), "doc").join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("y")), "pivot")
             apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
             pairs = written(pairs.filter(apart <= cut).select("doc", "pivot").distinct(), "pairs")
-        told = _told(pairs, texts, ngram, near, threshold)
+        told = _told(pairs, nodes, docs, ngram, near, threshold)
         close = told.filter("near")
         found = close.filter("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
         found = written(found if last else found.union(_within(close, threshold)), "links")
@@ -317,7 +322,11 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
             state = members.join(close.select("doc", "pivot", "linked"), ["doc", "pivot"], "left").filter(~F.coalesce("linked", F.lit(False)))
             state = written(state.select("key", "doc", (F.col("outside") & F.col("linked").isNull()).alias("outside")), "buckets")
     label = components(links)
-    of_class = classes.join(label, classes["first"] == label["doc"], "left").select("set_a", "set_b", F.coalesce("component", "first").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    of_class = classes.join(label, classes["node"] == label["doc"], "left").select("set_a", "set_b", "rep", F.coalesce("component", "node").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("least"))
+    of_class = of_class.join(least, "component").select("set_a", "set_b", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first_rid"))
+    out = sig.select("doc_id", "rid", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
+    alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = alone | F.coalesce(component == F.col("doc_id"), component.isNull() & (F.col("rid") == F.col("first_rid")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))

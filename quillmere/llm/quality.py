@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import written
+from quillmere.llm.common import row_columns, text_key, with_rows, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -98,7 +98,12 @@ def verdicts(docs: DataFrame, host: str = "source", host_limit: float = 0.5) ->
 
 
 def kept_documents(docs: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
-    """The rows of docs whose verdict is kept, with all their columns."""
-    bad = verdicts(docs, host, host_limit).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.coalesce("host", F.lit("")).alias("_host")).distinct()
-    same = (docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_key")) & (F.coalesce(host_of(docs[host]), F.lit("")) == F.col("_host"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of docs whose verdict is kept, with all their columns, whatever their names.
+
+    Null and empty texts fail the base rules and go; a null host is judged by its own rules alone; null and repeated ids
+    are told apart by their texts. An empty table gives none.
+    """
+    bad = verdicts(docs, host, host_limit).filter("not kept").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_text"), F.coalesce("host", F.lit("")).alias("bad_host")).distinct()
+    held = with_rows(docs, id=F.col("doc_id").cast("long"), text_key=text_key(), host=F.coalesce(host_of(F.col(host)), F.lit("")))
+    same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("text_key") == F.col("bad_text")) & (F.col("host") == F.col("bad_host"))
+    return row_columns(held.join(bad, same, "left_anti"), docs.columns)

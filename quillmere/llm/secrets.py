@@ -1,18 +1,19 @@
 """Secret scans with a random forest against false positives, on DataFrame functions and Spark ML.
 
 Candidates are long runs of key characters that hold a digit, what is assigned to a name like
-token or password (DB_PASSWORD=, accessToken:, "password": too), and keys of a known form. Each is described by its length, character transitions and classes, by how far
-words of a dictionary cover it, by where it stands (path) and by its neighbouring words. A random forest
-trained on labelled findings tells secrets from other long values.
-
-Where no labelled findings are given, they are taken from the text: a value of digits and others
-assigned to a secret's name is a secret, and so is a key of a known form wherever it stands; others are not. The forest and the
-dictionary (the words around the findings it is trained on) are fitted on at most FIT_ROWS
-findings, those of the smallest hash; all findings are scored.
+token or password (DB_PASSWORD=, accessToken:, "password": too), and keys of a known form. Each is described by its length,
+character transitions and classes, by how far words of a dictionary cover it, by where it stands (path) and by its
+neighbouring words. A random forest trained on labelled findings tells secrets from other values.
+
+Where no labelled findings are given, some are planted (plants.py): PLANTS secrets and look-alikes
+are put between words of the corpus, and the forest is trained on these. A label is what was planted,
+not a rule over the features; `held_out` measures the forest on planted findings it has not seen.
+The dictionary holds the words that stand around findings three times or more, in all documents.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
@@ -20,18 +21,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import written
+from quillmere.llm.common import row_columns, text_key, with_rows, written
+from quillmere.llm.plants import examples
 from quillmere.llm.spans import rebuilt, starts, with_values
 
-FIT_ROWS = 20_000  # labelled findings that the forest and its dictionary are fitted on, at most
-DICTIONARY_WORDS = 5_000
+FIT_ROWS = 20_000  # labelled findings that the forest is fitted on, at most: those of the smallest hash
+PLANTS, SEED = 6_000, 11  # planted findings, each between words of another document
 KEY = ("doc_key", "text_key", "path", "ordinal")  # says which finding it is; none of these is ever null
 WORDS = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"  # ends of names, whatever stands before
 SHORT = r"(?:(?<![A-Za-z])(?i:key|auth)|(?<=[a-z0-9])(?:Key|Auth))(?<!(?i:public|primary|foreign)[_.-]?(?i:key))"  # where a part of a name begins (not in monkey)
 ASSIGNS = rf"(?:(?i:{WORDS})|{SHORT})[\x22']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\x22']?"
 PADDING = r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?"  # of base64; any other '=' parts a name from its value
 KNOWN = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{50,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)?)"
-CANDIDATE = rf"(?<=[:=>\s\x22'])(?<=[:=>]\s{{0,3}}[\x22']?)(?<={ASSIGNS})(?!>)[^\s\x22'=:]{{8,}}{PADDING}|(?<![A-Za-z0-9+/_-])(?:{KNOWN}|(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{16,}}){PADDING}"
+CANDIDATE = rf"(?<=[:=>\s\x22'])(?<=[:=>]\s{{0,3}}[\x22']?)(?<={ASSIGNS})(?!>)[^\s\x22'=:]{{8,}}{PADDING}|(?<![A-Za-z0-9+/_-])(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}){PADDING}"
 ASSIGNED = rf"{ASSIGNS}$"
 HINT = rf"[0-9]|{KNOWN}|(?i:{WORDS}|key|auth)"  # no text without it has a candidate
 NUMBERS = ("length", "digits", "uppers", "others", "hexes", "changes", "distinct", "vowels", "coverage", "assigned", "known", "quoted")
@@ -69,64 +71,92 @@ def described(found: DataFrame) -> DataFrame:
     )
 
 
-def weak_labels(found: DataFrame) -> DataFrame:
-    """found with `label`: 1 where a value of digits and others is assigned to a secret's name, or has the form of a known key, else 0."""
-    return found.withColumn("label", (((F.col("assigned") > 0) & (F.col("digits") > 0) & (F.col("digits") < 1)) | (F.col("known") > 0)).cast("double"))
+def planted(docs: DataFrame, n: int = PLANTS, seed: int = SEED) -> DataFrame:
+    """described findings with `label`: n values put between words of as many documents (those of the smallest hash; bounded by n)."""
+    some = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.left("text", F.lit(400)).alias("head"), F.xxhash64("text").alias("at")).filter("head is not null")
+    some = some.orderBy("at", "source", "head").limit(n)  # 400 characters of each: what is ordered and sent holds no whole texts
+    piece = F.split(F.translate("head", "=:'\"", "    "), r"[\s\d]+")
+    some = some.select("source", F.array_join(F.slice(piece, 1, 6), " ").alias("before"), F.array_join(F.slice(piece, 7, 6), " ").alias("after"))
+    around = [(r["source"], r["before"], r["after"]) for r in some.collect()] or [("", "so", "end")]
+    made = examples(n, seed)
+    rows = [(i, f"{around[i % len(around)][1]} {lead}", value, f"{tail} {around[i % len(around)][2]}", around[i % len(around)][0], label) for i, (lead, value, tail, label) in enumerate(made)]
+    i, before, value, after, source, label = zip(*rows, strict=True)
+    table = pa.table({"doc_id": pa.array(i, pa.int64()), "text": [b + v + a for b, v, a in zip(before, value, after, strict=True)], "source": source, "at": pa.array(map(len, before), pa.int64()), "label": label})
+    plants = written(docs.sparkSession.createDataFrame(table), "plants")
+    found = described(candidates(plants)).join(plants.select("doc_id", "at", "label"), "doc_id")
+    return found.filter(F.col("start") == F.col("at")).drop("at")
 
 
-def _covered(found: DataFrame, words: list[str]) -> DataFrame:
-    """found with coverage: the share of the value in runs of letters that the dictionary (at most DICTIONARY_WORDS words) has."""
+def dictionary(found: DataFrame) -> DataFrame:
+    """(word): what stands around the findings three times or more."""
+    around = found.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"[\p{L}]{2,}"), F.lit(0))).alias("word"))
+    return written(around.groupBy("word").count().filter("count > 2").select("word"), "dictionary")
+
+
+def _covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """found with coverage: the share of the value in runs of letters that the dictionary has."""
     runs = found.select(*KEY, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("word"))
-    known = found.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    sums = runs.join(F.broadcast(known), "word").groupBy(*KEY).agg(F.sum(F.length("word")).alias("covered"))
+    sums = runs.join(words, "word").groupBy(*KEY).agg(F.sum(F.length("word")).alias("covered"))
     return found.join(sums, list(KEY), "left").withColumn("coverage", F.coalesce("covered", F.lit(0)) / F.col("length")).drop("covered")
 
 
-def fitted(found: DataFrame, labelled: DataFrame | None) -> tuple[PipelineModel | None, list[str]]:
-    """The forest and its dictionary; no forest where one label is all there is."""
-    known = found.join(labelled.select("doc_id", "start", F.col("label").cast("double")), ["doc_id", "start"]) if labelled is not None else weak_labels(found)
-    known = written(known.orderBy(F.xxhash64("doc_id", "ordinal", "value"), "doc_id", "ordinal").limit(FIT_ROWS), "labelled-findings")
-    around = known.select(F.explode_outer(F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"[\p{L}]{2,}"), F.lit(0))).alias("word"))
-    words = [r["word"] for r in around.groupBy("word").count().filter("count > 2 and word is not null").orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS).collect()]
+def fitted(known: DataFrame, words: DataFrame) -> PipelineModel | None:
+    """The forest; none where one label is all there is."""
+    known = known.orderBy(F.xxhash64("doc_id", "ordinal", "value"), "doc_id", "ordinal").limit(FIT_ROWS)
+    known = written(_covered(known, words), "labelled-findings")
     if known.select("label").distinct().count() < 2:
-        return None, words
+        return None
     stages = [
         FeatureHasher(inputCols=["word_before", "word_after", "kind"], outputCol="hashed", numFeatures=128),
         VectorAssembler(inputCols=[*NUMBERS, "hashed"], outputCol="features"),
-        RandomForestClassifier(numTrees=30, maxDepth=6, seed=7, featureSubsetStrategy="onethird"),
+        RandomForestClassifier(numTrees=40, maxDepth=9, seed=7, featureSubsetStrategy="onethird"),
     ]
-    return Pipeline(stages=stages).fit(_covered(known, words)), words
+    return Pipeline(stages=stages).fit(known)
+
+
+def scored(found: DataFrame, model: PipelineModel, words: DataFrame) -> DataFrame:
+    """(*KEY, score) of each finding."""
+    return model.transform(_covered(found.dropDuplicates(list(KEY)), words)).select(*KEY, F.round(vector_to_array("probability")[1], 6).alias("score"))
+
+
+def held_out(docs: DataFrame, limit: float = 0.5) -> DataFrame:
+    """One row of n, positives, precision and recall: the forest fitted on three quarters of the planted findings, tried on the rest."""
+    known = written(planted(docs), "planted")
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    words = dictionary(written(described(candidates(docs)), "findings"))
+    told = known.filter(test).join(scored(known.filter(test), fitted(known.filter(~test), words), words), list(KEY)).withColumn("said", F.col("score") >= limit)
+    hit = F.count_if(F.col("said") & (F.col("label") > 0))
+    return told.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("positives"), (hit / F.count_if("said")).alias("precision"), (hit / F.count_if(F.col("label") > 0)).alias("recall"))
 
 
 def secrets(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0.5) -> DataFrame:
     """(doc_id, text_key, ordinal, start, length, value_sha256, score, secret) of each candidate in docs (doc_id, text, source).
 
-    labelled: findings (doc_id, start, label 0 or 1) to train on. A null or empty text has no candidate, a
+    labelled: findings (doc_id, start, label 0 or 1) to train on instead of planted ones. A null or empty text has no candidate, a
     null source an empty path, a null doc_id stays null; with labels of one kind only, candidates assigned to a secret's name or of a known
-    form score 1 and others 0. Without `labelled`, what the text itself labels a secret is one whatever its score: a form too rare for
-    the forest is not lost. Repeated rows give a row each, an empty table none; other columns are not read.
+    form score 1 and others 0. A key of a known form is a secret whatever its score, unless labels are given: a form too rare for
+    the forest is not lost. Repeated rows give a row each, an empty table none; texts are searched whole; other columns are not read.
     """
     found = written(described(candidates(docs)), "findings")
-    model, words = fitted(found, labelled)
-    if model is None:
-        scored = found.withColumn("score", F.greatest("assigned", "known"))
-    else:
-        keyed = _covered(found.dropDuplicates(list(KEY)), words)
-        scores = model.transform(keyed).select(*KEY, F.round(vector_to_array("probability")[1], 6).alias("score"))
-        scored = found.join(scores, list(KEY))
+    words = dictionary(found)
+    known = found.join(labelled.select("doc_id", "start", F.col("label").cast("double")), ["doc_id", "start"]) if labelled is not None else planted(docs)
+    model = fitted(known, words)
+    rows = found.withColumn("score", F.greatest("assigned", "known")) if model is None else found.join(scored(found, model, words), list(KEY))
     secret = F.col("score") >= limit
     if labelled is None:
-        scored, secret = weak_labels(scored), secret | (F.col("label") > 0)
-    return scored.select("doc_id", "text_key", "ordinal", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", secret.alias("secret"))
+        secret = secret | (F.col("known") > 0)
+    return rows.select("doc_id", "text_key", "ordinal", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", secret.alias("secret"))
 
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0.5, mark: str = "<SECRET>") -> DataFrame:
-    """docs with each secret in its text replaced by `mark`; all rows and columns stay."""
-    told = secrets(docs, labelled, limit).filter("secret").groupBy("doc_id", "text_key").agg(F.collect_set("ordinal").alias("_found"))
-    told = written(told.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_found"), "secrets")
-    names = docs.columns
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_key"))
-    rows = docs.join(told, same, "left").select(F.struct(*[docs[c] for c in names]).alias("_row"), F.when(F.col("_found").isNotNull(), docs["text"]).alias("text"), "_found")  # texts without a secret aren't searched again
-    rows = with_values(rows, CANDIDATE).withColumn("_new", F.expr("transform(vals, (v, i) -> if(array_contains(_found, i), '" + mark.replace("'", "\\'") + "', v))"))
-    rows = rows.withColumn("_text", F.when(F.col("_found").isNotNull(), rebuilt("_new")).otherwise(F.col("_row.text")))
-    return rows.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in names])
+    """docs with each secret in its text replaced by `mark`; all rows and columns stay, whatever their names.
+
+    A null text stays null, an empty one empty; rows of a null or repeated id are told apart by their texts; an empty table gives none.
+    """
+    told = secrets(docs, labelled, limit).filter("secret").groupBy("doc_id", "text_key").agg(F.collect_set("ordinal").alias("found"))
+    told = written(told.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_text"), "found"), "secrets")
+    held = with_rows(docs, id=F.col("doc_id").cast("long"), text_key=text_key(), whole=F.col("text").cast("string"))
+    rows = held.join(told, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_text")), "left")
+    rows = with_values(rows.withColumn("text", F.when(F.col("found").isNotNull(), F.col("whole"))), CANDIDATE)  # texts without a secret aren't searched again
+    rows = rows.withColumn("new", F.expr("transform(vals, (v, i) -> if(array_contains(found, i), '" + mark.replace("\\", "\\\\").replace("'", "\\'") + "', v))"))
+    return row_columns(rows, docs.columns, text=F.when(F.col("found").isNotNull(), rebuilt("new")).otherwise(F.col("whole")))
