@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import read_table, written
+from quillmere.llm.common import read_table, row_columns, text_key, with_rows, written
 from quillmere.llm.decontaminate import clean_documents
 from quillmere.llm.minhash import near_duplicates
 from quillmere.llm.packing import packed
@@ -22,27 +22,32 @@ from quillmere.llm.secrets import redacted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts go (they fail the base rules); repeated rows, null ids and null hosts are judged like others; any further columns stay."""
     return kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    id_, text_key = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.withColumn("_key", F.xxhash64(id_, id_.isNull(), text_key))
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), ngram=5, threshold=0.8).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    order = keyed.select("_key", F.struct(id_.isNull().alias("none"), id_.alias("id"), text_key.alias("text"), F.col("_key").alias("key")).alias("first")).dropDuplicates(["_key"])
-    kept = found.join(order, "_key").groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
-    return keyed.join(written(kept, "kept-documents"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """Of equal rows one stays; texts without words are alike to none and all stay; null ids come after all others; any further columns stay."""
+    id_, key = F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), text_key())
+    keyed = with_rows(docs, key=key, id=id_, text=F.col("text"), text_key=text_key())
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), ngram=5, threshold=0.8).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    order = keyed.select("key", F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "key").alias("first")).dropDuplicates(["key"])
+    kept = found.join(order, "key").groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
+    return row_columns(keyed.join(written(kept, "kept-documents"), "key", "left_semi").dropDuplicates(["key"]), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts stay (they hold no benchmark words), as do null ids; repeated rows go or stay together; any further columns stay."""
     return clean_documents(docs, read_table(spark, sf_dir, "benchmark"), span=10)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No row goes; null texts stay null; equal texts are changed alike under any id; any further columns stay."""
     return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece; null and empty texts are one id each; repeated rows and null ids are packed like others; further columns are left out."""
     import public_tokenizers
 
     return packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
