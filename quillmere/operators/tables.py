@@ -49,6 +49,13 @@ def partition_audit(rows: DataFrame, partition: str, key: str, day: str) -> Data
     )
 
 
+def partition_manifest(rows: DataFrame, partition: str, key: str, day: str, eligible: str, columns: list[str]) -> DataFrame:
+    """The audit of each partition with its eligible rows and its fingerprint, in one table."""
+    sums = rows.groupBy(partition).agg(F.sum(eligible).cast("long").alias("n_eligible"))
+    prints = fingerprint(rows, [partition], columns).drop("n_rows")
+    return partition_audit(rows, partition, key, day).join(sums, partition).join(prints, partition)
+
+
 def domain_coverage(values: DataFrame, reference: DataFrame, column: str) -> DataFrame:
     """value and status (not_listed or unused) of values without a reference, and the other way round."""
     a, b = (d.select(F.col(column).alias("value")).filter("value is not null").distinct() for d in (values, reference))
