@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.operators.ordering import prefix_sum
@@ -38,10 +38,13 @@ def curve(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame
 
 
 def recall_threshold(scored: DataFrame, by: list[str], score: str, label: str, target: float) -> DataFrame:
-    """by, threshold, tp, fp, precision and recall of the highest score at which recall reaches the target, its ties included."""
-    points = curve(scored, by, score, label).filter(F.col("recall") >= target)
-    best = F.max_by(F.struct(F.col(score).alias("threshold"), "tp", "fp", "precision", "recall"), score).alias("_at")
-    return points.groupBy(*by).agg(best).select(*by, "_at.*")
+    """by, threshold, tp, fp, precision and recall of the highest score at which recall reaches the target, its ties included. Counts decide; what is shown is rounded."""
+    c = prefix_sum(cells(scored, by, score, label), by, score, ["n", "pos"])
+    totals = scored.groupBy(*by).agg(F.sum(label).alias("_pos"))
+    rows = c.join(F.broadcast(totals), by) if by else c.crossJoin(totals)
+    rows = rows.filter(F.col("pos_to") >= F.col("_pos") * target - F.col("_pos") * 1e-12).filter("_pos > 0")
+    best = rows.groupBy(*by).agg(F.max_by(F.struct(F.col(score).alias("threshold"), "n_to", "pos_to", "_pos"), score).alias("_at")).select(*by, "_at.*")
+    return best.select(*by, "threshold", F.col("pos_to").alias("tp"), (F.col("n_to") - F.col("pos_to")).alias("fp"), F.round(F.col("pos_to") / F.col("n_to"), 6).alias("precision"), F.round(F.col("pos_to") / F.col("_pos"), 6).alias("recall"))
 
 
 def proper_scores(scored: DataFrame, by: list[str], p: str, label: str, clip: float = 1e-6) -> DataFrame:
@@ -63,14 +66,24 @@ def calibration_error(table: DataFrame) -> DataFrame:
     return table.agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("rate"))) / F.sum("n"), 6).alias("ece"))
 
 
-def top_share(scored: DataFrame, by: list[str], order: list[Column], label: str, percents: tuple[int, ...]) -> DataFrame:
-    """by, percent, k (rounded up), tp, precision, recall and lift of the top share of each group in a total order."""
-    w = Window.partitionBy(*by)
-    rows = scored.withColumns({"at": F.row_number().over(w.orderBy(*order)), "n": F.count("*").over(w), "pos": F.sum(label).over(w)})
-    rows = rows.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("k", F.ceil(F.col("n") * F.col("percent") / 100))
-    hits = rows.filter("at <= k").groupBy(*by, "percent", "k", "n", "pos").agg(F.sum(label).alias("tp"))
+def top_share(scored: DataFrame, by: list[str], score: str, key: str, label: str, percents: tuple[int, ...]) -> DataFrame:
+    """by, percent, k (rounded up), threshold (the least score inside), tp, precision, recall and lift of the top share of each group.
+
+    The order is by score, highest first, then by `key`, a number that is unique in its group. Rows are summed by
+    score, and only those with the score at the edge are counted by key; both go in ranges, so no group is sorted in one task.
+    """
+    c = prefix_sum(cells(scored, by, score, label), by, score, ["n", "pos"])
+    totals = scored.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(label).cast("long").alias("_pos"))
+    want = totals.select(*by, "_n", "_pos", F.explode(F.array(*map(F.lit, percents))).alias("percent")).withColumn("k", F.ceil(F.col("_n") * F.col("percent") / 100))
+    edge = (c.join(F.broadcast(want), by) if by else c.crossJoin(F.broadcast(want))).filter("n_to >= k")
+    held = F.struct(F.col(score).alias("threshold"), (F.col("k") - F.col("n_to") + F.col("n")).alias("need"), (F.col("pos_to") - F.col("pos")).alias("above"))
+    edge = edge.groupBy(*by, "percent", "k", "_n", "_pos").agg(F.max_by(held, score).alias("e")).select(*by, "percent", "k", "_n", "_pos", "e.*")
+    ties = scored.withColumn("threshold", F.col(score)).join(F.broadcast(edge.select(*by, "percent", "threshold", "need")), [*by, "threshold"])
+    ties = ties.select(*by, "percent", "need", (-F.col(key)).alias("_key"), F.col(label).cast("long").alias("_label"), F.lit(1).alias("_one"))
+    inside = prefix_sum(ties, [*by, "percent"], "_key", ["_one"]).filter("_one_to <= need").groupBy(*by, "percent").agg(F.sum("_label").alias("inside"))
+    rows = edge.join(inside, [*by, "percent"], "left").withColumn("tp", F.col("above") + F.coalesce("inside", F.lit(0)))
     precision = F.col("tp") / F.col("k")
-    return hits.select(*by, "percent", "k", F.col("tp").cast("long").alias("tp"), F.round(precision, 6).alias("precision"), F.round(F.try_divide("tp", "pos"), 6).alias("recall"), F.round(F.try_divide(precision, F.col("pos") / F.col("n")), 6).alias("lift"))
+    return rows.select(*by, "percent", "k", "threshold", "tp", F.round(precision, 6).alias("precision"), F.round(F.try_divide("tp", "_pos"), 6).alias("recall"), F.round(F.try_divide(precision, F.col("_pos") / F.col("_n")), 6).alias("lift"))
 
 
 def confusion(scored: DataFrame, p: str, label: str, threshold: float) -> DataFrame:
@@ -81,10 +94,12 @@ def confusion(scored: DataFrame, p: str, label: str, threshold: float) -> DataFr
 
 
 def percentile_bands(rows: DataFrame, by: list[str], score: str) -> DataFrame:
-    """rows with percentile (average rank of ties / n * 100), an exclusive band and cumulative top-5/10/20 flags."""
-    w = Window.partitionBy(*by)
-    low, ties = F.rank().over(w.orderBy(score)), F.count("*").over(Window.partitionBy(*by, score))
-    pct = F.round((low + (ties - 1) / 2) / F.count("*").over(w) * 100, 6)
-    out = rows.withColumn("percentile", pct)
+    """rows with percentile (average rank of ties / n * 100, from counts of scores in ranges; null without a score), an exclusive band and cumulative top-5/10/20 flags."""
+    counts = prefix_sum(rows.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n")), by, score, ["n"])
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_n"))
+    counts = counts.join(F.broadcast(totals), by) if by else counts.crossJoin(totals)
+    low = F.col("_n") - F.col("n_to") + 1
+    counts = counts.select(*by, score, F.round((low + (F.col("n") - 1) / 2) / F.col("_n") * 100, 6).alias("percentile"))
+    out = rows.join(counts, [*by, score], "left").select(*rows.columns, "percentile")
     band = F.when(F.col("percentile") >= 95, "HIGH").when(F.col("percentile") >= 90, "MEDIUM").when(F.col("percentile") >= 80, "WATCH").otherwise("OTHER")
     return out.withColumns({"band": band, **{f"top_{k}": F.col("percentile") >= 100 - k for k in (5, 10, 20)}})

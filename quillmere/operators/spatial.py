@@ -55,10 +55,11 @@ def overlaps(edges: DataFrame, polygons: DataFrame, line: str, polygon: str, cel
     """(line, polygon, overlap): the length of each line in each convex polygon (polygon, corners counterclockwise), where it is above `least`."""
     xs, ys = F.transform("corners", lambda c: c["x"]), F.transform("corners", lambda c: c["y"])
     areas = polygons.select(polygon, "corners", F.explode(_cells(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), cell, 0.0)).alias("_cell"))
-    rows = edges.select(line, F.monotonically_increasing_id().alias("_edge"), "x1", "y1", "x2", "y2")
+    ends = ["x1", "y1", "x2", "y2"]
+    rows = edges.groupBy(line, *ends).agg(F.count("*").alias("_times"))  # an edge is known by its ends; one drawn twice counts twice
     parts = rows.select("*", F.explode(_cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), cell, 0.0)).alias("_cell"))
     inside = clipped_length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("corners"))
-    pairs = parts.join(areas, "_cell").groupBy(line, polygon, "_edge").agg(F.first(inside).alias("inside"))
+    pairs = parts.join(areas, "_cell").groupBy(line, polygon, *ends).agg((F.first(inside) * F.first("_times")).alias("inside"))
     return pairs.groupBy(line, polygon).agg(F.sum("inside").alias("overlap")).filter(F.col("overlap") > least)
 
 

@@ -37,13 +37,18 @@ def log_rank(rows: DataFrame, group: str) -> DataFrame:
     return s.select("observed", F.round("expected", 6).alias("expected"), F.round("variance", 6).alias("variance"), F.round((F.col("observed") - F.col("expected")) ** 2 / F.col("variance"), 6).alias("chi2"))
 
 
-def concordance(rows: DataFrame, duration: str, event: str, score: str, bits: int = 20) -> DataFrame:
+def concordance(rows: DataFrame, duration: str, event: str, score: str, bits: int | None = None) -> DataFrame:
     """pairs, concordant, tied and c_index (Harrell): of two rows of which one is known to fail first, has it the higher score? Tied scores count half.
 
     A row with an event comes before all that last longer or are censored on that day. Two such places
-    (below 2 ** bits) first differ at one bit: at each bit, cells that agree above it are counted by score,
+    (of so many bits as the longest duration takes, unless given; ValueError where that is too few) first differ at one bit: at each bit, cells that agree above it are counted by score,
     so no pairs are formed and work grows with cells * bits.
     """
+    longest = rows.agg(F.max((F.col(duration) * 2 + 1 - F.col(event)).cast("long"))).first()[0] or 0
+    needed = max(1, int(longest).bit_length())
+    if bits is not None and bits < needed:
+        raise ValueError(f"durations take {needed} bits, not {bits}")
+    bits = needed
     cells = rows.groupBy((F.col(duration) * 2 + 1 - F.col(event)).cast("long").alias("at"), F.col(score).alias("score")).agg(F.count("*").alias("m"))
     levels = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     one = F.expr("shiftright(at, bit) & 1") == 1

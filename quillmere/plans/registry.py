@@ -172,10 +172,10 @@ def ece(t: Tables) -> DataFrame:
 
 
 @query("i08_top_share", f"""with {SCORED}, r as (select *, row_number() over (partition by part order by p desc, l_orderkey, l_linenumber) as place, count(*) over (partition by part) as n, sum(label) over (partition by part) as pos from sc),
-k as (select part, percent, ceil(n * percent / 100)::bigint as k, n, pos, sum(label) as tp from r, (select unnest([1, 5, 10, 20]) as percent) where place <= ceil(n * percent / 100) group by all)
-select part, percent, k, tp::bigint as tp, round(tp / k, 6) as precision, round(tp / pos, 6) as recall, round(tp / k / (pos / n), 6) as lift from k""")
+k as (select part, percent, ceil(n * percent / 100)::bigint as k, n, pos, sum(label) as tp, min(p) as th from r, (select unnest([1, 5, 10, 20]) as percent) where place <= ceil(n * percent / 100) group by all)
+select part, percent, k, round(th, 6) as threshold, tp::bigint as tp, round(tp / k, 6) as precision, round(tp / pos, 6) as recall, round(tp / k / (pos / n), 6) as lift from k""")
 def top(t: Tables) -> DataFrame:
-    return evaluation.top_share(scored(t), ["part"], [F.desc("p"), F.col("l_orderkey"), F.col("l_linenumber")], "label", (1, 5, 10, 20))
+    return evaluation.top_share(scored(t).withColumn("key", F.col("l_orderkey") * 100 + F.col("l_linenumber")), ["part"], "p", "key", "label", (1, 5, 10, 20)).withColumn("threshold", F.round("threshold", 6))
 
 
 @query("i09_confusion", f"with {SCORED}, c as (select count(*) filter (where p >= 0.5 and label = 1) as tp, count(*) filter (where p >= 0.5 and label = 0) as fp, count(*) filter (where p < 0.5 and label = 1) as fn, count(*) filter (where p < 0.5 and label = 0) as tn from sc) select *, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from c")

@@ -14,16 +14,19 @@ LATIN, WINDOWS = "".join(k for k, v in PLACES.items() if v), "".join(PLACES.valu
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options: str) -> DataFrame:
-    """A CSV with header, UTF-8 (a byte-order mark is dropped) or, where it holds what UTF-8 can't be, windows-1252.
+    """A CSV with header: each file as UTF-8 (a byte-order mark is dropped) or, where it holds what UTF-8 can't be, as windows-1252.
 
-    The whole input is looked through for undecodable bytes, in one pass without a shuffle.
+    All files are looked through for undecodable bytes, in one pass without a shuffle; the names of those that have some come to the driver.
     """
-    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
+    lines = spark.read.text(path)
+    broken = [r[0] for r in lines.filter(~F.is_valid_utf8("value")).select(F.input_file_name().alias("file")).distinct().collect()]
     reader = spark.read.option("header", True).option("enforceSchema", True).options(**options)
     if not broken:
         return reader.csv(path, schema=schema)
-    rows = reader.option("encoding", "ISO-8859-1").csv(path, schema=schema)
-    return rows.withColumns({c: F.translate(c, LATIN, WINDOWS) for c, kind in rows.dtypes if kind == "string"})
+    others = [r[0] for r in lines.select(F.input_file_name().alias("file")).distinct().collect() if r[0] not in broken]
+    rows = reader.option("encoding", "ISO-8859-1").csv(broken, schema=schema)
+    rows = rows.withColumns({c: F.translate(c, LATIN, WINDOWS) for c, kind in rows.dtypes if kind == "string"})
+    return rows.unionByName(reader.csv(others, schema=schema)) if others else rows
 
 
 def features(texts: DataFrame, column: str, properties: str) -> DataFrame:
@@ -45,6 +48,13 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     return features(spark.read.text(path, wholetext=True), "value", properties)
 
 
+def yearly_files(spark: SparkSession, pattern: str, years: range) -> DataFrame:
+    """The Parquet files that `pattern` (with {year}) names, as one table in the order of years, with source_year and source_file; years without a file are left out."""
+    jvm = spark.sparkContext._jvm
+    there = [y for y in years if (p := jvm.org.apache.hadoop.fs.Path(pattern.format(year=y))).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)]
+    return yearly({y: (d := spark.read.parquet(pattern.format(year=y))).select("*", d["_metadata.file_name"].alias("source_file")) for y in there})
+
+
 def yearly(parts: dict[int, DataFrame]) -> DataFrame:
     """The tables of all years as one, with `source_year`; columns that a year lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [parts[y].withColumn("source_year", F.lit(y)) for y in sorted(parts)])
