@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,39 @@ def kaplan_meier(rows: DataFrame, by: str) -> DataFrame:
     return cells.select(by, "duration_days", "at_risk", "events", F.round("survival", 6).alias("survival"), F.round(F.col("survival") * F.col("survival") * F.col("step"), 8).alias("greenwood"))
 
 
+def kaplan_meier_exact(rows: DataFrame, by: str) -> DataFrame:
+    """by, duration_days, at_risk, events, survival and variance_sum (of the increments), not rounded. The windows run over distinct durations of a class."""
+    cells = rows.groupBy(by, "duration_days").agg(F.count("*").alias("m"), F.sum("event_observed").cast("long").alias("events"))
+    back = Window.partitionBy(by).orderBy(F.desc("duration_days")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(by).orderBy("duration_days").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("at_risk", F.sum("m").over(back))
+    step = F.when(F.col("at_risk") == F.col("events"), 0.0).otherwise(F.col("events") / (F.col("at_risk") * (F.col("at_risk") - F.col("events"))))
+    return cells.select(by, "duration_days", "at_risk", "events", F.product(1 - F.col("events") / F.col("at_risk")).over(ahead).alias("survival"), F.sum(step).over(ahead).alias("variance_sum"))
+
+
+def with_interval(curve: DataFrame, z: float = 1.96) -> DataFrame:
+    """A curve with low and high: the normal interval of the survival, kept within 0 and 1."""
+    wide = z * F.col("survival") * F.sqrt("variance_sum")
+    return curve.withColumns({"low": F.greatest(F.lit(0.0), F.col("survival") - wide), "high": F.least(F.lit(1.0), F.col("survival") + wide)})
+
+
+def median_survival(curve: DataFrame, by: str) -> DataFrame:
+    """by and median_days: the first duration at which survival is one half or less; null where it stays above."""
+    return curve.groupBy(by).agg(F.min(F.when(F.col("survival") <= 0.5, F.col("duration_days"))).alias("median_days"))
+
+
+def largest_classes(rows: DataFrame, by: str, least_events: int = 300, most: int = 5) -> DataFrame:
+    """The rows of the `most` classes with most events, of those with `least_events` at least (the report's size is its feature)."""
+    counts = rows.groupBy(by).agg(F.sum("event_observed").alias("_events")).filter(F.col("_events") >= least_events)
+    return rows.join(F.broadcast(counts.orderBy(F.desc("_events"), by).limit(most).select(by)), by, "left_semi")
+
+
+def log_rank_p(table: DataFrame) -> DataFrame:
+    """A log-rank table with p_value: the tail of chi2 with one degree of freedom, of its one row."""
+    chi2 = table.first()["chi2"]
+    return table.withColumn("p_value", F.lit(None if chi2 is None else round(math.erfc(math.sqrt(chi2 / 2)), 6)).cast("double"))
+
+
 def log_rank(rows: DataFrame, group: str) -> DataFrame:
     """observed, expected, variance and chi2 of two groups (column `group`, 1 or 0); times with one at risk are left out."""
     cells = rows.groupBy("duration_days").agg(F.count("*").alias("m"), F.sum(group).alias("ma"), F.sum("event_observed").alias("d"), F.sum(F.col("event_observed") * F.col(group)).alias("da"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from quillmere.plans import assembly, audits, more, registry, wider  # noqa: F401  (each module adds its queries)
+from quillmere.plans import assembly, audits, more, registry, scoring, wider  # noqa: F401  (each module adds its queries)
 
 QUERIES, SQL, FLAGSHIP = registry.QUERIES, registry.SQL, registry.FLAGSHIP

@@ -20,13 +20,13 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options
     """
     lines = spark.read.text(path)
     broken = [r[0] for r in lines.filter(~F.is_valid_utf8("value")).select(F.input_file_name().alias("file")).distinct().collect()]
-    reader = spark.read.option("header", True).option("enforceSchema", True).options(**options)
+    reader = lambda: spark.read.option("header", True).option("enforceSchema", True).options(**options)
     if not broken:
-        return reader.csv(path, schema=schema)
+        return reader().csv(path, schema=schema)
     others = [r[0] for r in lines.select(F.input_file_name().alias("file")).distinct().collect() if r[0] not in broken]
-    rows = reader.option("encoding", "ISO-8859-1").csv(broken, schema=schema)
+    rows = reader().option("encoding", "ISO-8859-1").csv(broken, schema=schema)
     rows = rows.withColumns({c: F.translate(c, LATIN, WINDOWS) for c, kind in rows.dtypes if kind == "string"})
-    return rows.unionByName(reader.csv(others, schema=schema)) if others else rows
+    return rows.unionByName(reader().csv(others, schema=schema)) if others else rows
 
 
 def features(texts: DataFrame, column: str, properties: str) -> DataFrame:
