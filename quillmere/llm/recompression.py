@@ -6,10 +6,11 @@ without a dictionary. Whether a symbol stands at a place depends on a few words
 context; equal spans of words therefore hold the same symbols wherever the context lies inside.
 
 Every window of `window` words is given to one symbol whose context it holds: of the highest
-round, then of the smallest hash. The words of that context are the window's key. Chunks of documents
-ask by key, through buckets, which keys other chunks hold as well; only windows with shared keys are then
+round, then of the smallest hash. The words of that context are the window's key, which is computed once and written
+with the document. Chunks of documents ask by key, through buckets, which keys more than one document holds, in the same
+chunk or in another; only documents with such a key are looked at again, and only their windows with one are
 compared, by their own hashes, and the smallest doc_id of each is told to the chunks. The high
-symbols thus reveal the repeats, and the windows verify them.
+symbols thus reveal the repeats, within a chunk and between chunks, and the windows verify them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillmere.llm.chunks import CHUNK_BYTES, bucketed, chunked, joined, member_of, texts_of
 from quillmere.llm.common import mixed, written
@@ -162,38 +165,96 @@ class Windows:
         return of_key[self.starts]
 
 
+RUN = np.dtype([("low", "<u4"), ("high", "<u2"), ("n", "u1")])  # so many windows (or documents), one after the other, of one key, of which 48 bits are kept: keys that chance makes equal are told apart by the windows
+MOST_RUN = 255
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    made = np.zeros(len(keys), RUN)
+    made["low"], made["high"], made["n"] = (keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF), keys >> np.uint64(48), n
+    return made
+
+
+def _keys(runs: np.ndarray) -> np.ndarray:
+    """The keys of runs, the lowest 16 bits zero."""
+    return (runs["high"].astype(np.uint64) << np.uint64(48)) | (runs["low"].astype(np.uint64) << np.uint64(16))
+
+
+def _marks(window: int):
+    """The keys of each text's windows, in runs."""
+
+    def run(texts: list[bytes]) -> list[list[bytes]]:
+        w = Windows(texts, window)
+        keys, each = w.keys(), np.bincount(w.of, minlength=len(texts))
+        ends = np.cumsum(each)
+        new = np.append(True, (keys[1:] != keys[:-1]) | (w.of[1:] != w.of[:-1])) if len(keys) else np.empty(0, bool)
+        head = np.flatnonzero(new)
+        if len(head):
+            new |= (np.arange(len(keys)) - head[np.cumsum(new) - 1]) % MOST_RUN == 0  # longer runs are several
+            head = np.flatnonzero(new)
+        made = _packed(keys[head], np.diff(np.append(head, len(keys))))
+        cut = np.searchsorted(head, np.append(0, ends)).tolist()
+        return [[made[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]]
+
+    return run
+
+
+def _runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(runs, document by place) of a chunk."""
+    marks = table["m"].to_pylist()
+    return joined(marks, RUN), np.repeat(np.arange(len(marks)), [len(m) // RUN.itemsize for m in marks])
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     """The documents' ids to compare; never floats, as a column with nulls would become."""
     return table["doc_id"].cast(pa.int64()).fill_null(LAST_ID).to_numpy()
 
 
-def _ask_keys(window: int, buckets: int):
+def _ask_keys(buckets: int):
+    """Each key of a chunk, and whether one (n = 1) or more documents of it hold it."""
+
     def run(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-        found = np.unique(Windows(texts_of(table), window).keys())
-        parts = bucketed(found, buckets)
-        return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()), "keys": pa.array([found[s].tobytes() for _, s in parts], pa.binary())})
+        runs, doc = _runs(table)
+        keys, docs = _keys(runs), _ids(table)[doc]
+        order = np.lexsort((docs, keys))
+        keys, docs = keys[order], docs[order]
+        new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.empty(0, bool)
+        head = np.flatnonzero(new)
+        other = (new | np.append(True, docs[1:] != docs[:-1])).astype(np.int64) if len(head) else np.empty(0, np.int64)
+        held = _packed(keys[head], np.minimum(np.add.reduceat(other, head), 2) if len(head) else other)
+        parts = bucketed(keys[head], buckets)
+        return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()), "keys": pa.array([held[s].tobytes() for _, s in parts], pa.binary())})
 
     return run
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    sent = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-    values, times = np.unique(np.concatenate(sent), return_counts=True)
-    shared = values[times > 1]
-    back = [s[member_of(s, shared)] for s in sent]
+    """To each chunk those of its keys that more than one document holds."""
+    sent = [np.frombuffer(k, RUN) for k in table["keys"].to_pylist()]
+    keys = [_keys(s) for s in sent]
+    values, where = np.unique(np.concatenate(keys), return_inverse=True)
+    shared = values[np.bincount(where, weights=np.concatenate([s["n"] for s in sent])) > 1]
+    back = [k[member_of(k, shared)] for k in keys]
     some = [i for i, x in enumerate(back) if len(x)]
     return pa.table({"chunk": table["chunk"].combine_chunks().take(pa.array(some, pa.int64())), "keys": pa.array([back[i].tobytes() for i in some], pa.binary())})
 
 
+def _candidates(table: pa.Table, answers: pa.Table, window: int) -> tuple[np.ndarray, Windows, np.ndarray]:
+    """The documents of a chunk (by place) in which a shared symbol stands, their windows, and which of these have one. No others are looked at."""
+    runs, doc = _runs(table)
+    shared = member_of(_keys(runs), np.sort(joined(answers["keys"].to_pylist(), np.uint64)))
+    docs = np.unique(doc[shared])
+    texts = texts_of(table.take(pa.array(docs))) if len(docs) else []
+    mine = np.isin(doc, docs)
+    return docs, Windows(texts, window), np.repeat(shared[mine], runs["n"][mine])
+
+
 def _ask_windows(window: int, buckets: int):
     def run(key: tuple[pa.Scalar], table: pa.Table, answers: pa.Table) -> pa.Table:
-        shared = np.sort(joined(answers["keys"].to_pylist(), np.uint64))
-        if not len(shared) or not table.num_rows:
+        if not answers.num_rows or not table.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "firsts": pa.array([], pa.binary())})
-        w = Windows(texts_of(table), window)
-        ask = member_of(w.keys(), shared)
-        hashes, docs = w.hashes()[ask], _ids(table)[w.of[ask]]
-        values, first = _firsts(hashes, docs)
+        docs, w, ask = _candidates(table, answers, window)
+        values, first = _firsts(w.hashes()[ask], _ids(table)[docs][w.of[ask]])
         parts = bucketed(values, buckets)
         return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()), "keys": pa.array([values[s].tobytes() for _, s in parts], pa.binary()), "firsts": pa.array([first[s].tobytes() for _, s in parts], pa.binary())})
 
@@ -219,26 +280,26 @@ def _earlier(table: pa.Table) -> pa.Table:
 
 def _keep(window: int, texts: bool):
     def run(key: tuple[pa.Scalar], table: pa.Table, answers: pa.Table) -> pa.Table:
-        earlier = np.sort(joined(answers["keys"].to_pylist(), np.uint64))
-        ids = _ids(table)
-        sources = texts_of(table)
-        w = Windows(sources, window)
-        docs = ids[w.of] if len(w.of) else np.empty(0, np.int64)
-        hashes = w.hashes()
-        values, first = _firsts(hashes, docs)
-        gone = member_of(hashes, earlier)
-        if len(values):
-            gone |= docs > first[np.searchsorted(values, hashes)]
-        cover = np.zeros(len(w.h) + 1, np.int32)
-        np.add.at(cover, w.starts[gone], 1)
-        np.add.at(cover, w.starts[gone] + window, -1)
-        removed = np.cumsum(cover[:-1]) > 0
-        begin, rows = 0, []
-        for source, end, doc in zip(sources, w.ends.tolist(), table["doc_id"].to_pylist(), strict=True):
-            cut, words = removed[begin:end], source.split()
-            kept = [x for x, r in zip(words, cut.tolist(), strict=True) if not r] if cut.any() else words
-            rows.append((doc, len(words), int(cut.sum()), b" ".join(kept)))
-            begin = end
+        ids, removed = _ids(table), {}
+        mine = answers.filter(pa.compute.is_valid(answers["shared"])).select(["shared"]).rename_columns(["keys"])
+        if mine.num_rows and table.num_rows:
+            earlier = np.sort(joined([k for k in answers["earlier"].to_pylist() if k], np.uint64))
+            docs, w, ask = _candidates(table, mine, window)
+            hashes, starts, of = w.hashes()[ask], w.starts[ask], ids[docs][w.of[ask]]
+            values, first = _firsts(hashes, of)
+            gone = member_of(hashes, earlier)
+            if len(values):
+                gone |= of > first[np.searchsorted(values, hashes)]
+            cover = np.zeros(len(w.h) + 1, np.int32)
+            np.add.at(cover, starts[gone], 1)
+            np.add.at(cover, starts[gone] + window, -1)
+            cut = np.cumsum(cover[:-1]) > 0
+            removed = {int(d): c for d, c in zip(docs, np.split(cut, w.ends[:-1]), strict=True)} if len(docs) else {}
+        rows = []
+        for i, (source, doc) in enumerate(zip(texts_of(table), table["doc_id"].to_pylist(), strict=True)):
+            words, cut = source.split(), removed.get(i)
+            kept = words if cut is None or not cut.any() else [x for x, r in zip(words, cut.tolist(), strict=True) if not r]
+            rows.append((doc, len(words), len(words) - len(kept), b" ".join(kept)))
         doc, n, cut, text = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(cut, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in text], pa.string()), "kept_text": pa.array([t.decode() if texts else None for t in text], pa.string())})
 
@@ -251,10 +312,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
     Words are what \\x20 and \\x09-\\x0D part; null and empty texts have none, texts of fewer words than a window lose none. Rows
     with one doc_id do not remove from each other; a null doc_id comes after all others (as one with the largest long) and stays null; an empty table gives none; other columns are not read.
     """
-    rows, buckets = chunked(docs, chunk_bytes)
-    entries = rows.groupBy("chunk").applyInArrow(_ask_keys(window, buckets), "bucket int, chunk int, keys binary")
-    shared = written(entries.groupBy("bucket").applyInArrow(_shared_keys, "chunk int, keys binary"), "shared-keys")
+    rows, buckets = chunked(docs, chunk_bytes, _marks(window), ("m",))
+    asked = rows.select("chunk", "doc_id", "m").groupBy("chunk").applyInArrow(_ask_keys(buckets), "bucket int, chunk int, keys binary")
+    shared = written(asked.groupBy("bucket").applyInArrow(_shared_keys, "chunk int, keys binary"), "shared-keys")
     entries = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_ask_windows(window, buckets), "bucket int, chunk int, keys binary, firsts binary")
     earlier = written(entries.groupBy("bucket").applyInArrow(_earlier, "chunk int, keys binary"), "earlier-windows")
-    out = rows.groupBy("chunk").cogroup(earlier.groupBy("chunk")).applyInArrow(_keep(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    none = F.lit(None).cast("binary")
+    answers = shared.select("chunk", F.col("keys").alias("shared"), none.alias("earlier")).union(earlier.select("chunk", none, F.col("keys")))
+    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_keep(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if texts else out.drop("kept_text")
