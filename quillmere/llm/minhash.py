@@ -294,7 +294,9 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
     sig = written(docs.select("doc_id", "text", "rid").mapInArrow(_signatures(ngram, bands, rows, bits), "doc_id long, rid long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>"), "signatures")
     some = sig.filter("n_shingles > 0")
     classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, in a table
+    # Numbered once, in a table, in the order of their first rows: of near copies the first document, which most
+    # of them share bands with, is then the pivot of most buckets, and the same pairs need not be compared under many pivots.
+    classes = written(classes.orderBy("rep").withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = some.join(classes.select("set_a", "set_b", "node", F.col("rep.rid").alias("rid")), ["set_a", "set_b", "rid"]).dropDuplicates(["node"])
     nodes = written(nodes.select("node", "rid", F.coalesce("doc_id", F.lit(0)).alias("id"), "keys", "sketch"), "nodes")
     band_rows = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("doc"))
