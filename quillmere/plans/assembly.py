@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import rows as row_functions
 from quillmere.functions import text
-from quillmere.operators import canonical, mart
+from quillmere.operators import canonical, mart, panel
 from quillmere.plans.audits import SMALL_PANEL, small_panel
-from quillmere.plans.registry import Tables, query, urgent
+from quillmere.plans.registry import ANCHORS, EV, FIRST, LAST, Tables, query, urgent
 from quillmere.sources import sinks
 
 PANEL_COLUMNS = ["entity", "as_of_date", "target_90d", "target_180d", "events_365d", "collapsed_365d", "last_event"]
@@ -25,7 +25,7 @@ def lines(t: Tables) -> DataFrame:
 LINES = """ln as (select c_custkey as id, c_mktsegment, c_custkey % 5 = 0 as is_point, (c_custkey % 100)::double as x, (c_custkey % 70)::double as y from customer)"""
 
 
-@query("a03_geometry_blobs", f"with {LINES} select id, case when is_point then 1 else 3 end::int as n_points, x as first_x, y as first_y, case when is_point then 0.0 else 11.0 end as length from ln")
+@query("a03_geometry_blobs", f"with {LINES} select id, case when is_point then 1 else 3 end::int as n_points, x as first_x, y as first_y, case when is_point then 0.0 else 11.0 end::double as length from ln")
 def geometry_blobs(t: Tables) -> DataFrame:
     rows = lines(t).select("id", sinks.encoded("line").alias("blob")).select("id", sinks.decoded(sinks.wkb_of(F.col("blob"))).alias("line"))
     return rows.select("id", F.size("line").alias("n_points"), F.col("line")[0]["x"].alias("first_x"), F.col("line")[0]["y"].alias("first_y"), row_functions.line_length("line").alias("length"))
@@ -87,7 +87,7 @@ def feature_sink(t: Tables) -> DataFrame:
     return back.select("id", "c_mktsegment", "geometry_type", F.col("line")[0]["x"].alias("first_x"), F.col("line")[0]["y"].alias("first_y"))
 
 
-@query("a09_geometry_sink", f"with {LINES} select 'EPSG:32188' as working_crs, count(*) as n, sum(case when is_point then 0.0 else 11.0 end) as total_length from ln")
+@query("a09_geometry_sink", f"with {LINES} select 'EPSG:32188' as working_crs, count(*) as n, sum(case when is_point then 0.0 else 11.0 end)::double as total_length from ln")
 def geometry_sink(t: Tables) -> DataFrame:
     rows = lines(t)
     path = sinks.scratch(rows.sparkSession, "geometries")
@@ -261,3 +261,21 @@ def ordered_options(t: Tables) -> DataFrame:
     """A short list: what is explained first, then by score."""
     rows = t("customer").select("c_custkey", (F.col("c_acctbal") > 9000).cast("int").alias("explained"), "c_acctbal")
     return mart.rank_percentiles(rows, [F.desc("explained"), F.desc("c_acctbal"), F.col("c_custkey")], 25).select("c_custkey", "explained", (F.col("place") + 1).alias("place"))
+
+
+WINDOWS = (30, 90, 180, 365)
+
+
+@query("d03_trailing_windows", f"""with {EV}, {ANCHORS}, p as (select c_custkey as entity, t from customer, anchors) select entity, t as as_of_date, """ + ", ".join(f"count(*) filter (where day > t - {w}) as events_{w}d, count(distinct day) filter (where day > t - {w}) as collapsed_{w}d" for w in WINDOWS) + " from p join ev using (entity) where day <= t and day > t - 365 group by all")
+def trailing_windows(t: Tables) -> DataFrame:
+    """Raw counts and counts of days, for all windows in one shuffle."""
+    rows = panel.trailing_counts(urgent(t), "entity", "day", WINDOWS).filter(F.col("as_of_date").between(FIRST, LAST))
+    return rows.withColumnsRenamed({f"active_days_{w}d": f"collapsed_{w}d" for w in WINDOWS})
+
+
+@query("d35_seven_dimensions", " union all ".join(f"select '{n}' as dimension, ({e})::varchar as value, count(*) as n, sum((o_orderpriority = '1-URGENT')::int)::bigint as positives from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey group by 2" for n, e in (("status", "o_orderstatus"), ("segment", "c_mktsegment"), ("nation", "n_name"), ("region", "n_regionkey"), ("year", "year(o_orderdate)"), ("quarter", "quarter(o_orderdate)"), ("rich", "(c_acctbal > 5000)::int"))))
+def seven_dimensions(t: Tables) -> DataFrame:
+    rows = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(t("nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    dims = {"status": F.col("o_orderstatus"), "segment": F.col("c_mktsegment"), "nation": F.col("n_name"), "region": F.col("n_regionkey"), "year": F.year("o_orderdate"), "quarter": F.quarter("o_orderdate"), "rich": (F.col("c_acctbal") > 5000).cast("int")}
+    long = rows.select((F.col("o_orderpriority") == "1-URGENT").cast("int").alias("y"), F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("value")) for d, c in dims.items()])))
+    return long.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
