@@ -294,14 +294,16 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
     sig = written(docs.select("doc_id", "text", "rid").mapInArrow(_signatures(ngram, bands, rows, bits), "doc_id long, rid long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>"), "signatures")
     some = sig.filter("n_shingles > 0")
     classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("rep"))
-    # Numbered once, in a table, in the order of their first rows: of near copies the first document, which most
-    # of them share bands with, is then the pivot of most buckets, and the same pairs need not be compared under many pivots.
-    classes = written(classes.orderBy("rep").withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, in a table
     nodes = some.join(classes.select("set_a", "set_b", "node", F.col("rep.rid").alias("rid")), ["set_a", "set_b", "rid"]).dropDuplicates(["node"])
     nodes = written(nodes.select("node", "rid", F.coalesce("doc_id", F.lit(0)).alias("id"), "keys", "sketch"), "nodes")
     band_rows = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("doc"))
-    shared = band_rows.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).filter("pivot < top").select("key")
-    state = written(band_rows.join(shared, "key").withColumn("outside", F.lit(True)), "buckets")
+    shared = band_rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = written(band_rows.join(shared, "key"), "shared")
+    # The pivot of a bucket is the member that shares buckets with the most rows: of near copies one document is then
+    # the pivot of most buckets, whatever the ids, and the same rows need not be compared under many pivots.
+    reach = shared.groupBy("doc").agg(F.sum("m").alias("reach"))
+    state = written(shared.join(reach, "doc").select("key", "doc", "reach", F.lit(True).alias("outside")), "buckets")
     sketches = nodes.select("node", "sketch")
     cut = sketch_cut(near, bands * rows, bits)
     links: DataFrame | None = None
@@ -309,7 +311,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
         if last:
             pairs = written(_may_link(state, sketches, sketch_cut(threshold, bands * rows, bits)).distinct(), "pairs")
         else:
-            pivots = state.groupBy("key").agg(F.min(F.when(F.col("outside"), F.col("doc"))).alias("pivot"), F.count("*").alias("m")).filter("pivot is not null and m > 1").select("key", "pivot")
+            first = F.min(F.when(F.col("outside"), F.struct((-F.col("reach")).alias("order"), "doc")))
+            pivots = state.groupBy("key").agg(first.alias("first"), F.count("*").alias("m")).filter("first is not null and m > 1").select("key", F.col("first.doc").alias("pivot"))
             members = state.join(pivots, "key").filter("doc <> pivot")
             pairs = members.select("doc", "pivot").distinct()
             pairs = pairs.join(sketches.select(F.col("node").alias("doc"), F.col("sketch").alias("x")), "doc").join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("y")), "pivot")
@@ -322,7 +325,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
         links = found if links is None else links.union(found)
         if not last:
             state = members.join(close.select("doc", "pivot", "linked"), ["doc", "pivot"], "left").filter(~F.coalesce("linked", F.lit(False)))
-            state = written(state.select("key", "doc", (F.col("outside") & F.col("linked").isNull()).alias("outside")), "buckets")
+            state = written(state.select("key", "doc", "reach", (F.col("outside") & F.col("linked").isNull()).alias("outside")), "buckets")
     label = components(links)
     of_class = classes.join(label, classes["node"] == label["doc"], "left").select("set_a", "set_b", "rep", F.coalesce("component", "node").alias("component"))
     least = of_class.groupBy("component").agg(F.min("rep").alias("least"))
