@@ -190,11 +190,18 @@ def _within(close: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("pivot", "lo", "hi").applyInArrow(_neighbours(threshold), "a long, b long")
 
 
-def _told(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, ngram: int, near: float, threshold: float) -> DataFrame:
-    """pairs (doc, pivot) of nodes with what the full sets of their rows in docs say of them."""
-    needed = pairs.select(F.explode(F.array("doc", "pivot")).alias("node")).distinct()
-    needed = written(nodes.select("node", "rid", "id").join(needed, "node"), "needed")
-    texts = written(docs.withColumn("id", F.coalesce("doc_id", F.lit(0))).join(needed, ["rid", "id"]).select("node", "text"), "texts").dropDuplicates(["node"])
+def _texts(docs: DataFrame, nodes: DataFrame, state: DataFrame) -> DataFrame:
+    """(node, text) of the nodes that share a bucket: the only shuffle of whole texts, made once for all rounds.
+
+    Repeated rows are combined before it, and no join is left to the size of its sides, so small inputs are planned as large ones.
+    """
+    needed = nodes.select("node", "rid", "id").join(state.select(F.col("doc").alias("node")).distinct(), "node")
+    rows = docs.select("rid", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").dropDuplicates(["rid", "id"])
+    return written(rows.join(needed.hint("merge"), ["rid", "id"]).select("node", "text"), "texts")
+
+
+def _told(pairs: DataFrame, texts: DataFrame, ngram: int, near: float, threshold: float) -> DataFrame:
+    """pairs (doc, pivot) of nodes with what their full sets say of them."""
     full = pairs.join(texts.select(F.col("node").alias("doc"), "text"), "doc").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
     return written(full.select("doc", "pivot", "text", "pivot_text").mapInArrow(_compare(ngram, near, threshold), "doc long, pivot long, n long, pivot_n long, linked boolean, near boolean, diff binary"), "told")
 
@@ -304,6 +311,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
     # the pivot of most buckets, whatever the ids, and the same rows need not be compared under many pivots.
     reach = shared.groupBy("doc").agg(F.sum("m").alias("reach"))
     state = written(shared.join(reach, "doc").select("key", "doc", "reach", F.lit(True).alias("outside")), "buckets")
+    texts = _texts(docs, nodes, state)
     sketches = nodes.select("node", "sketch")
     cut = sketch_cut(near, bands * rows, bits)
     links: DataFrame | None = None
@@ -318,7 +326,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
             pairs = pairs.join(sketches.select(F.col("node").alias("doc"), F.col("sketch").alias("x")), "doc").join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("y")), "pivot")
             apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
             pairs = written(pairs.filter(apart <= cut).select("doc", "pivot").distinct(), "pairs")
-        told = _told(pairs, nodes, docs, ngram, near, threshold)
+        told = _told(pairs, texts, ngram, near, threshold)
         close = told.filter("near")
         found = close.filter("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b"))
         found = written(found if last else found.union(_within(close, threshold)), "links")
