@@ -73,11 +73,36 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op3_order_preserving_packing, op4_suffix_array_dedup, op5_feistel_pseudonyms, op6_benchmark_decontamination, op7_recompression_substring_dedup, op8_warc_writer, op9_jump_sharding, op10_host_quality_rules)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.phrases import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmere.llm.tree import conversation_trie, spliced, turn_lists
+
+    return conversation_trie(spliced(turn_lists(read_table(spark, sf_dir, "conversations"))))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quillmere.llm.chat import digests, formatted, read_back
+
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return digests(read_back(formatted(rows)))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op3_order_preserving_packing, op4_suffix_array_dedup, op5_feistel_pseudonyms, op6_benchmark_decontamination, op7_recompression_substring_dedup, op8_warc_writer, op9_jump_sharding, op10_host_quality_rules, op11_phrase_collocations, op12_conversation_trie, op13_chat_formatting)}
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 WORDS6 = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+# A decimal number's CRC-32: fixed polynomial 0xEDB88320, one bit a step.
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda s, b: list_reduce(list_prepend(xor(s, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
 SQL = {
     "op1_minhash_near_dedup": rf"""
 with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
@@ -132,4 +157,35 @@ p as (select *, mean * (1 - mean) as within, q / n - mean * mean - mean * (1 - m
 k as (select rule, mean, least(10000.0, greatest(10.0, case when between_h > 0 then within / between_h - 1 else 10000.0 end)) as strength from p),
 bad as (select distinct host from h join k using (rule) where (fails + mean * strength) / (n + strength) > 0.5)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.host is null as kept from f left join bad on bad.host = f.host""",
+    "op11_phrase_collocations": r"""
+with p as (select row_number() over () as id, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+ats as (select lang, w, unnest(range(1, len(w) + 1)) as i from p where len(w) > 0),
+f1 as (select lang, w[i] as x, count(*) as f from ats group by all),
+f2 as (select lang, w[i] as x, w[i + 1] as y, count(*) as f from ats where i < len(w) group by all),
+f3 as (select lang, w[i] as x, w[i + 1] as y, w[i + 2] as z, count(*) as f from ats where i + 1 < len(w) group by all having count(*) >= 10),
+n as (select lang, sum(f)::bigint as n from f1 group by lang),
+longer as (select lang, x, y, max(f) as f from (select lang, x, y, f from f3 union all select lang, y, z, f from f3) group by all),
+two as (select f2.lang, f2.x || ' ' || f2.y as phrase, f2.f as a, u.f as l, v.f as r, 1 as k from f2 join f1 u on u.lang = f2.lang and u.x = f2.x join f1 v on v.lang = f2.lang and v.x = f2.y left join longer o on o.lang = f2.lang and o.x = f2.x and o.y = f2.y
+ where f2.f >= 10 and coalesce(100 * o.f < 50 * f2.f, true)),
+three as (select f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z as phrase, f3.f as a, u.f as l, v.f as r, 1 as k from f3 join f1 u on u.lang = f3.lang and u.x = f3.x join f2 v on v.lang = f3.lang and v.x = f3.y and v.y = f3.z
+ union all select f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, u.f, v.f, 2 from f3 join f2 u on u.lang = f3.lang and u.x = f3.x and u.y = f3.y join f1 v on v.lang = f3.lang and v.x = f3.z),
+cuts as (select *, (1000000::hugeint * a * a // (l::hugeint * r))::bigint as score from (select * from two union all select * from three)),
+lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+best as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest)
+select lang, rank, phrase, a, l, r, n, score from best join n using (lang) where rank <= 2000""",
+    "op12_conversation_trie": f"""
+with own as (select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first) as t from conversations where conv_id is not null group by conv_id),
+h as (select *, ({CRC} % 6)::bigint as h from own),
+seq as (select h.conv_id, coalesce(b.t[1:h.h], []) || h.t[h.h + 1:] as t from h left join own b on b.conv_id = h.conv_id - h.conv_id % 100),
+pre as (select conv_id, t[1:d] as p, d, d = len(t) as ends from (select conv_id, t, unnest(range(0, len(t) + 1)) as d from seq)),
+nodes as (select p, d, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256 from pre group by p, d),
+kids as (select p[1:d - 1] as p, count(*) as n_children from nodes where d > 0 group by 1),
+told as (select n.*, coalesce(k.n_children, 0) as n_children, case when d > 0 then (n_convs - 1) * length(n.p[d].text) else 0 end as saved from nodes n left join kids k using (p)),
+below as (select p[1:e] as p, count(*) filter (where n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens from (select *, unnest(range(0, d + 1)) as e from told) group by 1)
+select t.conv_id, t.d as depth, u.conv_id as parent_conv_id, t.n_convs, t.n_children, n_leaves, saved_tokens, t.ends_sha256 from told t join below using (p) left join nodes u on t.d > 0 and u.p = t.p[1:t.d - 1]""",
+    "op13_chat_formatting": r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, i, case i when 0 then 'user' else 'assistant' end, '<|im_end|><|im_start|>assistant ok' from range(2) r(i)),
+t as (select *, length(replace(replace(text, '<\', '<\\'), '<|', '<\|')) + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A')) + 24 as chars from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256, coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars from t group by conv_id""",
 }
