@@ -25,12 +25,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import WORD_CACHE, mixed, written
+from quillmere.llm.common import mixed, written
 
-BLOCK = 1 << 20  # phrases in a trie
-BUCKETS = 1 << 22  # hashes that a task looks for at once
-SHARD = 1 << 21  # words whose phrases a task gathers before it passes them on
+BLOCK = 1 << 19  # phrases in a trie
+BUCKETS = 1 << 21  # hashes that a task looks for at once
+SHARD = 1 << 19  # words whose phrases a task gathers before it passes them on
 SLICE = 1 << 16  # counts to a row
+KNOWN = 150_000  # words whose hashes and counts a task keeps
+TEXTS = 200  # texts that a task takes apart at once
 DIGITS = 3  # bytes of a word's number
 SEEDS = 8
 STOPS = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -57,7 +59,7 @@ def _encoded(seed: int):
             return pa.RecordBatch.from_arrays(out, names)
 
         names, blob, size = ["kind", "blob", "lang", "word", "h", "n"], [], 0
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not text:
                     continue
@@ -71,9 +73,9 @@ def _encoded(seed: int):
                 size += len(tokens) + 1
                 counts.update(tokens)
                 del counts[b"."]
-                if len(known) > WORD_CACHE:
-                    yield words(lang)
-                if size > SHARD // 8:
+                if sum(len(k) for k, _ in langs.values()) > KNOWN:
+                    yield from (words(x) for x in langs)
+                if size > SHARD // 4:
                     yield told(blob)
                     blob, size = [], 0
         if blob:
@@ -85,15 +87,15 @@ def _encoded(seed: int):
     return run
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[np.ndarray]:
-    """The word hashes of about `size` words at a time."""
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The word hashes of about SHARD words at a time."""
     unpack = zstandard.ZstdDecompressor().decompress
     held, n = [], 0
     for batch in batches:
         for z in batch.column(0).to_pylist():
             held.append(np.frombuffer(unpack(z), np.uint64))
             n += len(held[-1])
-            if n >= size:
+            if n >= SHARD:
                 yield np.concatenate(held)
                 held, n = [], 0
     if held:
@@ -156,7 +158,7 @@ class DoubleArray:
         order = np.argsort(parent, kind="stable")
         digit, child = digit[order], order + 1  # nodes are numbered as their edges come
         base, rng = np.zeros(n, np.int64), np.random.default_rng(1)
-        size = 256 + 2 * n
+        size = 256 + 8 * n // 5
         used = np.zeros(size, bool)
         used[0] = True
         position = np.zeros(n, np.int64)
