@@ -4,7 +4,7 @@
    words. The vocabulary tells whether any two words share a hash; if so, another seed is taken.
 2. Pairs are counted by a hash of theirs; a pair whose hash occurs `least` times or more is a
    candidate, so none that is frequent is missed (hashes only add). Triples are counted the same
-   way, of those only that go on from a candidate pair and end in one.
+   way, of those only that start and end with a candidate pair.
 3. All candidates, and the words in them, are dealt into blocks of at most BLOCK phrases. Each block
    becomes a double-array trie over the bytes of word numbers, which is broadcast: its size is
    bounded by BLOCK, and more phrases make more passes. numpy takes the states of all text
@@ -15,14 +15,13 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import mixed, written
@@ -39,50 +38,64 @@ STOPS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 DELTA, SIGMA = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+class _Words(dict):
+    """Numbers of words as they come, with their hashes (0 for the full stop) and counts."""
+
+    def __init__(self, seed: int):
+        super().__init__({b".": 0})
+        self.seed, self.new, self.hashes, self.counts = seed, [], np.zeros(1, np.uint64), np.zeros(1, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(xxhash.xxh3_64_intdigest(word, self.seed) or 1)
+        n = self[word] = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The hashes of `words`, which are counted."""
+        numbers = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        if len(self) > len(self.hashes):
+            more = max(len(self), 3 * len(self.hashes) // 2) - len(self.hashes)
+            self.hashes, self.counts = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.hashes, self.counts))
+        if self.new:
+            self.hashes[len(self) - len(self.new) : len(self)] = self.new
+            self.new = []
+        np.add.at(self.counts, numbers, 1)
+        return self.hashes[numbers]
+
+
 def _encoded(seed: int):
     """(kind, blob, lang, word, h, n): kind 0 the word hashes of some documents, kind 1 a word with its hash and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        langs: dict[str, tuple[dict[bytes, int], Counter]] = {}
+        langs: dict[str, _Words] = {}
 
         def told(blob: list[np.ndarray]) -> pa.RecordBatch:
             whole = np.concatenate(blob)
             return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([squeeze(whole.tobytes())], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
 
         def words(lang: str) -> pa.RecordBatch:
-            known, counts = langs[lang]
-            n = len(counts)
-            out = [pa.array([1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([lang] * n, pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(np.array([known[w] for w in counts], np.uint64).view(np.int64)), pa.array(counts.values(), pa.int64())]
-            known.clear()
-            counts.clear()
-            return pa.RecordBatch.from_arrays(out, names)
+            known = langs.pop(lang)
+            held, n = list(known)[1:], len(known) - 1
+            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([lang] * n, pa.string()), pa.array(held, pa.binary()).cast(pa.string()), pa.array(known.hashes[1 : n + 1].view(np.int64)), pa.array(known.counts[1 : n + 1])], names)
 
         names, blob, size = ["kind", "blob", "lang", "word", "h", "n"], [], 0
         for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if not text:
                     continue
-                known, counts = langs.setdefault(lang, ({}, Counter()))
-                own = xxhash.xxh3_64_intdigest(lang.encode(), seed)
-                tokens = STOPS.sub(b" . ", text.lower()).split()  # a full stop ends a piece, so it can be in no word
-                for w in set(tokens).difference(known):
-                    known[w] = xxhash.xxh3_64_intdigest(w, own) or 1
-                known[b"."] = 0
-                blob += [np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)), np.zeros(1, np.uint64)]
-                size += len(tokens) + 1
-                counts.update(tokens)
-                del counts[b"."]
-                if sum(len(k) for k, _ in langs.values()) > KNOWN:
-                    yield from (words(x) for x in langs)
+                if lang not in langs:
+                    langs[lang] = _Words(xxhash.xxh3_64_intdigest(lang.encode(), seed))
+                blob += [langs[lang].of(STOPS.sub(b" . ", text.lower()).split()), np.zeros(1, np.uint64)]  # a full stop ends a piece, so it can be in no word
+                size += len(blob[-2]) + 1
+                if sum(map(len, langs.values())) > KNOWN:
+                    yield from [words(x) for x in list(langs)]
                 if size > SHARD // 4:
                     yield told(blob)
                     blob, size = [], 0
         if blob:
             yield told(blob)
-        for lang, (_, counts) in langs.items():
-            if counts:
-                yield words(lang)
+        yield from (words(x) for x in list(langs))
 
     return run
 
@@ -113,26 +126,40 @@ def _counted(h: np.ndarray) -> pa.RecordBatch:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for h in _arrays(batches):
-        at = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
-        yield _counted(pair_hashes(h[at], h[at + 1]))
+        yield _counted(_pair_hashes(h)[1])
 
 
-def _among(h: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    """The places of h in sorted_, -1 where it is not."""
-    if not len(sorted_):
-        return np.full(len(h), -1, np.int64)
-    place = np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)
-    return np.where(sorted_[place] == h, place, -1)
+class Places:
+    """Where hashes stand in a sorted array of hashes, found by their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, min(22, len(keys).bit_length()))
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.start = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(keys)).astype(np.int32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is not there."""
+        out = np.full(len(h), -1, np.int32)
+        first = (h >> self.shift).astype(np.int32)
+        at, left = self.start[first], self.start[first + 1]
+        todo = np.flatnonzero(at < left)
+        at, left, sought = at[todo], left[todo], h[todo]
+        while len(todo):
+            hit = self.keys[at] == sought
+            out[todo[hit]] = at[hit]
+            more = ~hit & (at + 1 < left)
+            todo, at, left, sought = todo[more], at[more] + 1, left[more], sought[more]
+        return out
 
 
 class DoubleArray:
     """A trie of phrases of up to three word hashes (0: none): from a state s, byte c leads to base[s] + c if check there says s. accept: the phrase's row, or -1."""
 
     def __init__(self, phrases: np.ndarray):
-        self.words = np.unique(phrases[phrases != 0])
-        numbers = np.searchsorted(self.words, phrases)
+        words = np.unique(phrases[phrases != 0])
+        numbers = np.searchsorted(words, phrases)
         length = (phrases != 0).sum(axis=1)
-        if len(self.words) >> 8 * DIGITS:
+        if len(words) >> 8 * DIGITS:
             raise ValueError("more words than numbers")
         node = np.zeros(len(phrases), np.int64)
         parents, digits, total, ends = [], [], 1, np.full(1, -1)
@@ -149,6 +176,8 @@ class DoubleArray:
             done = rows[length[rows] == place + 1]
             ends[node[done]] = done
         self._put(np.concatenate(parents), np.concatenate(digits), ends)
+        self.words = Places(words)
+        self.first = self.advanced(np.zeros(len(words), np.int32), np.arange(len(words)))  # the states after a first word, by its number
 
     def _put(self, parent: np.ndarray, digit: np.ndarray, ends: np.ndarray) -> None:
         """Gives each node a base so that no two children share a slot. Nodes with many children come first; those of one size try places at random, all together, and who meets nobody stays."""
@@ -192,25 +221,29 @@ class DoubleArray:
         self.accept[position] = ends
         self.check[position[child]] = position[parent[order]]
 
-    def advanced(self, state: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The states after one more word, for all positions at once; -1 where there is none."""
-        number = _among(h, self.words)
-        state = np.where(number < 0, -1, state)
+    def advanced(self, state: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The states after one more word (its number, or -1), for all positions at once; -1 where there is none."""
+        at = np.flatnonzero((state >= 0) & (number >= 0))
+        now, number = state[at], number[at]
         for shift in range(8 * (DIGITS - 1), -1, -8):
-            slot = np.where(state < 0, 0, self.base[state] + (number >> shift & 255))
-            ok = (state >= 0) & (slot > 0)
-            slot = np.where(ok, slot, 0)
-            state = np.where(ok & (self.check[slot] == state), slot, -1)
-        return state
+            slot = self.base[now] + (number >> shift & 255)
+            ok = (slot > 0) & (self.check[np.maximum(slot, 0)] == now)
+            at, now, number = at[ok], slot[ok], number[ok]
+        out = np.full(len(state), -1, np.int32)
+        out[at] = now
+        return out
 
 
 def _walked(trie: DoubleArray, h: np.ndarray, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions, states) at each level: where the phrase of so many words that starts there is in the trie."""
-    at, state = np.arange(len(h)), np.zeros(len(h), np.int64)
+    numbers = trie.words.of(h)
+    at = np.flatnonzero(numbers >= 0)
+    state = trie.first[numbers[at]]
     for level in range(levels):
-        inside = at + level < len(h)
-        at, state = at[inside], state[inside]
-        state = trie.advanced(state, h[at + level])
+        if level:
+            inside = at + level < len(h)
+            at, state = at[inside], state[inside]
+            state = trie.advanced(state, numbers[at + level])
         at, state = at[state >= 0], state[state >= 0]
         yield at, state
 
@@ -227,11 +260,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, columns: list[str], most: int) -> Iterator[np.ndarray]:
-    """The values of `columns` as unsigned numbers, in blocks of about `most` rows that are dealt by hash and come to the driver one at a time."""
+    """The values of `columns` as unsigned numbers, in blocks of about `most` rows that are dealt by `deal`, else by hash, and come to the driver one at a time."""
     n = rows.count()
-    blocks = max(1, -(-n * 10 // (most * 9))) if n > most else 1
+    blocks = -(-n * 10 // (most * 9)) if n > most else 1
+    deal = F.col("deal") if "deal" in rows.columns else F.xxhash64(*columns)
     for b in range(blocks if n else 0):
-        part = rows.filter(F.pmod(F.xxhash64(*columns), F.lit(blocks)) == b) if blocks > 1 else rows
+        part = rows.filter(F.pmod(deal, F.lit(blocks)) == b) if blocks > 1 else rows
         table = part.select(*columns).toArrow()
         yield np.stack([table[c].to_numpy().view(np.uint64) for c in columns], axis=1)
 
@@ -240,86 +274,75 @@ def _frequent(counts: DataFrame, least: int, name: str) -> DataFrame:
     return written(counts.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h"), name)
 
 
-def _candidate_pairs(texts: DataFrame, least: int) -> DataFrame:
-    """(h1, h2): all pairs whose hash occurs `least` times or more."""
-    spark = texts.sparkSession
-    found = []
-    for hashes in _blocks(_frequent(_scan(texts, _pairs, "h long, n long"), least, "pair-hashes"), ["h"], BUCKETS):
-        told = spark.sparkContext.broadcast(np.sort(hashes[:, 0]))
+def _pair_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions where two words of a piece stand, and the hashes of these pairs."""
+    at = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
+    return at, pair_hashes(h[at], h[at + 1])
 
-        def task(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            for h in _arrays(batches):
-                at = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
-                pairs = pair_hashes(h[at], h[at + 1])
-                hit = np.flatnonzero(_among(pairs, told.value) >= 0)
-                _, one = np.unique(pairs[hit], return_index=True)  # of pairs of one hash in a shard one is told: see _all_of
-                yield from _all_of(pairs[hit], one, [h[at[hit]], h[at[hit] + 1]])
 
-        found.append(_scan(texts, task, "h1 long, h2 long").distinct())
-    return written(_union(found) if found else spark.createDataFrame([], "h1 long, h2 long"), "pairs")
+def _triple_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The positions where three words of a piece stand, the hashes of these triples, and which of the pairs each starts with."""
+    at, pairs = _pair_hashes(h)
+    first = np.flatnonzero(at[1:] == at[:-1] + 1)
+    return at[first], mixed(pairs[first] * DELTA + pairs[first + 1]), first
 
 
-def _all_of(keys: np.ndarray, one: np.ndarray, words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The distinct rows of `words`: those at `one` (one for each key), and any of the same key with other words."""
-    names = [f"h{i + 1}" for i in range(len(words))]
-    shown = one[np.searchsorted(keys[one], keys)]
-    other = np.flatnonzero(np.any([w[shown] != w for w in words], axis=0))
-    at = np.concatenate([one, other])
-    yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)) for w in words], names)
+def _told(texts: DataFrame, hashes: DataFrame, words: int) -> DataFrame:
+    """(h1, h2, ...): the phrases of so many words whose hash is among `hashes`."""
+    spark, schema, found = texts.sparkSession, ", ".join(f"h{i + 1} long" for i in range(words)), []
+    for block in _blocks(hashes, ["h"], BUCKETS):
+        told = spark.sparkContext.broadcast(Places(np.sort(block[:, 0])))
 
+        def task(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            for h in _arrays(batches):
+                at, keys = (_pair_hashes if words == 2 else _triple_hashes)(h)[:2]
+                place = told.value.of(keys)
+                at, place = at[place >= 0], place[place >= 0]
+                shown = np.full(len(told.value.keys), -1)
+                shown[place] = at  # one place of each hash is told, and all that differ from it in a word
+                one = shown[place]
+                differs = np.any([h[at + i] != h[one + i] for i in range(words)], axis=0)
+                at = np.concatenate([shown[shown >= 0], at[differs]])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at + i].view(np.int64)) for i in range(words)], [f"h{i + 1}" for i in range(words)])
+
+        found.append(_scan(texts, task, schema))
+    return _union(found).distinct() if found else spark.createDataFrame([], schema)
+
+
+def _candidates(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (h1, h2) whose hash occurs `least` times or more; triples (h1, h2, h3) of two such pairs whose hash does."""
+    spark = texts.sparkSession
+    hashes = _frequent(_scan(texts, _pairs, "h long, n long"), least, "pair-hashes")
+    pairs = written(_told(texts, hashes, 2), "pairs")
+    counts, whole = [], hashes.count() <= BUCKETS
+    for block in _blocks(hashes, ["h"], BUCKETS):
+        told = spark.sparkContext.broadcast(Places(np.sort(block[:, 0])))
 
-def _tries(spark: SparkSession, phrases: DataFrame, columns: list[str]) -> Iterator[tuple[np.ndarray, object]]:
-    """(phrases, broadcast trie) of each block."""
-    for block in _blocks(phrases, columns, BLOCK):
-        block = np.concatenate([block, np.zeros((len(block), 3 - block.shape[1]), np.uint64)], axis=1)
-        yield block, spark.sparkContext.broadcast(DoubleArray(block))
-
+        def count(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            for h in _arrays(batches):
+                known = told.value.of(_pair_hashes(h)[1]) >= 0
+                _, triples, first = _triple_hashes(h)
+                yield _counted(triples[known[first] & (known[first + 1] if whole else True)])  # else the second pair may be in another block
 
-def _triple_hashes(trie: DoubleArray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The positions at which a pair of the trie and one more word stand, and the hashes of these triples."""
-    *_, (at, _) = _walked(trie, h, 2)
-    at = at[at + 2 < len(h)]
-    at = at[h[at + 2] != 0]
-    return at, pair_hashes(pair_hashes(h[at], h[at + 1]), h[at + 2])
+        counts.append(_scan(texts, count, "h long, n long"))
+    if not counts:
+        return pairs, spark.createDataFrame([], "h1 long, h2 long, h3 long")
+    triples = _told(texts, _frequent(_union(counts), least, "triple-hashes"), 3)
+    for a, b in (("h1", "h2"), ("h2", "h3")):
+        triples = triples.join(pairs.select(F.col("h1").alias(a), F.col("h2").alias(b)), [a, b], "left_semi")
+    return pairs, written(triples.select("h1", "h2", "h3"), "triples")
 
 
-def _candidate_triples(texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, h3): triples of two candidate pairs whose hash occurs `least` times or more."""
-    spark = texts.sparkSession
-    tries = [trie for _, trie in _tries(spark, pairs, ["h1", "h2"])]
-    counts = []
-    for trie in tries:
+def _dealt(phrases: DataFrame) -> DataFrame:
+    """phrases with `deal`: those of one first word are dealt together, unless they are so many that they go by their second word too."""
+    first = phrases.groupBy("h1").agg((F.count("*") > BLOCK // 16).alias("_many"))
+    return phrases.join(first, "h1").select("h1", "h2", "h3", F.when(F.col("_many"), F.xxhash64("h1", "h2")).otherwise(F.xxhash64("h1")).alias("deal"))
 
-        def count(batches: Iterator[pa.RecordBatch], trie=trie) -> Iterator[pa.RecordBatch]:
-            for h in _arrays(batches):
-                yield _counted(_triple_hashes(trie.value, h)[1])
 
-        counts.append(_scan(texts, count, "h long, n long"))
-    none = spark.createDataFrame([], "h1 long, h2 long, h3 long")
-    if not tries:
-        return none
-    found = []
-    for hashes in _blocks(_frequent(_union(counts), least, "triple-hashes"), ["h"], BUCKETS):
-        told = spark.sparkContext.broadcast(np.sort(hashes[:, 0]))
-        for trie in tries:
-
-            def task(batches: Iterator[pa.RecordBatch], trie=trie, told=told) -> Iterator[pa.RecordBatch]:
-                for h in _arrays(batches):
-                    at, triples = _triple_hashes(trie.value, h)
-                    hit = np.flatnonzero(_among(triples, told.value) >= 0)
-                    _, one = np.unique(triples[hit], return_index=True)
-                    yield from _all_of(triples[hit], one, [h[at[hit] + i] for i in range(3)])
-
-            found.append(_scan(texts, task, "h1 long, h2 long, h3 long").distinct())
-    if not found:
-        return none
-    ends = pairs.select(F.col("h1").alias("h2"), F.col("h2").alias("h3"))
-    return written(_union(found).distinct().join(ends, ["h2", "h3"], "left_semi").select("h1", "h2", "h3"), "triples")
-
-
-def _block_counts(texts: DataFrame, trie, phrases: np.ndarray) -> DataFrame:
+def _block_counts(texts: DataFrame, phrases: np.ndarray) -> DataFrame:
     """(h1, h2, h3, f): how often each phrase of a block occurs; phrases that don't may be left out."""
-    told, n = texts.sparkSession.sparkContext.broadcast(phrases), len(phrases)
+    context, n = texts.sparkSession.sparkContext, len(phrases)
+    trie, told = context.broadcast(DoubleArray(phrases)), context.broadcast(phrases)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n, np.int64)
@@ -349,12 +372,11 @@ def _block_counts(texts: DataFrame, trie, phrases: np.ndarray) -> DataFrame:
 def counted_phrases(texts: DataFrame, least: int) -> DataFrame:
     """(h1, h2, h3, f): all phrases of 2 and 3 words that occur `least` times or more, and the words in them; unused places are 0."""
     spark = texts.sparkSession
-    pairs = _candidate_pairs(texts, least)
-    triples = _candidate_triples(texts, pairs, least)
+    pairs, triples = _candidates(texts, least)
     zero = F.lit(0).cast("long")
     words = pairs.select(F.explode(F.array("h1", "h2")).alias("h1")).distinct().select("h1", zero.alias("h2"), zero.alias("h3"))
-    phrases = written(_union([words, pairs.withColumn("h3", zero), triples]), "phrases")
-    out = [written(_block_counts(texts, trie, block), "counts") for block, trie in _tries(spark, phrases, ["h1", "h2", "h3"])]
+    phrases = written(_dealt(written(_union([words, pairs.withColumn("h3", zero), triples]), "phrases")), "dealt")
+    out = [written(_block_counts(texts, block), "counts") for block in _blocks(phrases, ["h1", "h2", "h3"], BLOCK)]
     return _union(out) if out else spark.createDataFrame([], "h1 long, h2 long, h3 long, f long")
 
 
