@@ -82,7 +82,6 @@ def test_pieces_are_whole_ordered_and_hold_the_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = queries.QUERIES["op3_order_preserving_packing"](spark, SF).orderBy("sequence_id", "offset").collect()
     filled, at = collections.Counter(), collections.Counter()
@@ -96,6 +95,24 @@ def test_pieces_are_whole_ordered_and_hold_the_tokenizers_ids(spark):
     assert [r["doc_id"] for r in out] == sorted(r["doc_id"] for r in out)
 
 
+def test_names_of_added_tokens_get_the_plain_call_s_ids(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillmere.llm.packing import packed
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "One. Two <|endoftext|>" * 3000, None, "", "plain. text\n\nhere"]
+    out = packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).orderBy("doc_id", "start").collect()
+    assert next(r["doc_tokens"] for r in out if r["doc_id"] == 0) == 5
+    for r in out:
+        ids = np.array([*model.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+    assert packed(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
 def test_cuts_cost_no_more_than_any_other(spark):
     import itertools
 
