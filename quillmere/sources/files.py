@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Spark reads ISO-8859-1 but not windows-1252, which differs from it in the bytes 80 to 9F alone.
 PLACES = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
 LATIN, WINDOWS = "".join(k for k, v in PLACES.items() if v), "".join(PLACES.values())
 
 
+def headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str], bool]]:
+    """(columns, files, utf8) for each header among the CSV files at `path`, and for each of both encodings: files whose columns stand in one order can be read together.
+
+    One pass over all lines, with a row for each file to the driver. Empty files are left out.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = F.min_by(F.when(F.col("block") == 0, F.col("value")), F.when(F.col("block") == 0, F.col("at")))
+    files = lines.groupBy("file").agg(F.decode(first.cast("binary"), "ISO-8859-1").alias("header"), F.every(F.is_valid_utf8("value")).alias("utf8")).collect()
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for r in sorted(files, key=lambda r: r["file"]):
+        if r["header"] is not None:
+            groups.setdefault((r["header"], r["utf8"]), []).append(unquote(r["file"]))
+    named = lambda header, utf8: next(csv.reader([header.encode("latin-1").decode("utf-8-sig" if utf8 else "cp1252")]))
+    return [(named(header, utf8), paths, utf8) for (header, utf8), paths in groups.items()]
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options: str) -> DataFrame:
-    """A CSV with header: each file as UTF-8 (a byte-order mark is dropped) or, where it holds what UTF-8 can't be, as windows-1252.
+    """CSV files with headers, as the columns of `schema`: by name, so that files may have them in any order, lack some (null) or have others (left out).
 
-    All files are looked through for undecodable bytes, in one pass without a shuffle; the names of those that have some come to the driver.
+    Each file is read as UTF-8 (a byte-order mark is dropped) or, where it holds what UTF-8 can't be, as windows-1252. No file at all gives an empty table.
     """
-    lines = spark.read.text(path)
-    broken = [r[0] for r in lines.filter(~F.is_valid_utf8("value")).select(F.input_file_name().alias("file")).distinct().collect()]
-    reader = lambda: spark.read.option("header", True).option("enforceSchema", True).options(**options)
-    if not broken:
-        return reader().csv(path, schema=schema)
-    others = [r[0] for r in lines.select(F.input_file_name().alias("file")).distinct().collect() if r[0] not in broken]
-    rows = reader().option("encoding", "ISO-8859-1").csv(broken, schema=schema)
-    rows = rows.withColumns({c: F.translate(c, LATIN, WINDOWS) for c, kind in rows.dtypes if kind == "string"})
-    return rows.unionByName(reader().csv(others, schema=schema)) if others else rows
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    parts = [spark.createDataFrame([], wanted)]
+    for columns, paths, utf8 in headers(spark, path):
+        kinds = {f.name: f.dataType for f in wanted}
+        held = StructType([StructField(f"_{i}", kinds.get(c, StringType())) for i, c in enumerate(columns)])
+        rows = spark.read.option("header", True).option("enforceSchema", True).options(**options).option("encoding", "UTF-8" if utf8 else "ISO-8859-1").csv(paths, schema=held)
+        text = lambda i, kind, utf8=utf8: F.col(f"_{i}") if utf8 or kind != StringType() else F.translate(f"_{i}", LATIN, WINDOWS)
+        parts.append(rows.select(*[(text(columns.index(f.name), f.dataType) if f.name in columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def features(texts: DataFrame, column: str, properties: str) -> DataFrame:

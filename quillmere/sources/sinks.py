@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType, StructField, StructType
 
 from quillmere.operators.tables import fingerprint
+from quillmere.sources.files import read_csv
 
 LINE = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
 
@@ -84,11 +85,9 @@ def write_geometries(df: DataFrame, path: str, crs: str) -> None:
 
 
 def station_days(spark: SparkSession, path: str, names: dict[str, str], numbers: list[str], label: str) -> DataFrame:
-    """The yearly CSV files of a station under `path` with canonical names: numbers as doubles (what is none becomes null), absent columns null, `station` the label."""
-    rows = spark.read.option("header", True).csv(path)
-    held = {b: F.col(f"`{a}`") for a, b in names.items() if a in rows.columns}
-    kind = lambda c: "double" if c in numbers else "string"
-    return rows.select(F.lit(label).alias("station"), *[(held[b].try_cast("double") if b in numbers else held[b]).alias(b) if b in held else F.lit(None).cast(kind(b)).alias(b) for b in names.values()])
+    """The yearly CSV files of a station under `path` with canonical names, by each file's own header: numbers as doubles (what is none becomes null), absent columns null, `station` the label."""
+    rows = read_csv(spark, path, StructType([StructField(a, StringType()) for a in names]))
+    return rows.select(F.lit(label).alias("station"), *[(F.col(f"`{a}`").try_cast("double") if b in numbers else F.col(f"`{a}`")).alias(b) for a, b in names.items()])
 
 
 def anchor_partition(spark: SparkSession, path: str, columns: list[str], **values: int) -> DataFrame:
