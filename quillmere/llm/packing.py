@@ -68,8 +68,7 @@ class Tokens:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        names = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.names = re.compile("|".join(map(re.escape, names))) if names else None
+        self.names = [t.content for t in self.model.get_added_tokens_decoder().values()]
         cut = self.model.pre_tokenizer
         self.bytewise = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and self.model.normalizer is None and isinstance(self.model.model, models.BPE)
         self.merge = self.model.model.tokenize
@@ -131,7 +130,7 @@ class Tokens:
 
     def many(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         """For each text its ids and the token positions after sentences; a text that holds the name of an added token is encoded whole, by the plain call, and is not cut at sentences."""
-        named = [self.names is not None and self.names.search(t) is not None for t in texts]
+        named = [any(n in t for n in self.names) for t in texts]
         others = self._many([t for t, n in zip(texts, named, strict=True) if not n])
         for t, n in zip(texts, named, strict=True):
             yield (np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), np.empty(0, np.int64)) if n else next(others)
