@@ -9,6 +9,8 @@ from quillmere.functions.geometry import length
 from quillmere.operators import linkage, polygons, shapes
 from quillmere.plans.registry import Tables, query
 from quillmere.plans.wider import LINES, lines
+from quillmere.sources import geoparquet
+from quillmere.sources.sinks import scratch
 
 
 def ring(*corners: tuple) -> Column:
@@ -111,3 +113,44 @@ def simplified_lines(t: Tables) -> DataFrame:
     less = shapes.simplified(rows, "line", 10.0).select("line", F.col("points").alias("less"))
     both = rows.join(less, "line")
     return both.select("line", F.size("less").alias("n_points"), F.round(length(F.col("points")), 6).alias("length"), F.round(length(F.col("points")) - length(F.col("less")), 6).alias("change"))
+
+
+KINDS = """k as (select c_custkey as id, (array['Point', 'LineString', 'Polygon', 'MultiPoint', 'MultiLineString', 'MultiPolygon'])[(c_custkey % 7 + 1)::int] as kind, [1, 3, 10, 2, 4, 10][(c_custkey % 7 + 1)::int] as n_points, [0.0, 2.0, 5.0, 3.0, 4.0, 5.0][(c_custkey % 7 + 1)::int] as wide, (c_custkey % 1000)::double as x from customer)"""
+
+
+def all_kinds(t: Tables) -> DataFrame:
+    """A GeoJSON text for each customer, with one feature of each kind in turn, or without geometry."""
+    c = F.col("c_custkey")
+    x = (c % 1000).cast("double")
+    p = lambda dx, dy: F.array(x + float(dx), F.lit(float(dy)))
+    box = lambda a, n: F.array(p(a, 0), p(a + n, 0), p(a + n, n), p(a, n), p(a, 0))
+    coordinates = [
+        p(0, 1), F.array(p(0, 0), p(1, 1), p(2, 0)), F.array(box(0, 5), F.reverse(box(1, 2))), F.array(p(0, 0), p(3, 3)),
+        F.array(F.array(p(0, 0), p(1, 1)), F.array(p(3, 0), p(4, 1))), F.array(F.array(box(0, 2)), F.array(box(3, 2))),
+    ]
+    text = F.lit("null")
+    for i, (kind, at) in enumerate(zip(("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon"), coordinates, strict=True)):
+        text = F.when(c % 7 == i, F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), F.to_json(at), F.lit("}"))).otherwise(text)
+    return t("customer").select(F.concat(F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"id":'), c.cast("string"), F.lit('},"geometry":'), text, F.lit("}]}")).alias("text"))
+
+
+def extent(rows: DataFrame) -> DataFrame:
+    points = F.flatten(F.flatten("parts"))
+    xs = F.transform(points, lambda p: p["x"])
+    return rows.select("id", "kind", F.size(points).alias("n_points"), F.array_min(xs).alias("x"), (F.array_max(xs) - F.array_min(xs)).alias("wide"))
+
+
+EXTENT = f"with {KINDS} select id, kind, case when kind is null then null else n_points end::int as n_points, case when kind is null then null else x end as x, case when kind is null then null else wide end::double as wide from k"
+
+
+@query("a02_all_geometry_kinds", EXTENT)
+def all_geometry_kinds(t: Tables) -> DataFrame:
+    return extent(geoparquet.geometries(all_kinds(t), "text", "id long"))
+
+
+@query("a09_geoparquet", EXTENT)
+def written_geoparquet(t: Tables) -> DataFrame:
+    rows = geoparquet.geometries(all_kinds(t), "text", "id long")
+    path = scratch(rows.sparkSession, "geoparquet")
+    geoparquet.write_geoparquet(rows, path)
+    return extent(geoparquet.read_geoparquet(rows.sparkSession, path))
