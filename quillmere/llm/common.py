@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_CACHE = 400_000  # words whose hashes a task keeps; only memory depends on it
+BUCKET_BYTES = 1 << 27
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str, size: int) -> DataFrame:
+    """df (about `size` bytes) as a table in the shared folder, dealt by `key` into buckets and sorted by it in each.
+
+    A join on `key` moves and sorts only its other side, however often the table is read.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
+    rows = df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}")
+    rows.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def with_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     """docs with each whole row packed into `row`, and the columns given: no name in docs can clash with them."""
     return docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])

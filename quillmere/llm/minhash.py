@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import WordHashes, gram_hashes, mixed, written
+from quillmere.llm.common import WordHashes, gram_hashes, mixed, written, written_by
 
 BANDS, ROWS, SKETCH_BITS = 48, 6, 1024
 PIVOT_ROUNDS = 3
@@ -190,19 +190,26 @@ def _within(close: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("pivot", "lo", "hi").applyInArrow(_neighbours(threshold), "a long, b long")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, state: DataFrame) -> DataFrame:
-    """(node, text) of the nodes that share a bucket: the only shuffle of whole texts, made once for all rounds.
+def _texts(docs: DataFrame, nodes: DataFrame, state: DataFrame, size: int) -> DataFrame:
+    """(node, text) of the nodes that share a bucket, dealt by node: whole texts are fetched once for all rounds.
 
     Repeated rows are combined before it, and no join is left to the size of its sides, so small inputs are planned as large ones.
     """
     needed = nodes.select("node", "rid", "id").join(state.select(F.col("doc").alias("node")).distinct(), "node")
     rows = docs.select("rid", F.coalesce("doc_id", F.lit(0)).alias("id"), "text").dropDuplicates(["rid", "id"])
-    return written(rows.join(needed.hint("merge"), ["rid", "id"]).select("node", "text"), "texts")
+    return written_by(rows.join(needed.hint("merge"), ["rid", "id"]).select("node", "text"), "texts", "node", size)
 
 
 def _told(pairs: DataFrame, texts: DataFrame, ngram: int, near: float, threshold: float) -> DataFrame:
-    """pairs (doc, pivot) of nodes with what their full sets say of them."""
-    full = pairs.join(texts.select(F.col("node").alias("doc"), "text"), "doc").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    """pairs (doc, pivot) of nodes with what their full sets say of them.
+
+    The texts stay where they are: pairs and pivots go to them. What moves is one text for each pair, and the pivots' own;
+    as both of these are shuffled, a pivot of very many pairs can be split.
+    """
+    of_docs = texts.select(F.col("node").alias("doc"), "text").join(pairs.hint("merge"), "doc")
+    pivots = pairs.select("pivot").distinct().hint("merge")
+    of_pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")).join(pivots, "pivot", "left_semi").repartition("pivot")
+    full = of_docs.hint("merge").join(of_pivots, "pivot")
     return written(full.select("doc", "pivot", "text", "pivot_text").mapInArrow(_compare(ngram, near, threshold), "doc long, pivot long, n long, pivot_n long, linked boolean, near boolean, diff binary"), "told")
 
 
@@ -311,7 +318,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, threshold: float = 0.8, ban
     # the pivot of most buckets, whatever the ids, and the same rows need not be compared under many pivots.
     reach = shared.groupBy("doc").agg(F.sum("m").alias("reach"))
     state = written(shared.join(reach, "doc").select("key", "doc", "reach", F.lit(True).alias("outside")), "buckets")
-    texts = _texts(docs, nodes, state)
+    size = 8 * (sig.agg(F.sum("n_shingles")).first()[0] or 0)  # about the bytes of all texts
+    texts = _texts(docs, nodes, state, size)
     sketches = nodes.select("node", "sketch")
     cut = sketch_cut(near, bands * rows, bits)
     links: DataFrame | None = None
