@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODULUS = 2_147_483_647
 
@@ -25,18 +26,55 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[f"_{n}"]) for n in names])
 
 
+RANGE_ROWS, MOST_GROUPS = 1000, 1024  # a range has about so many rows at least; so many of the largest groups can have ranges
+
+
+def _bounds(rows: DataFrame, by: list[str], order: str, ranges: int) -> list[tuple]:
+    """(values of `by`, ascending bounds) of the groups that are worth parting: the ranges are dealt out by the rows of each.
+
+    Only the MOST_GROUPS largest groups come to the driver; any other has less than 1 / MOST_GROUPS of the rows.
+    """
+    q = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)
+    groups = rows.groupBy(*by).agg(F.count("*").alias("_n"), q.alias("_q")).orderBy(F.desc("_n")).limit(MOST_GROUPS).collect()
+    total, out = sum(g["_n"] for g in groups), []
+    for g in groups:
+        own = min(-(-ranges * g["_n"] // max(total, 1)), g["_n"] // RANGE_ROWS)
+        if own > 1:
+            out.append((*[g[c] for c in by], sorted({g["_q"][i * ranges // own - 1] for i in range(1, own)})))
+    return out
+
+
+def _reached(bounds: Column, x: Column, ranges: int) -> Column:
+    """How many of the ascending bounds x reaches, by halving steps."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(ranges.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(bounds, at + step - 1) <= x, step).otherwise(0))
+
+
+def _ranged(rows: DataFrame, by: list[str], order: str, ranges: int) -> DataFrame | None:
+    """rows with the `_range` of each within its group; None if no group is worth parting."""
+    bounds = _bounds(rows, by, order, ranges)
+    if not bounds:
+        return None
+    if not by:
+        return rows.withColumn("_range", _reached(F.array(*[F.lit(b) for b in bounds[0][0]]), F.col(order), ranges))
+    kinds = [T.StructField(f"_{c}", rows.schema[c].dataType) for c in by] + [T.StructField("_bounds", T.ArrayType(rows.schema[order].dataType))]
+    table = rows.sparkSession.createDataFrame(bounds, T.StructType(kinds))  # at most ranges + MOST_GROUPS bounds in all
+    placed = rows.join(F.broadcast(table), _same(rows, table, by), "left")
+    return placed.withColumn("_range", F.coalesce(_reached(F.col("_bounds"), F.col(order), ranges), F.lit(0))).drop("_bounds", *[f"_{c}" for c in by])
+
+
 def prefix_sum(rows: DataFrame, by: list[str], order: str, sums: list[str], ranges: int = 256) -> DataFrame:
     """rows with `<name>_to` for each of `sums`: its sum over rows of the same `by` with a value of `order` at least as large.
 
     The number column `order` has no null; rows of one value share a range, so ties share their sum.
-    At most `ranges` bounds come to the driver. A range is ordered by itself and only sums of ranges
-    are ordered by `by`.
+    Each large group has ranges of its own, as many as its share of the rows asks for. A range is ordered by itself
+    and only sums of ranges are ordered by `by`.
     """
-    bounds = rows.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"] or []
-    # the ranges of a value: how many of the bounds it reaches
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
-    rows = rows.withColumn("_range", place)
-    key = [*by, "_range"]
+    ranged = _ranged(rows, by, order, ranges)
+    if ranged is None:
+        inside = Window.partitionBy(*by).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({f"{c}_to": F.sum(c).over(inside) for c in sums})
+    rows, key = ranged, [*by, "_range"]
     above = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums])
     totals = totals.select(*[F.col(k).alias(f"_{k}") for k in key], *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above_{c}") for c in sums])
