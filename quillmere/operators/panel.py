@@ -64,6 +64,30 @@ def validity(lower: Column, upper: Column, at: Column) -> Column:
     return F.when(lower.isNull() | upper.isNull(), "missing").when(upper <= at, "active").when(lower > at, "future").otherwise("crosses")
 
 
+def with_row_id(rows: DataFrame, key: str, at: str = "as_of_date", name: str = "segment_month_id") -> DataFrame:
+    """rows with `name`: key and month, `<key>_yyyy-MM`; null where one of them is."""
+    return rows.withColumn(name, F.concat(F.col(key).cast("string"), F.lit("_"), F.date_format(at, "yyyy-MM")))
+
+
+def asset_ages(rows: DataFrame, built: tuple[str, str], renewed: tuple[str, str], at: str = "as_of_date") -> DataFrame:
+    """rows with the ages of what is known at `at` about two interval-valued dates (lower, upper), in years, and what is hidden.
+
+    An age is given only where its whole interval lies at or before `at`: its lower one from the upper date, its upper one from
+    the lower date. Flags are 1 for a construction after `at`, and for intervals that `at` cuts; a date with one bound only is missing.
+    """
+    day = F.col(at)
+    out = {}
+    for name, (lower, upper) in (("construction", built), ("resurfacing", renewed)):
+        known = validity(F.col(lower), F.col(upper), day) == "active"
+        out[f"years_since_{name}_lower"] = F.when(known, F.datediff(day, F.col(upper)) / 365.25)
+        out[f"years_since_{name}_upper"] = F.when(known, F.datediff(day, F.col(lower)) / 365.25)
+    status = validity(F.col(built[0]), F.col(built[1]), day)
+    out["future_asset_record_hidden_flag"] = (status == "future").cast("int")
+    out["age_interval_crosses_as_of_flag"] = (status == "crosses").cast("int")
+    out["resurfacing_interval_crosses_as_of_flag"] = (validity(F.col(renewed[0]), F.col(renewed[1]), day) == "crosses").cast("int")
+    return rows.withColumns(out | {"asset_temporal_eligibility_status": status})
+
+
 def same_day(rows: DataFrame, key: str, day: str, value: str) -> DataFrame:
     """Rows of one key and day as one: count, median, min, max and population deviation of `value` (0 for one row)."""
     return rows.groupBy(key, day).agg(F.count("*").alias("n"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"))

@@ -29,6 +29,29 @@ def trailing_weather(daily: DataFrame, day: str, windows: tuple[int, ...]) -> Da
     return rows.groupBy("as_of_date").agg(*out)
 
 
+def weather_features(daily: DataFrame, day: str, windows: tuple[int, ...]) -> DataFrame:
+    """as_of_date and, for each window (t - W, t], the sums, means and extremes of its known days, and how far these can be trusted.
+
+    daily: one row a day with rain, low, mean and high, and for any of them <value>_fallback_used (0 or 1; none counts as 0).
+    Sums are null where no day is known. valid_days counts days with rain; complete is 1 where these are all W; each
+    reading of freeze and thaw is summed over days with both temperatures; <value>_fallback_days tells how many days came from
+    the second source.
+    """
+    reads = {f"_{n}": c.cast("int") for n, c in freeze_thaw(F.col("low"), F.col("high")).items()}
+    rows = _at(daily, F.col(day), F.date_add(day, max(windows) - 1)).withColumns(reads)
+    age, out = F.datediff("as_of_date", day), []
+    for w in windows:
+        of = lambda c, w=w: F.when(age < w, F.col(c))
+        valid = F.count(of("rain"))
+        out += [F.sum(of("rain")).alias(f"rain_{w}d"), F.avg(of("mean")).alias(f"mean_{w}d"), F.min(of("low")).alias(f"low_{w}d"), F.max(of("high")).alias(f"high_{w}d")]
+        out += [F.sum(of(c)).alias(f"freeze_thaw{c}_{w}d") for c in reads]
+        out += [valid.alias(f"valid_days_{w}d"), (valid / w).alias(f"coverage_{w}d"), (valid == w).cast("int").alias(f"complete_{w}d")]
+        for c in ("rain", "low", "mean", "high"):
+            used = f"{c}_fallback_used"
+            out.append((F.coalesce(F.sum(of(used)), F.lit(0)) if used in daily.columns else F.lit(0)).cast("long").alias(f"{c}_fallback_days_{w}d"))
+    return rows.groupBy("as_of_date").agg(*out)
+
+
 def freeze_thaw_years(daily: DataFrame, by: str, day: str) -> DataFrame:
     """by, year, n_days, missing_days and the days of each reading of freeze and thaw."""
     reads = freeze_thaw(F.col("low"), F.col("high"))
