@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.operators.quantiles import quantiles
+
 
 def collapsed(events: DataFrame, keys: list[str], first: str) -> DataFrame:
     """One row per key: the smallest `first` and the multiplicity."""
@@ -34,9 +36,10 @@ def column_profile(rows: DataFrame) -> DataFrame:
 
 def numeric_profile(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Count, extremes, mean and interpolated percentiles of a number in each group."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    out = rows.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"), p.alias("p"))
-    return out.select(by, "n", "min", "max", "mean", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p10", "p25", "p50", "p75", "p90"))])
+    found = quantiles(rows, [by], value, (0.1, 0.25, 0.5, 0.75, 0.9)).select(F.col(by).alias("_by"), "_quantiles")
+    out = rows.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"))
+    out = out.join(found, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return out.select(by, "n", "min", "max", "mean", *[F.round(F.col("_quantiles")[i], 6).alias(c) for i, c in enumerate(("p10", "p25", "p50", "p75", "p90"))])
 
 
 def compare_versions(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.operators.ordering import least_hashed
+from quillmere.operators.quantiles import quantiles
+
 Leaf = tuple[float, list[tuple[int, float, float, float]]]  # value; (feature, above, up to, share of rows) for each feature on its path
 
 
@@ -92,9 +95,7 @@ def by_source(rows: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 def stratified_share(rows: DataFrame, by: list[str], key: str, share: float, most: int, seed: int) -> DataFrame:
     """Of each stratum the round(share * n) rows, `most` at most (the cap is the sample's size), of the smallest hash of key and seed."""
     sizes = rows.groupBy(*by).agg(F.least(F.round(F.count("*") * share), F.lit(most)).cast("long").alias("_quota"))
-    h = (F.col(key).cast("long") % 2_147_483_647 * 48_271 + seed * 69_621) % 2_147_483_647
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("_hash", key))
-    return rows.withColumn("_hash", h.bitwiseXOR(F.shiftright(h, 15)) * 44_485 % 2_147_483_647).withColumn("_place", place).join(F.broadcast(sizes), by).filter("_place <= _quota").drop("_hash", "_place", "_quota")
+    return least_hashed(rows, by, key, sizes, seed)
 
 
 def subgroup_summaries(rows: DataFrame, dimensions: list[str], value: Column) -> DataFrame:
@@ -102,10 +103,12 @@ def subgroup_summaries(rows: DataFrame, dimensions: list[str], value: Column) ->
     part = lambda d: F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
     long = rows.select(F.inline(F.array(*map(part, dimensions))), value.alias("score"), "contributions")
     total = rows.agg(F.count("*").alias("total"))
-    sums = long.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.percentile("score", [0.5, 0.75, 0.9]).alias("q"))
+    sums = long.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    found = quantiles(long, ["dimension", "value"], "score", (0.5, 0.75, 0.9)).select(F.col("dimension").alias("_d"), F.col("value").alias("_v"), "_quantiles")
+    sums = sums.join(found, F.col("dimension").eqNullSafe(F.col("_d")) & F.col("value").eqNullSafe(F.col("_v")), "left")
     each = long.select("dimension", "value", F.inline("contributions").alias("feature", "c")).groupBy("dimension", "value", "feature").agg(F.avg(F.abs("c")).alias("a"))
     top = each.groupBy("dimension", "value").agg(F.array_sort(F.collect_list(F.struct((-F.round("a", 9)).alias("a"), "feature"))).alias("f"))  # one entry a feature
     top = top.select("dimension", "value", F.array_join(F.transform(F.slice("f", 1, 3), lambda x: x["feature"]), ",").alias("drivers"))
     out = sums.join(top, ["dimension", "value"]).crossJoin(F.broadcast(total))
-    q = lambda i, n: F.round(F.col("q")[i], 6).alias(n)
+    q = lambda i, n: F.round(F.col("_quantiles")[i], 6).alias(n)
     return out.select("dimension", "value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), q(0, "median"), q(1, "p75"), q(2, "p90"), "drivers")

@@ -98,6 +98,9 @@ def importance_ranks(table: DataFrame, value: str, name: str) -> DataFrame:
 
 def quantile_bins(rows: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """rows with bin: how many inner quantiles (exact, interpolated, equal ones once) are below the value, so that bins are closed on the right; null stays null."""
-    edges = rows.agg(F.array_distinct(F.expr(f"percentile({value}, array({', '.join(str(i / bins) for i in range(bins + 1))}))")).alias("edges"))
+    from quillmere.operators.quantiles import quantiles
+
+    found = quantiles(rows, [], value, tuple(i / bins for i in range(bins + 1)))
+    edges = found.agg(F.max(F.array_distinct("_quantiles")).alias("edges"))  # one row, whatever there is
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     return rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda e: e < F.col(value))))).drop("edges")

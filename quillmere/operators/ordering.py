@@ -100,17 +100,25 @@ def permuted(rows: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     return to.join(values, "place").select(key, column)
 
 
-def stratified(rows: DataFrame, by: str, key: str, quota: int, seed: int, ranges: int = 65_536) -> DataFrame:
-    """Of each value of `by`, the `quota` rows (all, if fewer) of the smallest portable_hash(key) and key. Rows with a null in `by` are left out.
+def least_hashed(rows: DataFrame, by: list[str], key: str, quotas: DataFrame, seed: int, ranges: int = 65_536) -> DataFrame:
+    """Of each group of `by` the rows of the smallest portable_hash(key) and key, as many as `_quota` in quotas (*by, _quota) says; a null is a value like others.
 
     Hash ranges are counted; those below the one that reaches the quota are kept whole, and only that one is ordered.
     """
-    rows = rows.filter(F.col(by).isNotNull()).withColumn("_hash", portable_hash(F.col(key), seed)).withColumn("_range", F.floor(F.col("_hash") * ranges / MODULUS).cast("int"))
-    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(by, "_range").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    cut = counts.filter(F.col("_before") < quota).groupBy(by).agg(F.max_by(F.struct(F.col("_range").alias("at"), F.col("_before").alias("before")), "_range").alias("_cut"))
-    rows = rows.join(cut, by).filter(F.col("_range") <= F.col("_cut.at"))
+    names = rows.columns
+    rows = rows.withColumn("_hash", portable_hash(F.col(key), seed)).withColumn("_range", F.floor(F.col("_hash") * ranges / MODULUS).cast("int"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows a group
+    counts = rows.groupBy(*by, "_range").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    quotas = quotas.withColumnsRenamed({c: f"_{c}" for c in by})
+    cut = counts.join(quotas, _same(counts, quotas, by)).filter(F.col("_before") < F.col("_quota"))
+    cut = cut.groupBy(*[f"_{c}" for c in by]).agg(F.max_by(F.struct(F.col("_range").alias("at"), (F.col("_quota") - F.col("_before")).alias("left")), "_range").alias("_cut"))
+    rows = rows.join(cut, _same(rows, cut, by)).filter(F.col("_range") <= F.col("_cut.at"))
     whole = rows.filter(F.col("_range") < F.col("_cut.at"))
-    last = rows.filter(F.col("_range") == F.col("_cut.at")).withColumn("_place", F.row_number().over(Window.partitionBy(by).orderBy("_hash", key)))
-    last = last.filter(F.col("_place") <= quota - F.col("_cut.before")).drop("_place")
-    return whole.unionByName(last).drop("_hash", "_range", "_cut")
+    last = rows.filter(F.col("_range") == F.col("_cut.at")).withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_hash", key)))
+    return whole.unionByName(last.filter(F.col("_place") <= F.col("_cut.left")).drop("_place")).select(*names)
+
+
+def stratified(rows: DataFrame, by: str, key: str, quota: int, seed: int, ranges: int = 65_536) -> DataFrame:
+    """Of each value of `by`, the `quota` rows (all, if fewer) of the smallest portable_hash(key) and key. Rows with a null in `by` are left out."""
+    rows = rows.filter(F.col(by).isNotNull())
+    return least_hashed(rows, [by], key, rows.select(by).distinct().withColumn("_quota", F.lit(quota)), seed, ranges)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.operators.evaluation import ranking, ranking_of_cells
+from quillmere.operators.evaluation import ranking, ranking_of_cells, top_share
 from quillmere.operators.ordering import MODULUS, portable_hash, row_numbers
 
 RANGES = 256  # of scores; what comes to the driver is so many vectors of replicates
@@ -55,6 +55,22 @@ def subgroups(scored: DataFrame, dimensions: list[str], score: str, label: str,
     return out.withColumns({m: F.when(F.col("status") == "ok", F.col(m)) for m in ("average_precision", "roc_auc")})
 
 
+def subgroup_tops(scored: DataFrame, dimensions: list[str], score: str, key: str, label: str, percents: tuple[int, ...], least_rows: int, least_positives: int, least_top: int) -> DataFrame:
+    """dimension, value, percent, n, pos, k, tp, precision, recall, lift and status of the top shares of each value of each dimension.
+
+    No group is left out: one of few rows has no metrics, one of few positives, or few of them in its top, no lift, and the status says why.
+    """
+    part = lambda d: F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
+    long = scored.select(F.inline(F.array(*map(part, dimensions))), F.col(score).alias("score"), F.col(key).alias("key"), F.col(label).alias("label"))
+    long = long.withColumn("value", F.coalesce("value", F.lit("(null)")))
+    sizes = long.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("pos"))
+    out = top_share(long, ["dimension", "value"], "score", "key", "label", percents).join(sizes, ["dimension", "value"])
+    status = F.when(F.col("n") < least_rows, "too_few_rows").when(F.col("pos") < least_positives, "too_few_positives").when(F.col("tp") < least_top, "too_few_in_top").otherwise("ok")
+    out = out.withColumn("status", status).withColumn("lift", F.when(F.col("status") == "ok", F.col("lift")))
+    out = out.withColumns({m: F.when(F.col("n") >= least_rows, F.col(m)) for m in ("precision", "recall")})
+    return out.select("dimension", "value", "percent", "n", "pos", "k", "tp", "precision", "recall", "lift", "status")
+
+
 def unit_weights(units: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     """How often each unit is drawn in each replicate: a row for a unit, a column for a replicate and at last one of ones. Only a hash decides, so any task finds the same."""
     h = units[:, None] * replicates + np.arange(replicates)

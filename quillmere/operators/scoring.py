@@ -59,6 +59,16 @@ def metric_deltas(rows: DataFrame, a: str, b: str, label: str) -> DataFrame:
     return both.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col("a")[m].alias("value_a"), F.col("b")[m].alias("value_b"), F.round(F.col("b")[m] - F.col("a")[m], 6).alias("delta")) for m in names])))
 
 
+def calibrated_deltas(calibration: DataFrame, rows: DataFrame, score: str, label: str) -> DataFrame:
+    """metric_deltas of the score against the one that is calibrated (Platt) on calibration rows."""
+    from quillmere.operators.models import platt
+    from quillmere.sources.sinks import scratch
+
+    path = scratch(rows.sparkSession, "calibrated")
+    platt(calibration, rows, score, label).select(score, "calibrated", F.col(label).cast("int").alias(label)).write.parquet(path)
+    return metric_deltas(rows.sparkSession.read.parquet(path), score, "calibrated", label)
+
+
 def tied_metrics(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     return ranking_of_cells(cells(scored, by, score, label), by, score)
 

@@ -24,6 +24,14 @@ def purge_gaps(rows: DataFrame, day: str, split: str, horizon: int) -> DataFrame
     return rows.agg(F.datediff(first("val"), last("train")).alias("train_val_gap"), F.datediff(first("test"), last("val")).alias("val_test_gap"))
 
 
+def arithmetic(rows: DataFrame, split: str, expected: DataFrame) -> DataFrame:
+    """part, found, expected and agrees of a table of anchors (one row each) against expected (part, expected): each side's parts are listed, and TOTAL."""
+    found = rows.groupBy(F.col(split).alias("part")).agg(F.count("*").alias("found"))
+    both = found.join(expected, "part", "full").select("part", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("found", "expected")])
+    total = both.agg(F.lit("TOTAL").alias("part"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "expected")])
+    return both.unionByName(total).withColumn("agrees", F.col("found") == F.col("expected"))
+
+
 def class_prior(train: DataFrame, rows: DataFrame, by: str, label: str, least: int = 30) -> DataFrame:
     """rows with `score`: the rate of the class in train, or the rate of all of train where it has fewer than `least` rows."""
     rates = train.groupBy(by).agg(F.count("*").alias("_n"), F.avg(label).alias("_rate")).filter(F.col("_n") >= least)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,15 +73,17 @@ def observed(day: Column, first: Column, window: int) -> Column:
     return F.least(F.lit(window), F.greatest(F.lit(0), F.datediff(day, first) + 1))
 
 
+def window_coverage(anchors: DataFrame, day: str, first: str, windows: tuple[int, ...]) -> DataFrame:
+    """anchors with valid_days_<w>d (days of the trailing window since the first observation), coverage_ratio_<w>d and complete_<w>d for each of `windows`; all 0 where nothing was ever observed."""
+    out = {}
+    for w in windows:
+        days = F.when(F.col(first).isNull(), 0).otherwise(observed(F.col(day), F.col(first), w))
+        out |= {f"valid_days_{w}d": days, f"coverage_ratio_{w}d": F.round(days / w, 6), f"complete_{w}d": (days == w).cast("int")}
+    return anchors.withColumns(out)
+
+
 def active_months(events: DataFrame, key: str, day: str, at: str) -> DataFrame:
     """key, n_months: distinct months with an event among the twelve up to that of `at` (ISO), none after it."""
     end = F.lit(at).cast("date")
     inside = events.filter((F.col(day) <= end) & (F.col(day) >= F.trunc(F.add_months(end, -11), "month")))
     return inside.groupBy(key).agg(F.count_distinct(F.trunc(day, "month")).alias("n_months"))
-
-
-def rank_stability(importances: DataFrame, run: str, feature: str, value: str) -> DataFrame:
-    """feature, mean_rank, min_rank and max_rank of each feature over runs; among equal values the first by name ranks first."""
-    w = Window.partitionBy(run).orderBy(F.desc(value), feature)
-    ranks = importances.withColumn("_rank", F.row_number().over(w))
-    return ranks.groupBy(feature).agg(F.avg("_rank").alias("mean_rank"), F.min("_rank").alias("min_rank"), F.max("_rank").alias("max_rank"))
