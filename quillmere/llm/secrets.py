@@ -1,18 +1,22 @@
 """Secret scans with a random forest against false positives, on DataFrame functions and Spark ML.
 
 Candidates are long runs of key characters that hold a digit, what is assigned to a name like
-token or password (DB_PASSWORD=, accessToken:, "password": too), and keys of a known form. Each is described by its length,
-character transitions and classes, by how far words of a dictionary cover it, by where it stands (path) and by its
-neighbouring words. A random forest trained on labelled findings tells secrets from other values.
+token or password (DB_PASSWORD=, accessToken:, "password": too), passwords in URLs (scheme://user:password@host), and keys of a known
+form. Each is described by its length,
+character transitions and classes, by how far words of a dictionary, and words of stand-ins, cover it, by where it stands (path)
+and by its neighbouring words. A random forest trained on labelled findings tells secrets from other values.
 
 Where no labelled findings are given, some are planted (plants.py): PLANTS secrets and look-alikes
 are put between words of the corpus, and the forest is trained on these. A label is what was planted,
-not a rule over the features; `held_out` measures the forest on planted findings it has not seen.
+not a rule over the features; `held_out` measures the forest on planted findings it has not seen, `transferred` on
+those of another generator.
 The dictionary holds the words that stand around findings three times or more, in all documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import row_columns, text_key, with_rows, written
-from quillmere.llm.plants import examples
+from quillmere.llm.plants import examples, others
 from quillmere.llm.spans import rebuilt, starts, with_values
 
 FIT_ROWS = 20_000  # labelled findings that the forest is fitted on, at most: those of the smallest hash
@@ -33,10 +37,12 @@ SHORT = r"(?:(?<![A-Za-z])(?i:key|auth)|(?<=[a-z0-9])(?:Key|Auth))(?<!(?i:public
 ASSIGNS = rf"(?:(?i:{WORDS})|{SHORT})[\x22']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\x22']?"
 PADDING = r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?"  # of base64; any other '=' parts a name from its value
 KNOWN = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{50,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)?)"
-CANDIDATE = rf"(?<=[:=>\s\x22'])(?<=[:=>]\s{{0,3}}[\x22']?)(?<={ASSIGNS})(?!>)[^\s\x22'=:]{{8,}}{PADDING}|(?<![A-Za-z0-9+/_-])(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}){PADDING}"
+URL_PASSWORD = r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@]{4,}(?=@[A-Za-z0-9\[])"  # of scheme://user:password@host
+CANDIDATE = rf"{URL_PASSWORD}|(?<=[:=>\s\x22'])(?<=[:=>]\s{{0,3}}[\x22']?)(?<={ASSIGNS})(?!>)[^\s\x22'=:]{{8,}}{PADDING}|(?<![A-Za-z0-9+/_-])(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}){PADDING}"
 ASSIGNED = rf"{ASSIGNS}$"
-HINT = rf"[0-9]|{KNOWN}|(?i:{WORDS}|key|auth)"  # no text without it has a candidate
-NUMBERS = ("length", "digits", "uppers", "others", "hexes", "changes", "distinct", "vowels", "coverage", "assigned", "known", "quoted")
+HINT = rf"[0-9]|{KNOWN}|://[^\s/:@]*:|(?i:{WORDS}|key|auth)"  # no text without it has a candidate
+NUMBERS = ("length", "digits", "uppers", "others", "hexes", "changes", "distinct", "vowels", "coverage", "assigned", "known", "quoted", "in_url", "repeats", "steps", "stand_in")
+STAND_IN = r"(?i)change|example|sample|dummy|your|here|todo|replace|insert|enter|default|secret|token|passw(?:or)?d|none|null|test|fake|redacted|value|[*<>{}$()]"  # words and marks of values that stand for a secret
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -64,6 +70,10 @@ def described(found: DataFrame) -> DataFrame:
         .withColumn("vowels", share("(?i)[aeiou]"))
         .withColumn("assigned", F.col("before").rlike(ASSIGNED).cast("double"))
         .withColumn("known", F.col("value").rlike(f"^{KNOWN}").cast("double"))
+        .withColumn("in_url", (F.col("before").rlike(r"://[^\s/:@]*:$") & F.col("after").rlike("^@")).cast("double"))
+        .withColumn("repeats", share(r"(.)(?=\1)"))
+        .withColumn("steps", F.expr("size(filter(zip_with(split(value, ''), slice(split(value, ''), 2, length(value)), (a, b) -> ascii(b) - ascii(a) = 1), x -> x)) / length(value)"))
+        .withColumn("stand_in", (F.length("value") - F.length(F.regexp_replace("value", STAND_IN, ""))) / F.length("value"))
         .withColumn("quoted", F.col("before").rlike("[\\x22']$").cast("double"))
         .withColumn("word_before", word("before", r"([\p{L}_-]+)[^\p{L}]*$"))
         .withColumn("word_after", word("after", r"^[^\p{L}]*([\p{L}_-]+)"))
@@ -71,14 +81,14 @@ def described(found: DataFrame) -> DataFrame:
     )
 
 
-def planted(docs: DataFrame, n: int = PLANTS, seed: int = SEED) -> DataFrame:
-    """described findings with `label`: n values put between words of as many documents (those of the smallest hash; bounded by n)."""
+def planted(docs: DataFrame, n: int = PLANTS, seed: int = SEED, generator: Callable[[int, int], list[tuple[str, str, str, float]]] = examples) -> DataFrame:
+    """described findings with `label`: n values of the generator put between words of as many documents (those of the smallest hash; bounded by n)."""
     some = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.left("text", F.lit(400)).alias("head"), F.xxhash64("text").alias("at")).filter("head is not null")
     some = some.orderBy("at", "source", "head").limit(n)  # 400 characters of each: what is ordered and sent holds no whole texts
     piece = F.split(F.translate("head", "=:'\"", "    "), r"[\s\d]+")
     some = some.select("source", F.array_join(F.slice(piece, 1, 6), " ").alias("before"), F.array_join(F.slice(piece, 7, 6), " ").alias("after"))
     around = [(r["source"], r["before"], r["after"]) for r in some.collect()] or [("", "so", "end")]
-    made = examples(n, seed)
+    made = generator(n, seed)
     rows = [(i, f"{around[i % len(around)][1]} {lead}", value, f"{tail} {around[i % len(around)][2]}", around[i % len(around)][0], label) for i, (lead, value, tail, label) in enumerate(made)]
     i, before, value, after, source, label = zip(*rows, strict=True)
     table = pa.table({"doc_id": pa.array(i, pa.int64()), "text": [b + v + a for b, v, a in zip(before, value, after, strict=True)], "source": source, "at": pa.array(map(len, before), pa.int64()), "label": label})
@@ -119,14 +129,28 @@ def scored(found: DataFrame, model: PipelineModel, words: DataFrame) -> DataFram
     return model.transform(_covered(found.dropDuplicates(list(KEY)), words)).select(*KEY, F.round(vector_to_array("probability")[1], 6).alias("score"))
 
 
+def _told(known: DataFrame, limit: float) -> DataFrame:
+    said = F.col("score") >= limit
+    hit = F.count_if(said & (F.col("label") > 0))
+    return known.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("positives"), F.try_divide(hit, F.count_if(said)).alias("precision"), F.try_divide(hit, F.count_if(F.col("label") > 0)).alias("recall"))
+
+
 def held_out(docs: DataFrame, limit: float = 0.5) -> DataFrame:
     """One row of n, positives, precision and recall: the forest fitted on three quarters of the planted findings, tried on the rest."""
     known = written(planted(docs), "planted")
     test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     words = dictionary(written(described(candidates(docs)), "findings"))
-    told = known.filter(test).join(scored(known.filter(test), fitted(known.filter(~test), words), words), list(KEY)).withColumn("said", F.col("score") >= limit)
-    hit = F.count_if(F.col("said") & (F.col("label") > 0))
-    return told.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("positives"), (hit / F.count_if("said")).alias("precision"), (hit / F.count_if(F.col("label") > 0)).alias("recall"))
+    return _told(known.filter(test).join(scored(known.filter(test), fitted(known.filter(~test), words), words), list(KEY)), limit)
+
+
+def transferred(docs: DataFrame, limit: float = 0.5, n: int = 3_000, seed: int = 77) -> DataFrame:
+    """As held_out, of the forest that `secrets` fits, on n findings of the other generator; those that are no candidates count as told to be no secrets."""
+    words = dictionary(written(described(candidates(docs)), "findings"))
+    model, test = fitted(planted(docs), words), written(planted(docs, n, seed, others), "other-plants")
+    positives = sum(label > 0 for *_, label in others(n, seed))
+    hits = F.col("recall") * F.col("positives")
+    told = _told(test.select(*KEY, "label").join(scored(test, model, words), list(KEY)), limit)
+    return told.select(F.lit(n).alias("n"), F.lit(positives).alias("positives"), "precision", (hits / positives).alias("recall"), F.col("n").alias("candidates"))
 
 
 def secrets(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0.5) -> DataFrame:
@@ -134,18 +158,14 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0
 
     labelled: findings (doc_id, start, label 0 or 1) to train on instead of planted ones. A null or empty text has no candidate, a
     null source an empty path, a null doc_id stays null; with labels of one kind only, candidates assigned to a secret's name or of a known
-    form score 1 and others 0. A key of a known form is a secret whatever its score, unless labels are given: a form too rare for
-    the forest is not lost. Repeated rows give a row each, an empty table none; texts are searched whole; other columns are not read.
+    form score 1 and others 0. The forest alone decides otherwise: a sample key of a known form is no secret. Repeated rows give a row each, an empty table none; texts are searched whole; other columns are not read.
     """
     found = written(described(candidates(docs)), "findings")
     words = dictionary(found)
     known = found.join(labelled.select("doc_id", "start", F.col("label").cast("double")), ["doc_id", "start"]) if labelled is not None else planted(docs)
     model = fitted(known, words)
     rows = found.withColumn("score", F.greatest("assigned", "known")) if model is None else found.join(scored(found, model, words), list(KEY))
-    secret = F.col("score") >= limit
-    if labelled is None:
-        secret = secret | (F.col("known") > 0)
-    return rows.select("doc_id", "text_key", "ordinal", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", secret.alias("secret"))
+    return rows.select("doc_id", "text_key", "ordinal", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= limit).alias("secret"))
 
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0.5, mark: str = "<SECRET>") -> DataFrame:
