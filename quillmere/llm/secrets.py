@@ -13,6 +13,8 @@ The dictionary holds the words that stand around findings three times or more, i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import row_columns, text_key, with_rows, written
-from quillmere.llm.plants import examples
+from quillmere.llm.plants import examples, others
 from quillmere.llm.spans import rebuilt, starts, with_values
 
 FIT_ROWS = 20_000  # labelled findings that the forest is fitted on, at most: those of the smallest hash
@@ -71,14 +73,14 @@ def described(found: DataFrame) -> DataFrame:
     )
 
 
-def planted(docs: DataFrame, n: int = PLANTS, seed: int = SEED) -> DataFrame:
-    """described findings with `label`: n values put between words of as many documents (those of the smallest hash; bounded by n)."""
+def planted(docs: DataFrame, n: int = PLANTS, seed: int = SEED, generator: Callable[[int, int], list[tuple[str, str, str, float]]] = examples) -> DataFrame:
+    """described findings with `label`: n values of the generator put between words of as many documents (those of the smallest hash; bounded by n)."""
     some = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.left("text", F.lit(400)).alias("head"), F.xxhash64("text").alias("at")).filter("head is not null")
     some = some.orderBy("at", "source", "head").limit(n)  # 400 characters of each: what is ordered and sent holds no whole texts
     piece = F.split(F.translate("head", "=:'\"", "    "), r"[\s\d]+")
     some = some.select("source", F.array_join(F.slice(piece, 1, 6), " ").alias("before"), F.array_join(F.slice(piece, 7, 6), " ").alias("after"))
     around = [(r["source"], r["before"], r["after"]) for r in some.collect()] or [("", "so", "end")]
-    made = examples(n, seed)
+    made = generator(n, seed)
     rows = [(i, f"{around[i % len(around)][1]} {lead}", value, f"{tail} {around[i % len(around)][2]}", around[i % len(around)][0], label) for i, (lead, value, tail, label) in enumerate(made)]
     i, before, value, after, source, label = zip(*rows, strict=True)
     table = pa.table({"doc_id": pa.array(i, pa.int64()), "text": [b + v + a for b, v, a in zip(before, value, after, strict=True)], "source": source, "at": pa.array(map(len, before), pa.int64()), "label": label})
@@ -129,6 +131,20 @@ def held_out(docs: DataFrame, limit: float = 0.5) -> DataFrame:
     return told.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("positives"), (hit / F.count_if("said")).alias("precision"), (hit / F.count_if(F.col("label") > 0)).alias("recall"))
 
 
+def transferred(docs: DataFrame, limit: float = 0.5, n: int = 3_000, seed: int = 77) -> DataFrame:
+    """One row of n, positives, candidates, precision, recall and forest_precision, forest_recall: what `secrets` says (the forest, and known forms whatever
+    their score), and the forest alone, of n findings of the other generator. What is no candidate counts as told to be no secret."""
+    words = dictionary(written(described(candidates(docs)), "findings"))
+    model, test = fitted(planted(docs), words), written(planted(docs, n, seed, others), "other-plants")
+    positives = int(sum(label > 0 for *_, label in others(n, seed)))
+    told = test.select(*KEY, "label", "known").join(scored(test, model, words), list(KEY))
+    measured = [F.lit(n).alias("n"), F.lit(positives).alias("positives"), F.count("*").alias("candidates")]
+    for name, said in (("", (F.col("score") >= limit) | (F.col("known") > 0)), ("forest_", F.col("score") >= limit)):
+        hit = F.count_if(said & (F.col("label") > 0))
+        measured += [F.try_divide(hit, F.count_if(said)).alias(f"{name}precision"), (hit / positives).alias(f"{name}recall")]
+    return told.agg(*measured)
+
+
 def secrets(docs: DataFrame, labelled: DataFrame | None = None, limit: float = 0.5) -> DataFrame:
     """(doc_id, text_key, ordinal, start, length, value_sha256, score, secret) of each candidate in docs (doc_id, text, source).
 
