@@ -15,6 +15,9 @@ ALNUM, HEX = string.ascii_letters + string.digits, "0123456789abcdef"
 SECRET_NAMES = ["token", "secret", "password", "passwd", "pwd", "api_key", "apiKey", "API-KEY", "access_key", "private_key", "DB_PASSWORD", "GITHUB_TOKEN", "STRIPE_API_KEY", "aws_secret_access_key", "accessToken", "client_secret", "sshKey", "auth", "authKey", "credential", "passphrase"]
 OTHER_NAMES = ["commit", "sha256", "digest", "etag", "id", "request_id", "trace", "isbn", "order", "version", "path", "file", "url", "build", "public_key", "monkey", "primary_key", "session", "checksum", "invoice", "serial"]
 STAND_INS = ["changeme", "********", "xxxxxxxxxxxx", "your-token-here", "<your-secret>", "${API_TOKEN}", "{{password}}", "placeholder", "required", "undefined", "redacted", "$(get_secret)", "password", "YOUR_API_KEY", "os.environ", "process.env.TOKEN", "example_token", "not_a_secret", "<SECRET>", "(optional)"]
+# Parts of values that people write to show where a secret goes, and endings of the sample keys in manuals.
+SCHEMES = ["https", "http", "postgres", "ftp", "mongodb"]
+SHOWN = ["change", "example", "sample", "dummy", "your", "here", "todo", "replace", "insert", "enter", "default", "secret", "token", "password", "none", "null", "test", "fake", "redacted", "value"]
 JOINS = [("=", ""), (" = ", ""), (": ", ""), (":", ""), ('="', '"'), (' = "', '"'), (" = '", "';"), ('": "', '"'), ("' => '", "'"), ("' : '", "',"), (" := ", "")]
 
 
@@ -23,12 +26,13 @@ def examples(n: int, seed: int) -> list[tuple[str, str, str, float]]:
     rng = random.Random(seed)
     take = lambda letters, a, b: "".join(rng.choices(letters, k=rng.randint(a, b)))
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
-    strong = [lambda: take(HEX, 16, 64), lambda: take(ALNUM, 12, 48), lambda: take(ALNUM + "+/", 24, 44), lambda: take(ALNUM + "_-", 16, 40), lambda: take(ALNUM + "!@#%^&*", 9, 20), lambda: take(ALNUM + "+/", 20, 40) + "==", lambda: word().title() + take(string.digits, 4, 10), lambda: take(string.ascii_letters, 16, 40)]
+    strong = [lambda: take(HEX, 16, 64), lambda: take(ALNUM, 12, 48), lambda: take(ALNUM + "+/", 24, 44), lambda: take(ALNUM + "_-", 16, 40), lambda: take(ALNUM + "!@#%^&*", 9, 20), lambda: take(ALNUM + "+/", 20, 40) + "==", lambda: word().title() + take(string.digits, 4, 10), lambda: take(string.ascii_letters, 16, 40), lambda: take(ALNUM + "/", 18, 30) + rng.choice(SHOWN).upper() + take(string.ascii_letters, 4, 9)]  # the last: a word within a long key is no proof of a stand-in
     known = [
         lambda: "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)),
         lambda: rng.choice(["ghp_", "gho_", "ghs_"]) + take(ALNUM, 36, 36),
         lambda: rng.choice(["sk_live_", "rk_live_", "sk_test_"]) + take(ALNUM, 20, 28),
         lambda: rng.choice(["sk_live_", "sk_test_"]) + take(string.ascii_letters, 16, 24),
+        lambda: rng.choice(["ghp_", "glpat-", "rk_live_"]) + take(string.ascii_letters, 30, 36),
         lambda: "glpat-" + take(ALNUM, 20, 24),
         lambda: "xoxb-" + take(string.digits, 11, 12) + "-" + take(ALNUM, 20, 26),
         lambda: "AIza" + take(ALNUM + "_-", 35, 35),
@@ -45,6 +49,14 @@ def examples(n: int, seed: int) -> list[tuple[str, str, str, float]]:
         lambda: "".join(word().title() for _ in range(rng.randint(3, 5))) + str(rng.randint(1, 999)),
         lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-{word()}-{word()}",
         lambda: word() + take(string.digits, 5, 9),
+        lambda: rng.choice(["sha1-", "sha384-", "md5-"]) + take(ALNUM + "+/", 27, 64) + rng.choice(["", "=", "=="]),
+    ]
+    shown = lambda: rng.choice(["", "<", "$", "%"]) + rng.choice("-_ .").replace(" ", "").join(rng.choice(SHOWN) for _ in range(rng.randint(2, 4))) + rng.choice(["", "123", "1", ">", "}"])
+    sample = [  # keys of a known form that open nothing
+        lambda: "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=9)) + "EXAMPLE",
+        lambda: rng.choice(["ghp_", "sk_test_", "sk_live_", "AIza", "glpat-"]) + rng.choice("xX0*aA1") * rng.randint(30, 36),
+        lambda: "AKIA" + rng.choice("XA01") * 16,
+        lambda: rng.choice(["sk_test_", "sk_live_", "ghp_", "hf_"]) + "".join(rng.choice(SHOWN) for _ in range(8))[:36],
     ]
     out = []
     for _ in range(n):
@@ -52,12 +64,21 @@ def examples(n: int, seed: int) -> list[tuple[str, str, str, float]]:
         quote = "'" if join.startswith("'") else '"' if join.startswith('"') else ""
         if kind < 0.38:
             out.append((quote + rng.choice(["", "", "my_", "export ", "APP_"]) + rng.choice(SECRET_NAMES) + join, rng.choice(strong)(), end, 1.0))
-        elif kind < 0.5:
+        elif kind < 0.43:
+            out.append((f"{rng.choice(SCHEMES)}://{word()}:", rng.choice(strong[1:2] + strong[4:5] + strong[6:8])().replace("@", "").replace("/", ""), f"@{word()}.{word()}{rng.choice(['', ':5432', '/' + word()])}", 1.0))
+        elif kind < 0.46:
+            out.append((f"{rng.choice(SCHEMES)}://{word()}:", rng.choice([*STAND_INS[:3], "password", shown().replace("@", "")]), f"@{rng.choice(['localhost', 'host', word() + '.' + word()])}", 0.0))
+        elif kind < 0.56:
             lead, tail = rng.choice([("use ", " "), ("", ""), ("key ", " "), ("(", ")"), ('"', '"')])
             out.append((lead, rng.choice(known)(), tail, 1.0))
-        elif kind < 0.65:
-            out.append((quote + rng.choice(SECRET_NAMES) + join, rng.choice(STAND_INS), end, 0.0))
-        elif kind < 0.8:
+        elif kind < 0.59:
+            lead, tail = rng.choice([("use ", " "), ("", ""), ("key ", " "), ("(", ")"), ('"', '"')])
+            out.append((lead, rng.choice(sample)(), tail, 0.0))
+        elif kind < 0.62:
+            out.append((quote + rng.choice(SECRET_NAMES) + join, rng.choice(sample)(), end, 0.0))
+        elif kind < 0.69:
+            out.append((quote + rng.choice(SECRET_NAMES) + join, rng.choice(STAND_INS) if rng.random() < 0.5 else shown(), end, 0.0))
+        elif kind < 0.84:
             out.append((quote + rng.choice(OTHER_NAMES) + join, rng.choice(plain)(), end, 0.0))
         else:
             out.append((rng.choice(["", "", "paid ", "commit ", "see ", "no. ", "sha256:", "at "]), rng.choice(plain)(), rng.choice(["", ".", ",", " "]), 0.0))

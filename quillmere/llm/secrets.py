@@ -1,9 +1,10 @@
 """Secret scans with a random forest against false positives, on DataFrame functions and Spark ML.
 
 Candidates are long runs of key characters that hold a digit, what is assigned to a name like
-token or password (DB_PASSWORD=, accessToken:, "password": too), and keys of a known form. Each is described by its length,
-character transitions and classes, by how far words of a dictionary cover it, by where it stands (path) and by its
-neighbouring words. A random forest trained on labelled findings tells secrets from other values.
+token or password (DB_PASSWORD=, accessToken:, "password": too), passwords in URLs (scheme://user:password@host), and keys of a known
+form. Each is described by its length,
+character transitions and classes, by how far words of a dictionary, and words of stand-ins, cover it, by where it stands (path)
+and by its neighbouring words. A random forest trained on labelled findings tells secrets from other values.
 
 Where no labelled findings are given, some are planted (plants.py): PLANTS secrets and look-alikes
 are put between words of the corpus, and the forest is trained on these. A label is what was planted,
@@ -35,10 +36,12 @@ SHORT = r"(?:(?<![A-Za-z])(?i:key|auth)|(?<=[a-z0-9])(?:Key|Auth))(?<!(?i:public
 ASSIGNS = rf"(?:(?i:{WORDS})|{SHORT})[\x22']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\x22']?"
 PADDING = r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?"  # of base64; any other '=' parts a name from its value
 KNOWN = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{50,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)?)"
-CANDIDATE = rf"(?<=[:=>\s\x22'])(?<=[:=>]\s{{0,3}}[\x22']?)(?<={ASSIGNS})(?!>)[^\s\x22'=:]{{8,}}{PADDING}|(?<![A-Za-z0-9+/_-])(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}){PADDING}"
+URL_PASSWORD = r"(?<=:)(?<=://[^\s/:@]{0,64}:)[^\s/@]{4,}(?=@[A-Za-z0-9\[])"  # of scheme://user:password@host
+CANDIDATE = rf"{URL_PASSWORD}|(?<=[:=>\s\x22'])(?<=[:=>]\s{{0,3}}[\x22']?)(?<={ASSIGNS})(?!>)[^\s\x22'=:]{{8,}}{PADDING}|(?<![A-Za-z0-9+/_-])(?:{KNOWN}|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}){PADDING}"
 ASSIGNED = rf"{ASSIGNS}$"
-HINT = rf"[0-9]|{KNOWN}|(?i:{WORDS}|key|auth)"  # no text without it has a candidate
-NUMBERS = ("length", "digits", "uppers", "others", "hexes", "changes", "distinct", "vowels", "coverage", "assigned", "known", "quoted")
+HINT = rf"[0-9]|{KNOWN}|://[^\s/:@]*:|(?i:{WORDS}|key|auth)"  # no text without it has a candidate
+NUMBERS = ("length", "digits", "uppers", "others", "hexes", "changes", "distinct", "vowels", "coverage", "assigned", "known", "quoted", "in_url", "repeats", "stand_in")
+STAND_IN = r"(?i)change|example|sample|dummy|your|here|todo|replace|insert|enter|default|secret|token|passw(?:or)?d|none|null|test|fake|redacted|value|[*<>{}$()]"  # words and marks of values that stand for a secret
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -66,6 +69,9 @@ def described(found: DataFrame) -> DataFrame:
         .withColumn("vowels", share("(?i)[aeiou]"))
         .withColumn("assigned", F.col("before").rlike(ASSIGNED).cast("double"))
         .withColumn("known", F.col("value").rlike(f"^{KNOWN}").cast("double"))
+        .withColumn("in_url", (F.col("before").rlike(r"://[^\s/:@]*:$") & F.col("after").rlike("^@")).cast("double"))
+        .withColumn("repeats", share(r"(.)(?=\1)"))
+        .withColumn("stand_in", (F.length("value") - F.length(F.regexp_replace("value", STAND_IN, ""))) / F.length("value"))
         .withColumn("quoted", F.col("before").rlike("[\\x22']$").cast("double"))
         .withColumn("word_before", word("before", r"([\p{L}_-]+)[^\p{L}]*$"))
         .withColumn("word_after", word("after", r"^[^\p{L}]*([\p{L}_-]+)"))

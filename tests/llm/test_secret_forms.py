@@ -29,9 +29,12 @@ FORMS = {
     "bare github": (f"use ghp_{some(36)} here", f"ghp_{some(36)}"),
     "bare stripe": (f"use sk_live_{some(24)} here", f"sk_live_{some(24)}"),
     "bare letters": ("use sk_live_abcdefghIJKLMNOPqrst here", "sk_live_abcdefghIJKLMNOPqrst"),
+    "url": ("dsn postgres://admin:Hq7xP2mVt9Lw@db.example.org:5432/app", "Hq7xP2mVt9Lw"),
+    "url without user": ("redis://:Hq7xP2mVt9Lw@cache.org/0", "Hq7xP2mVt9Lw"),
     "bare jwt": (f"use eyJ{some(20)}.eyJ{some(30)}.{some(43)} here", f"eyJ{some(20)}.eyJ{some(30)}.{some(43)}"),
 }
 OTHERS = ["monkey=banana12345678 end", "paid 1234567890123456 to me", "commit 0123456789abcdef0123456789abcdef01234567", "public_key = ssh12345678"]
+OTHERS += ["password=changeme123 end", "token: TODO-set-me end", "postgres://user:password@localhost/db"]
 
 
 @pytest.mark.parametrize("among", [0, 300])
