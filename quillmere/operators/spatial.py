@@ -27,28 +27,34 @@ def pieces(edges: DataFrame, size: float) -> DataFrame:
     return rows.select(*others, at("x1", "x2", i).alias("x1"), at("y1", "y2", i).alias("y1"), at("x1", "x2", i + 1).alias("x2"), at("y1", "y2", i + 1).alias("y2"))
 
 
-def near_pairs(points: DataFrame, edges: DataFrame, point: str, line: str, radius: float) -> DataFrame:
-    """(point, line, distance) of all pairs within `radius`: points (point, x, y), edges (line, x1, y1, x2, y2), several edges to a line."""
+def _near_places(points: DataFrame, edges: DataFrame, line: str, radius: float) -> DataFrame:
+    """(_cell, x, y, line, distance) of each place that points have and each line within `radius` of it, dealt by places or their cells, so grouping by place needs no shuffle of pairs."""
     cells = edges.select(line, "x1", "y1", "x2", "y2", F.explode(_cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), radius, radius)).alias("_cell"))
-    at = points.select(point, "x", "y", F.struct(F.floor(F.col("x") / radius).alias("x"), F.floor(F.col("y") / radius).alias("y")).alias("_cell"))
+    at = points.select("x", "y").distinct().withColumn("_cell", F.struct(F.floor(F.col("x") / radius).alias("x"), F.floor(F.col("y") / radius).alias("y")))
     far = edge_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return at.join(cells, "_cell").withColumn("distance", far).filter(F.col("distance") <= radius).groupBy(point, line).agg(F.min("distance").alias("distance"))
+    return at.join(cells, "_cell").withColumn("distance", far).filter(F.col("distance") <= radius).groupBy("_cell", "x", "y", line).agg(F.min("distance").alias("distance"))
+
+
+def near_pairs(points: DataFrame, edges: DataFrame, point: str, line: str, radius: float) -> DataFrame:
+    """(point, line, distance) of all pairs within `radius`: points (point, x, y), edges (line, x1, y1, x2, y2), several edges to a line."""
+    return points.select(point, "x", "y").distinct().join(_near_places(points, edges, line, radius), ["x", "y"]).groupBy(point, line).agg(F.min("distance").alias("distance"))
 
 
 def nearest(points: DataFrame, edges: DataFrame, point: str, line: str, radius: float, tie: float) -> DataFrame:
-    """point, line, distance and status of each point: the nearest line within `radius` (accepted, or review_required where another is within `tie` of it), or unmatched."""
-    pairs = near_pairs(points, edges, point, line, radius)
-    best = F.min(F.struct("distance", line)).over(Window.partitionBy(point))
-    ranked = pairs.withColumn("_best", best).filter(F.col("distance") <= F.col("_best.distance") + tie).groupBy(point, "_best").count()
-    found = ranked.select(point, F.col(f"_best.{line}").alias(line), F.col("_best.distance").alias("distance"), F.when(F.col("count") > 1, "review_required").otherwise("accepted").alias("status"))
-    return points.select(point).join(found, point, "left").withColumn("status", F.coalesce("status", F.lit("unmatched")))
+    """point, line, distance and status of each point: the nearest line within `radius` (accepted, or review_required where another is within `tie` of it), or unmatched. Points of one place are searched for once."""
+    place = ["_cell", "x", "y"]
+    best = F.min(F.struct("distance", line)).over(Window.partitionBy(*place))
+    pairs = _near_places(points, edges, line, radius).withColumn("_best", best)
+    ranked = pairs.groupBy(*place).agg(F.first("_best").alias("_best"), F.count_if(F.col("distance") <= F.col("_best.distance") + tie).alias("count"))
+    found = ranked.select("x", "y", F.col(f"_best.{line}").alias(line), F.col("_best.distance").alias("distance"), F.when(F.col("count") > 1, "review_required").otherwise("accepted").alias("status"))
+    return points.select(point, "x", "y").join(found, ["x", "y"], "left").withColumn("status", F.coalesce("status", F.lit("unmatched"))).drop("x", "y")
 
 
 def band_counts(points: DataFrame, edges: DataFrame, point: str, line: str, bands: tuple[int, ...]) -> DataFrame:
-    """point and n_<band>: the number of lines within each distance."""
-    pairs = near_pairs(points, edges, point, line, float(max(bands)))
-    counts = pairs.groupBy(point).agg(*[F.count_if(F.col("distance") <= b).alias(f"n_{b}") for b in bands])
-    return points.select(point).join(counts, point, "left").na.fill(0, [f"n_{b}" for b in bands])
+    """point and n_<band>: the number of lines within each distance. Points of one place are searched for once."""
+    pairs = _near_places(points, edges, line, float(max(bands)))
+    counts = pairs.groupBy("_cell", "x", "y").agg(*[F.count_if(F.col("distance") <= b).alias(f"n_{b}") for b in bands]).drop("_cell")
+    return points.select(point, "x", "y").join(counts, ["x", "y"], "left").na.fill(0, [f"n_{b}" for b in bands]).drop("x", "y")
 
 
 def overlaps(edges: DataFrame, polygons: DataFrame, line: str, polygon: str, cell: float, least: float = 0.0) -> DataFrame:
