@@ -67,8 +67,9 @@ def log_rank(rows: DataFrame, group: str) -> DataFrame:
     cells = rows.groupBy("duration_days").agg(F.count("*").alias("m"), F.sum(group).alias("ma"), F.sum("event_observed").alias("d"), F.sum(F.col("event_observed") * F.col(group)).alias("da"))
     back = Window.orderBy(F.desc("duration_days")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct duration, of which days bound the number
     cells = cells.withColumns({"n": F.sum("m").over(back), "na": F.sum("ma").over(back)}).filter("n > 1")
-    v = F.col("na") * (F.col("n") - F.col("na")) * F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") * F.col("n") * (F.col("n") - 1))
-    s = cells.agg(F.sum("da").cast("long").alias("observed"), F.sum(F.col("d") * F.col("na") / F.col("n")).alias("expected"), F.sum(v).alias("variance"))
+    n, na, d = (F.col(c).cast("double") for c in ("n", "na", "d"))  # products of four counts pass 64 bits
+    v = na * (n - na) * d * (n - d) / (n * n * (n - 1))
+    s = cells.agg(F.sum("da").cast("long").alias("observed"), F.sum(d * na / n).alias("expected"), F.sum(v).alias("variance"))
     return s.select("observed", F.round("expected", 6).alias("expected"), F.round("variance", 6).alias("variance"), F.round((F.col("observed") - F.col("expected")) ** 2 / F.col("variance"), 6).alias("chi2"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere.operators import spatial
+from quillmere.operators import spatial, survival
 
 
 def shuffled_rows(df):
@@ -52,3 +52,11 @@ def test_points_of_one_place_shuffle_no_pairs(spark, no_broadcast):
     assert spatial.near_pairs(points, edges, "point", "line", 5.0).count() == pairs
     for df in (counts, near):
         assert 0 < shuffled_rows(df) < pairs / 10
+
+
+def test_log_rank_of_counts_whose_products_pass_64_bits(spark):
+    rows = spark.range(400_000).select((F.col("id") % 2 + 1).alias("duration_days"), F.lit(1).alias("event_observed"), (F.col("id") % 4 < 2).cast("int").alias("g"))
+    r = survival.log_rank(rows, "g").first()
+    n, na, d = 400_000, 200_000, 200_000
+    last = 100_000 * 100_000 * 200_000 * 0 / (200_000**2 * 199_999)
+    assert r["observed"] == 200_000 and r["expected"] == 200_000 and r["variance"] == round(na * (n - na) * d * (n - d) / (n * n * (n - 1)) + last, 6)
