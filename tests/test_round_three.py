@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmere.operators import spatial, survival
+from quillmere.plans import catalog
 
 
 def shuffled_rows(df):
@@ -58,5 +59,23 @@ def test_log_rank_of_counts_whose_products_pass_64_bits(spark):
     rows = spark.range(400_000).select((F.col("id") % 2 + 1).alias("duration_days"), F.lit(1).alias("event_observed"), (F.col("id") % 4 < 2).cast("int").alias("g"))
     r = survival.log_rank(rows, "g").first()
     n, na, d = 400_000, 200_000, 200_000
-    last = 100_000 * 100_000 * 200_000 * 0 / (200_000**2 * 199_999)
-    assert r["observed"] == 200_000 and r["expected"] == 200_000 and r["variance"] == round(na * (n - na) * d * (n - d) / (n * n * (n - 1)) + last, 6)
+    assert r["observed"] == 200_000 and r["expected"] == 200_000 and r["variance"] == round(na * (n - na) * d * (n - d) / (n * n * (n - 1)), 6)  # the last day takes all, so only the first adds variance
+
+
+def line_rows(spark, n, first, quantity):
+    return spark.range(n).coalesce(1).selectExpr(f"cast({first} + id * 3 as bigint) as l_orderkey", "1 as l_linenumber", f"cast({quantity} as double) as l_quantity", "0.05D as l_discount", "0.04D as l_tax")
+
+
+def test_drivers_of_a_repeated_row_are_those_of_the_first_in_the_file(spark, tmp_path):
+    """Spark reads the longer file first, and it holds the second of two rows with one key."""
+    folder = str(tmp_path / "lineitem.parquet")
+    line_rows(spark, 1, 3, 1.0).write.parquet(str(tmp_path / "a"))
+    line_rows(spark, 5000, 3, 50.0).write.parquet(str(tmp_path / "b"))
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name in "ab":
+        file = next((tmp_path / name).glob("*.parquet"))
+        (tmp_path / "lineitem.parquet" / f"{name}.parquet").write_bytes(file.read_bytes())
+    assert spark.read.parquet(folder).count() == 5001
+    got = {r["l_orderkey"]: (r["n_raises"], r["n_lowers"]) for r in catalog.QUERIES["e13_drivers"](spark, str(tmp_path)).collect()}
+    assert len(got) == 5000
+    assert got[3][1] > got[6][1]  # the first row's quantity lies below the mean, all others above it
