@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.functions import dates
 from quillmere.functions import rows as row_functions
-from quillmere.operators import attribution, evaluation, explained, models, ordering, scoring, splits, survival
+from quillmere.operators import attribution, evaluation, experiments, explained, models, scoring, splits, survival
 from quillmere.operators.ordering import portable_hash_sql as hashed
-from quillmere.plans.more import CATEGORIES, NUMBERS, fitted, learnable
+from quillmere.plans.more import CATEGORIES, NUMBERS, fitted, keyed, learnable
 from quillmere.plans.registry import COHORT, Tables, gaps, query
 from quillmere.plans.wider import DUCK_DATE, LABELLED, MEANS, PARTS, PAST, SPARK_DATE, SPLIT, WEIGHTS, contributions, labelled
 from quillmere.sources import sinks
@@ -276,18 +278,15 @@ def batch_scores(t: Tables) -> DataFrame:
 
 
 def family_runs(t: Tables, runs: list[tuple[str, list[str], list[str], int | None]]) -> DataFrame:
-    """A record of each run (name, numbers, categories, seed of permuted labels or None): validation metrics of a logistic model."""
-    rows = learnable(t).withColumn("key", F.col("l_orderkey") * 100 + F.col("l_linenumber")).dropDuplicates(["key"])
+    """A record of each run (name, numbers, categories, seed of permuted labels or None): validation metrics of a logistic model. All runs read one prepared table."""
+    seeds = {seed for *_, seed in runs} - {None}
+    table = experiments.prepared_table(keyed(t), "key", NUMBERS, CATEGORIES, "label", seeds, ("scaled", *[f"{c}_hot" for c in CATEGORIES]))
     out = []
     for name, numbers, categories, seed in runs:
-        train = rows.filter("split = 'train'")
-        if seed is not None:
-            train = train.drop("label").join(ordering.permuted(train, "key", "label", seed), "key")
-        scores = models.probability(models.logistic(train, numbers, categories, "label", 0.01).transform(rows.filter("split = 'val'")))
-        out.append(evaluation.ranking(scores.withColumn("label", F.col("label").cast("int")), [], "score", "label").select(F.lit(name).alias("run"), F.lit(seed).cast("int").alias("seed"), "n", "average_precision", "roc_auc", F.round(F.col("pos") / F.col("n"), 6).alias("prevalence")))
-    table = out[0]
-    for x in out[1:]:
-        table = table.unionByName(x)
+        scores = experiments.logistic_scores(experiments.family(table, numbers, categories, NUMBERS), 0.01, "label" if seed is None else f"label_{seed}")
+        out.append(scores.select(F.lit(name).alias("run"), F.lit(seed).cast("int").alias("seed"), "score", F.col("label").cast("int").alias("label")))
+    table = evaluation.ranking(reduce(DataFrame.unionByName, out), ["run", "seed"], "score", "label")
+    table = table.select("run", "seed", "n", "average_precision", "roc_auc", F.round(F.col("pos") / F.col("n"), 6).alias("prevalence"))
     return table.withColumn("alert", (F.col("seed").isNotNull()) & (F.col("average_precision") > 2 * F.col("prevalence")))
 
 
@@ -304,10 +303,8 @@ def family_ablation(t: Tables) -> DataFrame:
 @fitted("j12_long_horizon")
 def long_horizon(t: Tables) -> DataFrame:
     """The settings of the short horizon on another label's split: 180 days."""
-    day = F.col("l_shipdate").cast("date")
-    rows = learnable(t).drop("split").join(t("lineitem").select("l_orderkey", "l_linenumber", splits.split_of(day, 180, "1999-01-31", "2000-06-30")["split"].alias("split")).dropDuplicates(["l_orderkey", "l_linenumber"]), ["l_orderkey", "l_linenumber"])
-    model = models.logistic(rows.filter("split = 'train'"), NUMBERS, CATEGORIES, "label", 0.01)
-    scores = models.probability(model.transform(rows.filter("split = 'val'"))).withColumn("label", F.col("label").cast("int"))
+    table = experiments.prepared_table(learnable(t, 180).filter("split in ('train', 'val')"), "l_orderkey", NUMBERS, CATEGORIES, "label", set())
+    scores = experiments.logistic_scores(table, 0.01).select("score", F.col("label").cast("int").alias("label"))
     return evaluation.ranking(scores, [], "score", "label")
 
 
