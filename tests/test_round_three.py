@@ -79,3 +79,20 @@ def test_drivers_of_a_repeated_row_are_those_of_the_first_in_the_file(spark, tmp
     got = {r["l_orderkey"]: (r["n_raises"], r["n_lowers"]) for r in catalog.QUERIES["e13_drivers"](spark, str(tmp_path)).collect()}
     assert len(got) == 5000
     assert got[3][1] > got[6][1]  # the first row's quantity lies below the mean, all others above it
+
+
+def test_a_repeated_key_is_learned_from_once_and_from_the_same_row(spark, tmp_path):
+    """Permuted labels are joined by key: a key whose row changed between two reads had none in one of them, which ends a fit."""
+    from quillmere.operators import experiments
+    from quillmere.plans.more import CATEGORIES, NUMBERS, keyed
+
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, n, day in (("a", 1, "1997-01-01"), ("b", 5000, "2002-01-01")):
+        rows = line_rows(spark, n, 3, 50.0).selectExpr("*", "cast(l_orderkey as double) as l_extendedprice", "'A' as l_returnflag", "'F' as l_linestatus", f"timestamp '{day}' + make_interval(0, 0, 0, cast(-l_orderkey % 3000 as int)) as l_shipdate")
+        rows.write.parquet(str(tmp_path / name))
+        (tmp_path / "lineitem.parquet" / f"{name}.parquet").write_bytes(next((tmp_path / name).glob("*.parquet")).read_bytes())
+    kept = keyed(lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet"))
+    assert kept.filter("key = 301").select("split").collect()[0]["split"] == "train"
+    assert kept.count() == kept.select("key").distinct().count()
+    table = experiments.prepared_table(kept, "key", NUMBERS, CATEGORIES, "label", {3})
+    assert table.filter("split = 'train' and label_3 is null").count() == 0 < table.filter("split = 'train'").count()
