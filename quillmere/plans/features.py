@@ -40,8 +40,12 @@ def asset_ages(t: Tables) -> DataFrame:
 
 @query("h13_row_ids", f"""with {ANCHORS} select year(t)::int as year, count(*) as n, count(distinct c_custkey || '_' || strftime(t, '%Y-%m')) as n_ids, min(c_custkey || '_' || strftime(t, '%Y-%m')) as first_id, max(c_custkey || '_' || strftime(t, '%Y-%m')) as last_id from customer, anchors group by 1""")
 def row_ids(t: Tables) -> DataFrame:
-    rows = panel.with_row_id(month_rows(t), "entity")
-    return rows.groupBy(F.year("as_of_date").alias("year")).agg(F.count("*").alias("n"), F.countDistinct("segment_month_id").alias("n_ids"), F.min("segment_month_id").alias("first_id"), F.max("segment_month_id").alias("last_id"))
+    """An entity and a month-end make one id, so ids are counted by entity, and only the first and last one of an entity's year are compared as texts."""
+    entities = t("customer").select(F.col("c_custkey").alias("entity")).repartition(64, "entity").groupBy("entity").agg(F.count("*").alias("m"))
+    years = panel.panel(entities, FIRST, LAST).groupBy("entity", "m", F.year("as_of_date").alias("year")).agg(F.count("*").alias("months"), F.min("as_of_date").alias("first"), F.max("as_of_date").alias("last"))
+    ids = panel.with_row_id(panel.with_row_id(years, "entity", "first", "first_id"), "entity", "last", "last_id")
+    known = F.when(F.col("entity").isNotNull(), F.col("months")).otherwise(0)
+    return ids.groupBy("year").agg(F.sum(F.col("m") * F.col("months")).alias("n"), F.sum(known).alias("n_ids"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
 
 
 def _weather_sql(w: int) -> str:

@@ -96,3 +96,12 @@ def test_a_repeated_key_is_learned_from_once_and_from_the_same_row(spark, tmp_pa
     assert kept.count() == kept.select("key").distinct().count()
     table = experiments.prepared_table(kept, "key", NUMBERS, CATEGORIES, "label", {3})
     assert table.filter("split = 'train' and label_3 is null").count() == 0 < table.filter("split = 'train'").count()
+
+
+def test_row_ids_of_repeated_and_missing_keys_compare_few_rows(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in [*range(500), 7, 7, None]], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    df = catalog.QUERIES["h13_row_ids"](spark, str(tmp_path))
+    got = {r["year"]: r for r in df.collect()}
+    assert (got[1995]["n"], got[1995]["n_ids"], got[1995]["first_id"], got[1995]["last_id"]) == (503 * 12, 500 * 12, "0_1995-01", "9_1995-12")
+    assert (got[2001]["n"], got[2001]["n_ids"]) == (503 * 8, 500 * 8)
+    assert shuffled_rows(df) < 500 * 12  # not one for each id
