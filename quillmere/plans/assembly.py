@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import rows as row_functions
 from quillmere.functions import text
-from quillmere.operators import canonical, mart, panel
+from quillmere.operators import canonical, experiments, mart, panel
 from quillmere.plans.audits import SMALL_PANEL, small_panel
 from quillmere.plans.registry import ANCHORS, EV, FIRST, LAST, Tables, query, urgent
 from quillmere.sources import sinks
@@ -41,8 +41,12 @@ def station_days(t: Tables) -> DataFrame:
     return sinks.station_days(rows.sparkSession, path, names, ["rain", "snow"], "A")
 
 
-def written_panel(t: Tables) -> tuple[DataFrame, str]:
-    rows = small_panel(t).filter("month(as_of_date) in (3, 6)").withColumns({"panel_year": F.year("as_of_date"), "panel_month": F.month("as_of_date")})
+def panel_rows(t: Tables) -> DataFrame:
+    return small_panel(t).filter("month(as_of_date) in (3, 6)").withColumns({"panel_year": F.year("as_of_date"), "panel_month": F.month("as_of_date")})
+
+
+def written_panel(t: Tables, rows: DataFrame | None = None) -> tuple[DataFrame, str]:
+    rows = panel_rows(t) if rows is None else rows
     path = sinks.scratch(rows.sparkSession, "panel")
     sinks.write_partitions(rows, path, ["panel_year", "panel_month"], ["entity"])
     return rows, path
@@ -68,8 +72,8 @@ def written_back(t: Tables) -> DataFrame:
 
 @query("a11_resumed_partitions", "select 1998::int as panel_year, 6::int as panel_month, 0::bigint as still_invalid union all select 2000, 3, 0")
 def resumed(t: Tables) -> DataFrame:
-    """Two partitions are damaged, found by their fingerprints and written anew."""
-    rows, path = written_panel(t)
+    """Two partitions are damaged, found by their fingerprints and written anew. The panel is built once, and all steps read that table."""
+    rows, path = written_panel(t, experiments.written(panel_rows(t), "panel-source"))
     by, columns = ["panel_year", "panel_month"], PANEL_COLUMNS
     damaged = rows.filter("panel_year = 1998 and panel_month = 6 or panel_year = 2000 and panel_month = 3").withColumn("target_90d", 1 - F.col("target_90d"))
     sinks.write_partitions(damaged, path, by, ["entity"])

@@ -105,3 +105,18 @@ def test_row_ids_of_repeated_and_missing_keys_compare_few_rows(spark, tmp_path):
     assert (got[1995]["n"], got[1995]["n_ids"], got[1995]["first_id"], got[1995]["last_id"]) == (503 * 12, 500 * 12, "0_1995-01", "9_1995-12")
     assert (got[2001]["n"], got[2001]["n_ids"]) == (503 * 8, 500 * 8)
     assert shuffled_rows(df) < 500 * 12  # not one for each id
+
+
+def test_damaged_partitions_are_resumed_from_a_panel_built_once(spark, monkeypatch):
+    from quillmere.sources import sinks
+
+    plans, write = [], sinks.write_partitions
+
+    def kept(df, *rest):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        write(df, *rest)
+
+    monkeypatch.setattr(sinks, "write_partitions", kept)
+    rows = catalog.QUERIES["a11_resumed_partitions"](spark, "/root/testdata/sf0.001").collect()
+    assert [r["still_invalid"] for r in rows] == [0, 0] and len(plans) == 3
+    assert not any("Window" in p for p in plans)
