@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmere.operators.evaluation import cells, proper_scores, ranking, ranking_of_cells, top_share
+from quillmere.operators.evaluation import cells, proper_scores, ranking, ranking_by_ranges, ranking_of_cells, top_share
 from quillmere.operators.ordering import MODULUS, prefix_sum
 
 
@@ -38,17 +38,20 @@ def random_scores(rows: DataFrame, key: str, replicates: int) -> DataFrame:
     return rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("random_score", mixed)
 
 
+SORTED_ROWS = 200_000  # about so many rows of a replicate are sorted together
+
+
 def null_distribution(rows: DataFrame, key: str, score: str, label: str, replicates: int) -> DataFrame:
-    """metric, observed, null_mean, null_std, z, rank_percent (of replicates below the observed value), and constant: what a constant score has."""
-    null = ranking(random_scores(rows.select(key, label), key, replicates), ["replicate"], "random_score", label)
-    seen = ranking(rows, [], score, label)
-    parts = []
-    for m in ("average_precision", "roc_auc"):
-        x = null.select(F.col(m).alias("x")).crossJoin(F.broadcast(seen.select(F.col(m).alias("observed"), (F.col("pos") / F.col("n")).alias("rate"))))
-        line = x.groupBy("observed", "rate").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.avg((F.col("x") < F.col("observed")).cast("double")).alias("below"))
-        constant = F.col("rate") if m == "average_precision" else F.lit(0.5)
-        parts.append(line.select(F.lit(m).alias("metric"), "observed", F.round("mean", 6).alias("null_mean"), F.round("std", 6).alias("null_std"), F.round((F.col("observed") - F.col("mean")) / F.col("std"), 3).alias("z"), F.round(100 * F.col("below"), 2).alias("rank_percent"), F.round(constant, 6).alias("constant")))
-    return reduce(DataFrame.unionByName, parts)
+    """metric, observed, null_mean, null_std, z, rank_percent (of replicates below the observed value), and constant: what a constant score has. Neither key, score nor label is null."""
+    ranges = rows.count() // SORTED_ROWS + 1
+    at = F.floor(F.col("random_score") * F.lit(float(ranges)) / MODULUS)  # the scores are even over their range
+    null = ranking_by_ranges(random_scores(rows.select(key, label), key, replicates), "replicate", "random_score", label, at)
+    seen = ranking(rows, [], score, label).withColumn("rate", F.col("pos") / F.col("n"))
+    names = ("average_precision", "roc_auc")
+    one = lambda m: F.struct(F.lit(m).alias("metric"), F.col(m).alias("x"), F.col(f"_{m}").alias("observed"), (F.col("rate") if m == names[0] else F.lit(0.5)).alias("constant"))
+    both = null.select(*names).crossJoin(F.broadcast(seen.select(*[F.col(m).alias(f"_{m}") for m in names], "rate"))).select(F.inline(F.array(*map(one, names))))
+    lines = both.groupBy("metric", "observed", "constant").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.avg((F.col("x") < F.col("observed")).cast("double")).alias("below"))
+    return lines.select("metric", "observed", F.round("mean", 6).alias("null_mean"), F.round("std", 6).alias("null_std"), F.round((F.col("observed") - F.col("mean")) / F.col("std"), 3).alias("z"), F.round(100 * F.col("below"), 2).alias("rank_percent"), F.round("constant", 6).alias("constant"))
 
 
 def metric_deltas(rows: DataFrame, a: str, b: str, label: str) -> DataFrame:
