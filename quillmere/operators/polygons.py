@@ -9,8 +9,14 @@ equality join, and all that is computed of it needs only that cell's sides.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OFFSET = 0.3819660112501051  # cells begin off round coordinates, so borders of polygons seldom lie on borders of cells
 NEAR = 1e-7  # what lies so near to a side and runs along it lies on it
@@ -32,10 +38,15 @@ def _steps(a: Column, b: Column) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), c being computed once, however often f names it: inside the functions of arrays Spark computes a column again wherever it stands."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _turned(array: Column) -> Column:
     """Each element of an array with the next one, as structs a, b; none of fewer than two."""
-    n = F.size(array) - 1
-    return F.when(n > 0, F.zip_with(F.slice(array, F.lit(1), n), F.slice(array, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = lambda c, n: F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return _bound(array, lambda c: F.when(F.size(c) > 1, pairs(c, F.size(c) - 1)))
 
 
 def ring_sides(polygons: DataFrame, polygon: str) -> DataFrame:
@@ -46,15 +57,72 @@ def ring_sides(polygons: DataFrame, polygon: str) -> DataFrame:
     return sides.select(polygon, "part", "ring", "side", F.col("_s.a.x").alias("x1"), F.col("_s.a.y").alias("y1"), F.col("_s.b.x").alias("x2"), F.col("_s.b.y").alias("y2")).filter("x1 <> x2 or y1 <> y2")
 
 
+PIECES = 1_000_000  # pieces that are cut at once, but for one edge with more
+
+
+def numbers(batch: pa.RecordBatch, names: Iterable[str]) -> list[np.ndarray]:
+    """Columns of a batch as doubles; a null is NaN."""
+    return [pc.cast(batch[n], pa.float64()).to_numpy(zero_copy_only=False) for n in names]
+
+
+def counted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i n[i] times: i, and how often it was there before."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - (np.cumsum(n) - n)[of]
+
+
+def slices(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of n whose sums are at most `most`, or of single values above it."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def intervals(i: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, a, b) of neighbours a < b among the values t of each i."""
+    order = np.lexsort((t, i))
+    i, t = i[order], t[order]
+    new = np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])) if len(i) else np.zeros(0, bool)
+    i, t = i[new], t[new]
+    same = i[1:] == i[:-1]
+    return i[:-1][same], t[:-1][same], t[1:][same]
+
+
+def _steps_of(a: np.ndarray, b: np.ndarray, size: np.ndarray, finite: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, end = (np.ceil(np.where(finite, f(a, b), 0.0) / size - OFFSET).astype(np.int64) for f in (np.minimum, np.maximum))
+    return first, np.maximum(end - first, 0)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        *ends, size = numbers(whole, (*ENDS, "_size"))
+        known = np.logical_and.reduce([whole[c].is_valid().to_numpy(zero_copy_only=False) for c in (*ENDS, "_size")])
+        finite = np.isfinite(np.stack([*ends, size])).all(axis=0)
+        size = np.where(finite, size, 1.0)
+        (gx, nx), (gy, ny) = (_steps_of(a, b, size, finite) for a, b in (ends[0::2], ends[1::2]))
+        for low, high in slices(nx + ny + 1, PIECES):
+            x1, y1, x2, y2, w = (v[low:high] for v in (*ends, size))
+            every, at, t = np.arange(high - low), [], []
+            for first, n, a, b in ((gx, nx, x1, x2), (gy, ny, y1, y2)):
+                i, k = counted(n[low:high])
+                found = ((first[low:high][i] + k + OFFSET) * w[i] - a[i]) / (b[i] - a[i])
+                inner = (found > 0) & (found < 1)
+                at, t = [*at, i[inner]], [*t, found[inner]]
+            i, t0, t1 = intervals(np.concatenate([every, every, *at]), np.concatenate([np.zeros(len(every)), np.ones(len(every)), *t]))
+            middle = (t0 + t1) / 2
+            cells = [np.floor(np.where(finite[low + i], a[i] + middle * (b[i] - a[i]), 0.0) / w[i] - OFFSET).astype(np.int64) for a, b in ((x1, x2), (y1, y2))]
+            rows = whole.drop_columns(["_size"]).take(pa.array(low + i))
+            more = {"t0": pa.array(t0), "t1": pa.array(t1)} | {c: pa.array(v, mask=~known[low + i]) for c, v in zip(("cx", "cy"), cells, strict=True)}
+            yield pa.RecordBatch.from_arrays([*rows.columns, *more.values()], names=[*rows.schema.names, *more])
+
+
 def cut_at_cells(edges: DataFrame, size) -> DataFrame:
     """edges (x1, y1, x2, y2 and others) with t0, t1, cx and cy: a row for each part of an edge within one cell."""
-    x1, y1, x2, y2 = map(F.col, ENDS)
-    at = lambda a, b: F.transform(_steps(_place(F.least(a, b), size), _place(F.greatest(a, b), size)), lambda g: (_border(g, size) - a) / (b - a))
-    inner = F.filter(F.concat(at(x1, x2), at(y1, y2)), lambda t: (t > 0) & (t < 1))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0)))))
-    rows = edges.withColumn("_t", F.explode(_turned(cuts))).withColumns({"t0": F.col("_t.a"), "t1": F.col("_t.b")}).drop("_t")
-    middle = (F.col("t0") + F.col("t1")) / 2
-    return rows.withColumns({"cx": F.floor(_place(x1 + middle * (x2 - x1), size)).cast("long"), "cy": F.floor(_place(y1 + middle * (y2 - y1), size)).cast("long")})
+    kinds = [T.StructField(c, T.DoubleType()) for c in ("t0", "t1")] + [T.StructField(c, T.LongType()) for c in ("cx", "cy")]
+    sized = edges.withColumn("_size", (size if isinstance(size, Column) else F.lit(size)).cast("double"))
+    return sized.drop("t0", "t1", "cx", "cy").mapInArrow(_cut, T.StructType([f for f in edges.schema.fields if f.name not in ("t0", "t1", "cx", "cy")] + kinds))
 
 
 def polygon_cells(polygons: DataFrame, polygon: str, size: float) -> DataFrame:
@@ -72,59 +140,70 @@ def polygon_cells(polygons: DataFrame, polygon: str, size: float) -> DataFrame:
     return cells.select(polygon, "cx", "cy", F.coalesce("odd", F.lit(False)).alias("odd"), F.coalesce("sides", F.array().cast(touched.schema["sides"].dataType)).alias("sides"))
 
 
-def _spans(size: float) -> Column:
-    """Structs (a, b, state) of the piece t0 to t1 of an edge against the sides of its cell."""
-    x1, y1, x2, y2, t0, t1 = map(F.col, (*ENDS, "t0", "t1"))
-    dx, dy = x2 - x1, y2 - y1
-    norm = dx * dx + dy * dy
-    corner_x, corner_y = _border(F.col("cx"), size), _border(F.col("cy"), size)
-
-    def turn(s: Column) -> Column:
-        return dx * (s["y2"] - s["y1"]) - dy * (s["x2"] - s["x1"])
-
-    def parallel(s: Column) -> Column:
-        ex, ey = s["x2"] - s["x1"], s["y2"] - s["y1"]
-        return turn(s) * turn(s) <= 1e-24 * norm * (ex * ex + ey * ey)
-
-    def crossings(s: Column) -> Column:
-        ax, ay, ex, ey = s["x1"] - x1, s["y1"] - y1, s["x2"] - s["x1"], s["y2"] - s["y1"]
-        u = (ax * dy - ay * dx) / turn(s)
-        ends = F.array((ax * dx + ay * dy) / norm, ((ax + ex) * dx + (ay + ey) * dy) / norm)
-        return F.when(parallel(s), ends).when((u >= 0) & (u <= 1), F.array((ax * ey - ay * ex) / turn(s))).otherwise(F.array().cast("array<double>"))
-
-    inner = F.filter(F.flatten(F.transform("sides", crossings)), lambda t: (t > t0) & (t < t1))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(t0), inner, F.array(t1))))
-
-    def state(a: Column, b: Column) -> Column:
-        x, y = x1 + (a + b) / 2 * dx, y1 + (a + b) / 2 * dy
-
-        def runs_along(s: Column) -> Column:
-            ex, ey, qx, qy = s["x2"] - s["x1"], s["y2"] - s["y1"], x - s["x1"], y - s["y1"]
-            off, length = qx * ey - qy * ex, ex * ex + ey * ey
-            at = qx * ex + qy * ey
-            return parallel(s) & (off * off <= NEAR * NEAR * length) & (at >= 0) & (at <= length)
-
-        def between(s: Column) -> Column:  # whether the way from the corner, up and then right, crosses this side
-            up = (s["x1"] <= corner_x) != (s["x2"] <= corner_x)
-            up_at = s["y1"] + (corner_x - s["x1"]) * (s["y2"] - s["y1"]) / F.nullif(s["x2"] - s["x1"], F.lit(0.0))
-            right = (s["y1"] <= y) != (s["y2"] <= y)
-            right_at = s["x1"] + (y - s["y1"]) * (s["x2"] - s["x1"]) / F.nullif(s["y2"] - s["y1"], F.lit(0.0))
-            return (up & (up_at > corner_y) & (up_at <= y)).cast("int") + (right & (right_at > corner_x) & (right_at <= x)).cast("int")
-
-        times = F.aggregate("sides", F.col("odd").cast("int"), lambda n, s: n + F.coalesce(between(s), F.lit(0)))
-        same = F.filter("sides", runs_along)
-        way = dx * (same[0]["x2"] - same[0]["x1"]) + dy * (same[0]["y2"] - same[0]["y1"])
-        return F.when(F.size(same) > 0, F.when(way > 0, ALONG).otherwise(AGAINST)).otherwise(F.when(times % 2 == 1, IN).otherwise(OUT))
-
-    return F.transform(_turned(cuts), lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), state(c["a"], c["b"]).alias("state")))
-
-
-def spans(edges: DataFrame, cells: DataFrame, size: float) -> DataFrame:
-    """The columns of edges and of cells (but cx, cy, odd and sides) with a, b and state: the parts of each edge that are in a polygon (IN) or run along its border, in the direction of the side (ALONG) or not (AGAINST)."""
+def _states(rows: list[np.ndarray], odd: np.ndarray, sides: list[np.ndarray], n: np.ndarray, size: float) -> tuple[np.ndarray, ...]:
+    """(i, a, b, state) of the parts of pieces (x1, y1, x2, y2, t0, t1, cx, cy) that are not OUT; the first n[0] of `sides` are those of the first piece's cell, and so on."""
+    x1, y1, x2, y2, t0, t1, cx, cy = rows
+    sx, sy, ex, ey = sides[0], sides[1], sides[2] - sides[0], sides[3] - sides[1]
+    dx, dy, corner_x, corner_y = x2 - x1, y2 - y1, (cx + OFFSET) * size, (cy + OFFSET) * size
+    norm, length, first = dx * dx + dy * dy, ex * ex + ey * ey, np.cumsum(n) - n
+    of = np.repeat(np.arange(len(n)), n)
+    px, py, ax, ay = dx[of], dy[of], sx - x1[of], sy - y1[of]
+    turn = px * ey - py * ex
+    parallel = turn * turn <= 1e-24 * norm[of] * length
+    u = (ax * py - ay * px) / turn
+    cuts = [(parallel, (ax * px + ay * py) / norm[of]), (parallel, ((ax + ex) * px + (ay + ey) * py) / norm[of]), (~parallel & (u >= 0) & (u <= 1), (ax * ey - ay * ex) / turn)]
+    cuts = [(of[k], t[k]) for k, t in ((k & (t > t0[of]) & (t < t1[of]), t) for k, t in cuts)]
+    every = np.arange(len(n))
+    i, a, b = intervals(np.concatenate([every, every, *[k for k, _ in cuts]]), np.concatenate([t0, t1, *[t for _, t in cuts]]))
+    state = np.zeros(len(i), np.int32)
+    for low, high in slices(n[i] + 1, PIECES):
+        at = i[low:high]
+        x, y = (c[at] + (a[low:high] + b[low:high]) / 2 * d[at] for c, d in ((x1, dx), (y1, dy)))
+        k, nth = counted(n[at])
+        s = first[at][k] + nth  # a part against each side of its cell
+        fx, fy, gx, gy, qx, qy = sx[s], sy[s], ex[s], ey[s], x[k] - sx[s], y[k] - sy[s]
+        off, along = qx * gy - qy * gx, qx * gx + qy * gy
+        same = parallel[s] & (off * off <= NEAR * NEAR * length[s]) & (along >= 0) & (along <= length[s])
+        left, bottom = corner_x[at][k], corner_y[at][k]
+        up = (fx <= left) != (sides[2][s] <= left)  # the way from the corner goes up and then right
+        up_at = fy + (left - fx) * gy / gx
+        right = (fy <= y[k]) != (sides[3][s] <= y[k])
+        right_at = fx + (y[k] - fy) * gx / gy
+        crossed = (up & (up_at > bottom) & (up_at <= y[k])).astype(np.int64) + (right & (right_at > left) & (right_at <= x[k]))
+        times = odd[at] + np.bincount(k, crossed, len(at)).astype(np.int64)
+        found = np.where((times % 2 == 1) | (n[at] == 0), IN, OUT)
+        on, place = np.unique(k[same], return_index=True)
+        side = s[same][place]
+        found[on] = np.where(dx[at[on]] * ex[side] + dy[at[on]] * ey[side] > 0, ALONG, AGAINST)
+        state[low:high] = found
+    kept = state != OUT
+    return i[kept], a[kept], b[kept], state[kept]
+
+
+def _spans(size: float, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = numbers(batch, (*ENDS, "t0", "t1", "cx", "cy"))
+            odd = batch["odd"].to_numpy(zero_copy_only=False).astype(np.int64)
+            n, flat = pc.list_value_length(batch["sides"]).to_numpy(zero_copy_only=False).astype(np.int64), batch["sides"].flatten()
+            sides = [pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ENDS]
+            ends = np.append(0, np.cumsum(n))
+            for low, high in slices(n + 1, PIECES):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    i, a, b, state = _states([v[low:high] for v in rows], odd[low:high], [v[ends[low] : ends[high]] for v in sides], n[low:high], size)
+                kept = batch.select(names).take(pa.array(low + i))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(a), pa.array(b), pa.array(state)], names=[*names, "a", "b", "state"])
+
+    return run
+
+
+def spans(edges: DataFrame, cells: DataFrame, size: float, only: Column | None = None) -> DataFrame:
+    """The columns of edges and of cells (but cx, cy, odd and sides) with a, b and state: the parts of each edge that are in a polygon (IN) or run along its border, in the direction of the side (ALONG) or not (AGAINST). `only` says which edges meet which polygons."""
     pieces = cut_at_cells(edges, size).join(cells, ["cx", "cy"])
-    whole = [F.struct(F.col("t0").alias("a"), F.col("t1").alias("b"), F.lit(IN).alias("state"))]
-    rows = pieces.withColumn("_span", F.explode(F.when(F.size("sides") == 0, F.array(*whole)).otherwise(_spans(size))))
-    return rows.select(*edges.columns, *[c for c in cells.columns if c not in ("cx", "cy", "odd", "sides")], "_span.*").filter(F.col("state") != OUT)
+    pieces = pieces if only is None else pieces.filter(only)
+    names = [*edges.columns, *[c for c in cells.columns if c not in ("cx", "cy", "odd", "sides")]]
+    kinds = [T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType()), T.StructField("state", T.IntegerType())]
+    return pieces.mapInArrow(_spans(size, names), T.StructType([*pieces.select(*names).schema.fields, *kinds]))
 
 
 def overlaps(edges: DataFrame, polygons: DataFrame, line: str, polygon: str, size: float, least: float = 0.0) -> DataFrame:
@@ -167,7 +246,7 @@ def overlap_areas(polygons: DataFrame, polygon: str, size: float, least: float =
     origin = ring_sides(whole, polygon).agg(F.min("x1"), F.min("y1")).first()
     x0, y0 = (v or 0.0 for v in origin)
     edges = ring_sides(whole, polygon).select(F.col(polygon).alias("_own"), *ENDS)
-    rows = spans(edges, polygon_cells(whole, polygon, size), size).filter(F.col("_own") != F.col(polygon))
+    rows = spans(edges, polygon_cells(whole, polygon, size), size, F.col("_own") != F.col(polygon))
     rows = rows.filter((F.col("state") == IN) | (F.col("state") == ALONG) & (F.col("_own") < F.col(polygon)))
     x = lambda t: F.col("x1") - x0 + F.col(t) * (F.col("x2") - F.col("x1"))
     y = lambda t: F.col("y1") - y0 + F.col(t) * (F.col("y2") - F.col("y1"))

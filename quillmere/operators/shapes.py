@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.operators.polygons import ENDS, _turned, cut_at_cells, ring_sides
+from quillmere.operators.polygons import ENDS, _bound, _turned, cut_at_cells, numbers, ring_sides
 
 
 def _open(ring: Column) -> Column:
@@ -19,22 +19,44 @@ def _open(ring: Column) -> Column:
 
 def _area(ring: Column) -> Column:
     """Signed area, from the first point."""
-    steps = F.coalesce(_turned(F.concat(ring, F.slice(ring, 1, 1))), F.array())
-    return F.aggregate(steps, F.lit(0.0), lambda s, e: s + ((e["a"]["x"] - ring[0]["x"]) * (e["b"]["y"] - ring[0]["y"]) - (e["b"]["x"] - ring[0]["x"]) * (e["a"]["y"] - ring[0]["y"])) / 2)
+
+
+    def of(r: Column) -> Column:
+        steps = F.coalesce(_turned(F.concat(r, F.slice(r, 1, 1))), F.array())
+        return F.aggregate(steps, F.lit(0.0), lambda s, e: s + ((e["a"]["x"] - r[0]["x"]) * (e["b"]["y"] - r[0]["y"]) - (e["b"]["x"] - r[0]["x"]) * (e["a"]["y"] - r[0]["y"])) / 2)
+
+    return _bound(ring, of)
 
 
 def normal_form(parts: Column) -> Column:
     """parts with rings opened, counterclockwise, from their smallest point on, holes and parts in order: equal for polygons that differ only in how they are written down."""
 
     def ring(r: Column) -> Column:
-        way = F.when(_area(_open(r)) < 0, F.reverse(_open(r))).otherwise(_open(r))
-        at = F.array_position(way, F.array_min(way))
-        return F.concat(F.slice(way, at, F.size(way)), F.slice(way, F.lit(1), at - 1))
+        way = _bound(_open(r), lambda o: F.when(_area(o) < 0, F.reverse(o)).otherwise(o))
+        turned = lambda w, at: F.concat(F.slice(w, at, F.size(w)), F.slice(w, F.lit(1), at - 1))
+        return _bound(way, lambda w: _bound(F.array_position(w, F.array_min(w)), lambda at: turned(w, at)))
 
     some = F.filter(parts, lambda p: F.size(p) > 0)
     return F.array_sort(F.transform(some, lambda p: F.concat(F.array(ring(p[0])), F.array_sort(F.transform(F.slice(p, F.lit(2), F.size(p)), ring)))))
 
 
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The polygons (first column) of pairs of sides that ought not to meet as they do."""
+    for batch in batches:
+        a, b = (dict(zip(ENDS, numbers(batch, [f"{s}_{c}" for c in ENDS]), strict=True)) for s in "ab")
+        gap, last = (batch[c].to_numpy(zero_copy_only=False) for c in ("gap", "last"))
+        same = batch["same"].to_numpy(zero_copy_only=False)
+        turn = lambda s, x, y: (s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"])
+        within = lambda s, o, x, y: (o == 0) & (x >= np.minimum(s["x1"], s["x2"])) & (x <= np.maximum(s["x1"], s["x2"])) & (y >= np.minimum(s["y1"], s["y2"])) & (y <= np.maximum(s["y1"], s["y2"]))
+        o1, o2, o3, o4 = turn(a, b["x1"], b["y1"]), turn(a, b["x2"], b["y2"]), turn(b, a["x1"], a["y1"]), turn(b, a["x2"], a["y2"])
+        proper = (np.sign(o1) * np.sign(o2) < 0) & (np.sign(o3) * np.sign(o4) < 0)
+        dx, dy = a["x2"] - a["x1"], a["y2"] - a["y1"]
+        t, u = (((x - a["x1"]) * dx + (y - a["y1"]) * dy) / (dx * dx + dy * dy) for x, y in ((b["x1"], b["y1"]), (b["x2"], b["y2"])))
+        shared = (o1 == 0) & (o2 == 0) & (np.minimum(np.maximum(t, u), 1.0) > np.maximum(np.minimum(t, u), 0.0))
+        touch = within(a, o1, b["x1"], b["y1"]) | within(a, o2, b["x2"], b["y2"]) | within(b, o3, a["x1"], a["y1"]) | within(b, o4, a["x2"], a["y2"])
+        yield batch.select([0]).filter(pa.array(proper | shared | same & (gap > 1) & (gap < last) & touch))
+
+
 def crossing_rings(polygons: DataFrame, polygon: str) -> DataFrame:
     """(polygon): those of which two sides cross, run along each other or, in one ring, touch where they are not neighbours.
 
@@ -43,26 +65,14 @@ def crossing_rings(polygons: DataFrame, polygon: str) -> DataFrame:
     sides = ring_sides(polygons, polygon).filter(" and ".join(f"abs({c}) < 1e300" for c in ENDS))
     box = sides.groupBy(polygon).agg((F.greatest(F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2")), F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))) / F.sqrt(F.count("*")) * 1.01).alias("_size"))
     last = sides.groupBy(polygon, "part", "ring").agg(F.max("side").alias("_last"))
-    cells = cut_at_cells(sides.join(box, polygon).join(last, [polygon, "part", "ring"]), F.col("_size"))
+    cells = cut_at_cells(sides.join(box.withColumnRenamed("_size", "_cell"), polygon).join(last, [polygon, "part", "ring"]), F.col("_cell"))
     one = F.struct("part", "ring", "side", "_last", *ENDS)
-    groups = cells.groupBy(polygon, "cx", "cy").agg(F.collect_set(one).alias("_sides")).filter(F.size("_sides") > 1)
-
-    def bad(a: Column, b: Column) -> Column:
-        turn = lambda s, x, y: (s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"])
-        o1, o2, o3, o4 = turn(a, b["x1"], b["y1"]), turn(a, b["x2"], b["y2"]), turn(b, a["x1"], a["y1"]), turn(b, a["x2"], a["y2"])
-        proper = (F.signum(o1) * F.signum(o2) < 0) & (F.signum(o3) * F.signum(o4) < 0)
-        dx, dy = a["x2"] - a["x1"], a["y2"] - a["y1"]
-        along = lambda x, y: ((x - a["x1"]) * dx + (y - a["y1"]) * dy) / (dx * dx + dy * dy)
-        t, u = along(b["x1"], b["y1"]), along(b["x2"], b["y2"])
-        shared = (o1 == 0) & (o2 == 0) & (F.least(F.greatest(t, u), F.lit(1.0)) > F.greatest(F.least(t, u), F.lit(0.0)))
-        within = lambda s, o, x, y: (o == 0) & (x >= F.least(s["x1"], s["x2"])) & (x <= F.greatest(s["x1"], s["x2"])) & (y >= F.least(s["y1"], s["y2"])) & (y <= F.greatest(s["y1"], s["y2"]))
-        touch = within(a, o1, b["x1"], b["y1"]) | within(a, o2, b["x2"], b["y2"]) | within(b, o3, a["x1"], a["y1"]) | within(b, o4, a["x2"], a["y2"])
-        same = (a["part"] == b["part"]) & (a["ring"] == b["ring"])
-        gap = F.abs(a["side"] - b["side"])
-        return (a["part"] == b["part"]) & (proper | shared | same & (gap > 1) & (gap < a["_last"]) & touch)
-
-    before = lambda a, b: F.struct(a["part"], a["ring"], a["side"]) < F.struct(b["part"], b["ring"], b["side"])
-    return groups.filter(F.exists("_sides", lambda a: F.exists("_sides", lambda b: before(a, b) & bad(a, b)))).select(polygon).distinct()
+    groups = cells.groupBy(polygon, "cx", "cy").agg(F.collect_list(one).alias("_sides")).filter(F.size("_sides") > 1)
+    pairs = groups.select(polygon, "_sides", F.explode("_sides").alias("a")).select(polygon, "a", F.explode("_sides").alias("b"))
+    before = F.struct("a.ring", "a.side") < F.struct("b.ring", "b.side")
+    told = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ENDS] + [(F.col("a.ring") == F.col("b.ring")).alias("same"), F.abs(F.col("a.side") - F.col("b.side")).alias("gap"), F.col("a._last").alias("last")]
+    pairs = pairs.filter((F.col("a.part") == F.col("b.part")) & before).select(polygon, *told)
+    return pairs.mapInArrow(_crossing, pairs.select(polygon).schema).distinct()
 
 
 def geometry_quality(polygons: DataFrame, polygon: str, asset: str, least_area: float = 1e-7) -> DataFrame:
