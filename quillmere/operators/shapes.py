@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmere.operators.polygons import ENDS, _bound, _turned, cut_at_cells, numbers, ring_sides
 
@@ -75,30 +77,66 @@ def crossing_rings(polygons: DataFrame, polygon: str) -> DataFrame:
     return pairs.mapInArrow(_crossing, pairs.select(polygon).schema).distinct()
 
 
+FACTS = "_unclosed long, _short long, _odd long, _area double, _min_x double, _min_y double, _max_x double, _max_y double"
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with `parts` replaced by FACTS: rings that do not close, rings of fewer than four points, points that are not finite, the area (holes less) and the bounds of finite points."""
+    for batch in batches:
+        nested, levels = batch["parts"], []
+        for _ in range(3):
+            n = pc.fill_null(pc.list_value_length(nested), 0).to_numpy(zero_copy_only=False)
+            levels.append(np.repeat(np.arange(len(n)), n))
+            nested = nested.flatten()
+        part_row, ring_part, point_ring = levels
+        x, y = (pc.cast(pc.struct_field(nested, c), pa.float64()).to_numpy(zero_copy_only=False) for c in "xy")
+        ring_row = part_row[ring_part]
+        point_row, rings, rows = ring_row[point_ring], len(ring_part), batch.num_rows
+        n = np.bincount(point_ring, minlength=rings)
+        first, some = np.cumsum(n) - n, n > 0
+        f, last = first[some], (first + n - 1)[some]
+        apart = lambda v: (v[f] != v[last]) & ~(np.isnan(v[f]) & np.isnan(v[last]))
+        unclosed = np.bincount(ring_row[some], apart(x) | apart(y), rows)
+        to = np.arange(1, len(x) + 1)
+        to[last] = f
+        x0, y0 = x[first[point_ring]], y[first[point_ring]]
+        with np.errstate(invalid="ignore", over="ignore"):
+            area = np.abs(np.bincount(point_ring, ((x - x0) * (y[to] - y0) - (x[to] - x0) * (y - y0)) / 2, rings))
+        outer = np.append(True, ring_part[1:] != ring_part[:-1])[:rings]
+        area = np.bincount(part_row, np.bincount(ring_part, np.where(outer, area, -area), len(part_row)), rows)
+        finite = np.isfinite(x) & np.isfinite(y)
+        here = batch["_here"].to_numpy(zero_copy_only=False)
+        out = [pa.array(v.astype(np.int64)) for v in (unclosed, np.bincount(ring_row, n < 4, rows), np.bincount(point_row, ~finite, rows))] + [pa.array(area.astype(np.float64))]
+        for pick, start in ((np.minimum, np.inf), (np.maximum, -np.inf)):
+            for v in (x, y):
+                found = np.full(rows, start)
+                pick.at(found, point_row[finite], v[finite])
+                out.append(pa.array(found, mask=np.isinf(found) | ~here))
+        kept = batch.drop_columns(["parts"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, *out], names=[*kept.schema.names, *[c.split()[0] for c in FACTS.split(", ")]])
+
+
 def geometry_quality(polygons: DataFrame, polygon: str, asset: str, least_area: float = 1e-7) -> DataFrame:
     """One row of counts over polygons (polygon, asset, kind, parts), `polygon` unique: nulls, empties, kinds, faults of rings, valid and invalid, areas below `least_area`, repeats of a geometry and of (asset, geometry), and the bounds of all finite points.
 
     A null geometry has null parts. Repeats are told by a hash of the normal form. All but an empty table's counts are numbers; its bounds are null.
     """
-    rings = F.flatten("parts")
-    points = F.flatten(rings)
+    points = F.flatten(F.flatten("parts"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    odd = F.size(F.filter(points, lambda p: ~(finite(p["x"]) & finite(p["y"]))))
-    area = F.aggregate("parts", F.lit(0.0), lambda s, p: s + F.aggregate(F.transform(p, lambda r, i: F.when(i == 0, F.abs(_area(_open(r)))).otherwise(-F.abs(_area(_open(r))))), F.lit(0.0), lambda t, x: t + x))
     here = F.coalesce(F.size(points), F.lit(0)) > 0
-    rows = polygons.select(
-        polygon, asset, "kind", "parts", F.col("parts").isNull().alias("_null"), here.alias("_here"),
-        F.size(F.filter(rings, lambda r: (F.size(r) > 0) & (r[0] != F.element_at(r, -1)))).alias("_unclosed"), F.size(F.filter(rings, lambda r: F.size(r) < 4)).alias("_short"), odd.alias("_odd"), area.alias("_area"), F.md5(F.to_json(normal_form(F.col("parts")))).alias("_hash"),
-    )
-    crossed = crossing_rings(rows.filter("_here and _odd = 0").select(polygon, "parts"), polygon).withColumn("_crossed", F.lit(True))
+    told = polygons.select(polygon, "kind", F.col("parts").isNull().alias("_null"), here.alias("_here"), "parts")
+    rows = told.mapInArrow(_facts, T.StructType([*told.drop("parts").schema.fields, *T.StructType.fromDDL(FACTS).fields]))
+    plain = polygons.select(polygon, "parts").filter(here & ~F.exists(points, lambda p: ~(finite(p["x"]) & finite(p["y"]))))
+    crossed = crossing_rings(plain, polygon).withColumn("_crossed", F.lit(True))
     rows = rows.join(crossed, polygon, "left").withColumn("_bad", F.col("_here") & (F.coalesce("_crossed", F.lit(False)) | (F.col("_unclosed") > 0) | (F.col("_short") > 0) | (F.col("_odd") > 0) | (F.col("_area") <= 0)))
-    bound = lambda c: F.transform(F.filter(points, lambda p: finite(p["x"]) & finite(p["y"])), lambda p: p[c])
+    of_here = lambda c: F.coalesce(F.sum(F.when(F.col("_here"), F.col(c))), F.lit(0))
     counts = rows.agg(
         F.count("*").alias("n"), F.count_if("_null").alias("n_null"), F.count_if(~F.col("_null") & ~F.col("_here")).alias("n_empty"), F.count_if(F.col("_here") & (F.col("kind") == "Polygon")).alias("n_polygon"), F.count_if(F.col("_here") & (F.col("kind") == "MultiPolygon")).alias("n_multipolygon"),
-        F.count_if("_bad").alias("n_invalid"), F.count_if(F.col("_here") & ~F.col("_bad")).alias("n_valid"), F.count_if("_crossed").alias("n_self_crossing"), F.coalesce(F.sum(F.when(F.col("_here"), F.col("_unclosed"))), F.lit(0)).alias("n_unclosed_rings"), F.coalesce(F.sum(F.when(F.col("_here"), F.col("_short"))), F.lit(0)).alias("n_short_rings"),
-        F.coalesce(F.sum(F.when(F.col("_here"), F.col("_odd"))), F.lit(0)).alias("n_odd_points"), F.count_if(F.col("_here") & (F.col("_area") < least_area)).alias("n_zero_area"), F.min(F.array_min(bound("x"))).alias("min_x"), F.min(F.array_min(bound("y"))).alias("min_y"), F.max(F.array_max(bound("x"))).alias("max_x"), F.max(F.array_max(bound("y"))).alias("max_y"),
+        F.count_if("_bad").alias("n_invalid"), F.count_if(F.col("_here") & ~F.col("_bad")).alias("n_valid"), F.count_if("_crossed").alias("n_self_crossing"), of_here("_unclosed").alias("n_unclosed_rings"), of_here("_short").alias("n_short_rings"), of_here("_odd").alias("n_odd_points"),
+        F.count_if(F.col("_here") & (F.col("_area") < least_area)).alias("n_zero_area"), F.min("_min_x").alias("min_x"), F.min("_min_y").alias("min_y"), F.max("_max_x").alias("max_x"), F.max("_max_y").alias("max_y"),
     )
-    shapes = rows.filter("_here").groupBy("_hash", asset).count().groupBy("_hash").agg(F.sum("count").alias("n"), F.sum(F.col("count") - 1).alias("same"))
+    hashed = polygons.filter(here).select(asset, F.md5(F.to_json(normal_form(F.col("parts")))).alias("_hash"))
+    shapes = hashed.groupBy("_hash", asset).count().groupBy("_hash").agg(F.sum("count").alias("n"), F.sum(F.col("count") - 1).alias("same"))
     repeats = shapes.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_repeated"), F.coalesce(F.sum("same"), F.lit(0)).alias("n_repeated_asset"))
     return counts.crossJoin(repeats)  # one row each
 
