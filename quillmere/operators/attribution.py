@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,10 +16,14 @@ def linear_contributions(rows: DataFrame, coefficients: dict[str, float], interc
     return rows.withColumns({"base": base, "margin": margin, "contributions": parts}).drop(*[f"_mean_{c}" for c in coefficients])
 
 
+def residual() -> Column:
+    """What base and contributions leave of the margin."""
+    return F.abs(F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["value"]) - F.col("margin"))
+
+
 def additivity(rows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """n, max_residual and n_failed of base + contributions against the margin."""
-    total = F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["value"])
-    left = F.abs(F.col("base") + total - F.col("margin"))
+    left = residual()
     return rows.agg(F.count("*").alias("n"), F.max(left).alias("max_residual"), F.count_if(left > tolerance).alias("n_failed"))
 
 
@@ -30,6 +34,13 @@ def importance(rows: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"), F.avg("value").alias("mean_signed"), share(F.col("value") > 0).alias("positive_share"), share(F.col("value") < 0).alias("negative_share"))
 
 
+def checked_importance(rows: DataFrame, names: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """feature, mean_abs (as `importance` has it), n and n_failed (as `additivity` has them) in one reading of rows, whose contributions are those of `names` in that order; no rows of no rows."""
+    means = [F.struct(F.lit(name).alias("feature"), F.avg(F.abs(F.col("contributions")[i]["value"])).alias("mean_abs")) for i, name in enumerate(names)]
+    found = rows.agg(F.count("*").alias("n"), F.count_if(residual() > tolerance).alias("n_failed"), F.array(*means).alias("_means"))
+    return found.filter("n > 0").select(F.inline("_means"), "n", "n_failed")
+
+
 def drivers(rows: DataFrame, key: list[str], top: int = 3) -> DataFrame:
     """key, raises and lowers: the names of at most `top` features with the largest positive and negative contributions, the first by name among equals."""
     def names(sign: int):

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quillmere.operators.ordering import least_hashed
 from quillmere.operators.quantiles import quantiles
@@ -46,37 +47,47 @@ def tree_values(x: np.ndarray, found: list[Leaf]) -> tuple[float, np.ndarray]:
         d = len(path)
         share = np.array([p[3] for p in path])
         base += value * float(share.prod())
-        goes = np.stack([(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in path], axis=1).astype(float) if d else np.ones((len(x), 0))
+        if not d:
+            continue
+        goes = np.stack([(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in path], axis=1)
+        few = 2**d <= len(x)  # then each way to go is worked out once, and rows look theirs up
+        ways = (np.arange(2**d)[:, None] >> np.arange(d) & 1 if few else goes).astype(float)
+        way = goes @ (1 << np.arange(d)) if few else slice(None)
         for i in range(d):
-            poly = np.zeros((len(x), d))
+            poly = np.zeros((len(ways), d))
             poly[:, 0] = 1.0
             for k in range(d):
                 if k != i:
-                    poly[:, 1:] = poly[:, 1:] * share[k] + poly[:, :-1] * goes[:, k : k + 1]
+                    poly[:, 1:] = poly[:, 1:] * share[k] + poly[:, :-1] * ways[:, k : k + 1]
                     poly[:, 0] *= share[k]
             weight = np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
-            out[:, path[i][0]] += value * (goes[:, i] - share[i]) * (poly @ weight)
+            out[:, path[i][0]] += (value * (ways[:, i] - share[i]) * (poly @ weight))[way]
     return base, out
 
 
+def tree_margins(x: np.ndarray, found: list[Leaf]) -> np.ndarray:
+    """For each row of x the sum of the leaves that it falls into."""
+    out = np.zeros(len(x))
+    for value, path in found:
+        out += value * np.logical_and.reduce([(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in path] or [np.ones(len(x), bool)])
+    return out
+
+
 def tree_contributions(rows: DataFrame, model, key: list[str], names: list[str], features: str = "features") -> DataFrame:
-    """key, base, margin and contributions (array of feature, value) of each row; Spark deals the rows, numpy works on each batch."""
+    """key, base, margin and contributions (array of feature, value) of each row; Spark deals the rows, numpy works on each Arrow batch."""
     found, kept = leaves(model), rows.select(*key, vector_to_array(features).alias("_x"))
-    schema = kept.drop("_x").schema.simpleString().removeprefix("struct<").removesuffix(">") + ",base:double,margin:double,contributions:array<struct<feature:string,value:double>>"
+    schema = StructType([*kept.drop("_x").schema, StructField("base", DoubleType()), StructField("margin", DoubleType()), StructField("_values", ArrayType(DoubleType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack(batch["_x"]) if len(batch) else np.zeros((0, len(names)))
-            base, values = tree_values(x, found)
-            margin = np.zeros(len(x))
-            for value, path in found:
-                margin += value * np.logical_and.reduce([(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in path] or [np.ones(len(x), bool)])
-            out = batch.drop(columns="_x")
-            out["base"], out["margin"] = base, margin
-            out["contributions"] = [[{"feature": n, "value": float(v)} for n, v in zip(names, row, strict=True)] for row in values]
-            yield out
-
-    return kept.mapInPandas(run, schema)
+            x = batch.column("_x").flatten().to_numpy().reshape(batch.num_rows, len(names))
+            base, values = tree_values(np.asfortranarray(x), found)
+            made = [np.full(len(x), base), tree_margins(x, found)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(names), pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key], *map(pa.array, made), lists], names=schema.names)
+
+    each = [F.struct(F.lit(n).alias("feature"), F.col("_values")[i].alias("value")) for i, n in enumerate(names)]
+    return kept.mapInArrow(run, schema).select(*key, "base", "margin", F.array(*each).alias("contributions"))
 
 
 def source_importance(table: DataFrame, mapping: DataFrame) -> DataFrame:
