@@ -16,6 +16,13 @@ def linear_contributions(rows: DataFrame, coefficients: dict[str, float], interc
     return rows.withColumns({"base": base, "margin": margin, "contributions": parts}).drop(*[f"_mean_{c}" for c in coefficients])
 
 
+def first_contributions(rows: DataFrame, key: list[str], place: str, names: list[str]) -> DataFrame:
+    """key and contributions of `names`: of rows with one key the first value by `place`, a number, that each feature has there; null if it has none."""
+    values = [F.col("contributions")[i]["value"] for i in range(len(names))]  # in the order of the coefficients
+    firsts = [F.struct(F.lit(name).alias("feature"), F.min_by(v, F.when(v.isNotNull(), F.col(place))).alias("value")) for name, v in zip(names, values, strict=True)]
+    return rows.groupBy(*key).agg(F.array(*firsts).alias("contributions"))
+
+
 def residual() -> Column:
     """What base and contributions leave of the margin."""
     return F.abs(F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda s, c: s + c["value"]) - F.col("margin"))
@@ -44,7 +51,7 @@ def checked_importance(rows: DataFrame, names: list[str], tolerance: float = 1e-
 def drivers(rows: DataFrame, key: list[str], top: int = 3) -> DataFrame:
     """key, raises and lowers: the names of at most `top` features with the largest positive and negative contributions, the first by name among equals."""
     def names(sign: int):
-        kept = F.filter("contributions", lambda c: c["value"] * sign > 0)
+        kept = F.filter("contributions", lambda c: c["value"] > 0 if sign > 0 else c["value"] < 0)
         order = F.array_sort(F.transform(kept, lambda c: F.struct((-F.abs(c["value"])).alias("v"), c["feature"].alias("feature"))))
         return F.array_join(F.transform(F.slice(order, 1, top), lambda c: c["feature"]), ",")
 

@@ -14,7 +14,7 @@ from quillmere.operators.ordering import portable_hash_sql as hashed
 from quillmere.plans.more import CATEGORIES, NUMBERS, fitted, keyed, learnable
 from quillmere.plans.registry import COHORT, Tables, gaps, query
 from quillmere.plans.wider import DUCK_DATE, LABELLED, MEANS, PARTS, PAST, SPARK_DATE, SPLIT, WEIGHTS, contributions, labelled
-from quillmere.sources import sinks
+from quillmere.sources import files, sinks
 
 
 @query("h02_precision_class", "select case o_orderkey % 6 when 0 then 'exact' when 1 then 'day' when 2 then 'year' else 'unknown' end as precision_class, count(*) as n from orders group by 1")
@@ -239,12 +239,14 @@ def subgroup_summaries(t: Tables) -> DataFrame:
 @query("e13_drivers", f"""with {PARTS}, u as (select l_orderkey, l_linenumber, unnest([{', '.join(f"'{c}'" for c in WEIGHTS)}]) as f, unnest([{', '.join(WEIGHTS)}]) as v from k)
 select l_orderkey, l_linenumber, sum(v > 0)::bigint as n_raises, sum(v < 0)::bigint as n_lowers from (select distinct * from u) group by 1, 2""".replace("(select distinct * from u)", "(select any_value(v) as v, f, l_orderkey, l_linenumber from u group by f, l_orderkey, l_linenumber)"))
 def drivers(t: Tables) -> DataFrame:
+    """How many features raise and lower each row's score; a repeated key has the first value of each feature in the file, and a feature without one counts for neither."""
     key = ["l_orderkey", "l_linenumber"]
-    lines = t("lineitem").select(*key, *WEIGHTS, F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
-    rows = attribution.linear_contributions(lines, WEIGHTS, -1.0)
-    n = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, ","))).cast("long")
-    out = attribution.drivers(rows, [*key, "place"]).select(*key, "place", n("raises").alias("n_raises"), n("lowers").alias("n_lowers"))
-    return out.groupBy(*key).agg(F.min_by(F.struct("n_raises", "n_lowers"), "place").alias("first")).select(*key, "first.*")  # the first row of the file
+    rows = attribution.linear_contributions(files.placed(t("lineitem")).select(*key, *WEIGHTS, "place"), WEIGHTS, -1.0)
+    rows = attribution.first_contributions(rows, key, "place", list(WEIGHTS))
+    known = F.exists("contributions", lambda c: c["value"].isNotNull())
+    n = lambda c: F.when(known, F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, ",")))).cast("long")
+    out = attribution.drivers(rows, [*key, "contributions"])
+    return out.select(*key, n("raises").alias("n_raises"), n("lowers").alias("n_lowers"))
 
 
 KM = f"""{COHORT}, ks as (select c_mktsegment, duration_days, event_observed from co join customer on c_custkey = entity), big as (select c_mktsegment from ks group by 1 having sum(event_observed) >= 60 order by sum(event_observed) desc, c_mktsegment limit 3),

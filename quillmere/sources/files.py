@@ -47,6 +47,17 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, **options
     return reduce(DataFrame.unionByName, parts)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """The rows of files with `place`: a number in the order of the files' names and, within a file, of its rows. The names come to the driver.
+
+    Names and row numbers themselves are longer, and sums by key can't be kept in a hash table with them.
+    """
+    names = sorted(r["file"] for r in rows.select(F.col("_metadata.file_path").alias("file")).distinct().collect())
+    numbers = rows.sparkSession.createDataFrame([(name, i << 40) for i, name in enumerate(names)], "_file string, _before long")
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return rows.join(F.broadcast(numbers), "_file").withColumn("place", F.col("_before") + F.col("_at")).drop("_file", "_before", "_at")
+
+
 def features(texts: DataFrame, column: str, properties: str) -> DataFrame:
     """One row for each feature of the GeoJSON texts in `column`: the properties (a DDL schema), geometry_type and line (array of x, y).
 

@@ -26,3 +26,10 @@ def test_drivers_are_told_of_all_rows(spark, tmp_path):
     lines(spark, tmp_path, [(k, 1, float(k), 0.01 * k, 0.02) for k in range(1, 10)])
     got, sql = both(spark, tmp_path, "e13_drivers")
     assert got == sql and {r[0] for r in got} == set(range(1, 10))
+
+
+def test_drivers_of_a_repeated_key_are_each_features_first_values(spark, tmp_path):
+    """any_value passes over nulls for each feature by itself; a key with no value at all has no counts."""
+    lines(spark, tmp_path, [(1, 1, None, 0.0, None), (1, 1, 50.0, 0.1, None), (1, 1, 1.0, None, 0.0), (2, 1, None, None, None), (2, 1, None, None, None), (3, 1, 20.0, None, 0.08), (None, 1, 1.0, 0.02, 0.01), (None, 1, 50.0, 0.1, 0.08)])
+    got, sql = both(spark, tmp_path, "e13_drivers")
+    assert got == sql and (1, 1, 2, 1) in got and (2, 1, None, None) in got
