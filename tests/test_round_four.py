@@ -86,7 +86,7 @@ def test_fits_on_cells_learn_what_fits_on_rows_learn(spark, monkeypatch):
     assert all(r["roc_auc"] < 0.75 for r in by_cells[2:4])
 
 
-@pytest.mark.parametrize("name", ["j19_repair_only_seeds"])
+@pytest.mark.parametrize("name", ["j19_repair_only_seeds", "j12_horizons"])
 def test_the_rows_of_a_fit_do_not_grow_with_the_table(spark, monkeypatch, name):
     monkeypatch.setattr(experiments, "MOST_ROWS", 300, raising=False)
     monkeypatch.setattr(experiments, "BINS", 4, raising=False)
