@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmere.operators import experiments, ordering
 from quillmere.plans import catalog
+from tests.test_round_three import no_broadcast, shuffled_rows  # noqa: F401
 
 
 def lines(spark, tmp_path, values):
@@ -41,9 +42,17 @@ def test_drivers_of_a_repeated_key_are_each_features_first_values(spark, tmp_pat
 
 def test_dealt_labels_are_the_permuted_ones(spark):
     rows = spark.range(700).select(F.col("id").alias("key"), (F.col("id") % 7 == 0).cast("double").alias("label"))
-    want = {r["key"]: r["label"] for r in ordering.permuted(rows, "key", "label", 5).collect()}
-    got = ordering.dealt(rows, "key", "label", 5, "label_5").collect()
-    assert len(got) == 700 and {r["key"]: r["label_5"] for r in got} == want and all(r["label"] == (r["key"] % 7 == 0) for r in got)
+    got = ordering.dealt(rows, "key", "label", [5, 8]).collect()
+    assert len(got) == 700 and all(r["label"] == (r["key"] % 7 == 0) for r in got)
+    for seed in (5, 8):
+        assert {r["key"]: r[f"label_{seed}"] for r in got} == {r["key"]: r["label"] for r in ordering.permuted(rows, "key", "label", seed).collect()}
+
+
+def test_a_sample_of_few_groups_shuffles_only_what_it_keeps(spark, no_broadcast):
+    rows = spark.range(20_000).select(F.col("id").alias("key"), F.when(F.col("id") % 9 > 0, F.col("id") % 3).alias("g"))
+    some = ordering.stratified(rows, "g", "key", 50, 7, few=True)
+    assert {tuple(r) for r in some.collect()} == {tuple(r) for r in ordering.stratified(rows, "g", "key", 50, 7).collect()}
+    assert shuffled_rows(ordering.stratified(rows, "g", "key", 50, 7, ranges=64)) > 20_000 > 2000 > shuffled_rows(ordering.stratified(rows, "g", "key", 50, 7, ranges=64, few=True))
 
 
 def test_bins_keep_few_values_fill_missing_ones_and_part_a_frequent_value(spark):
@@ -86,7 +95,7 @@ def test_fits_on_cells_learn_what_fits_on_rows_learn(spark, monkeypatch):
     assert all(r["roc_auc"] < 0.75 for r in by_cells[2:4])
 
 
-@pytest.mark.parametrize("name", ["j19_repair_only_seeds", "j12_horizons"])
+@pytest.mark.parametrize("name", ["j19_repair_only_seeds", "j12_horizons", "j17_experiment_matrix"])
 def test_the_rows_of_a_fit_do_not_grow_with_the_table(spark, monkeypatch, name):
     monkeypatch.setattr(experiments, "MOST_ROWS", 300, raising=False)
     monkeypatch.setattr(experiments, "BINS", 4, raising=False)
